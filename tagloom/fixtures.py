@@ -249,8 +249,8 @@ def views(d: Dialect) -> dict[str, str]:
         "f_imagehash": f"""
             select doc_id as imagehash_id, doc_id as content_id,
               cast(n_chars as double) / 256 as aspect_ratio,
-              unhex(substr({d.sha_hex("lang || cast(floor(n_chars / 200) as string)")}, 1, 4)
-                || substr({d.sha_hex("lang || cast(floor(n_chars / 50) as string)")}, 1, 4)
+              unhex(substr({d.sha_hex("lang || cast(cast(floor(n_chars / 200) as bigint) as string)")}, 1, 4)
+                || substr({d.sha_hex("lang || cast(cast(floor(n_chars / 50) as bigint) as string)")}, 1, 4)
                 || substr({d.sha_hex("text")}, 1, 56)) as l_hash,
               unhex(substr({d.sha_hex("lang")}, 1, 2) || substr({d.sha_hex("source || lang")}, 1, 2)
                 || substr({d.sha_hex("text")}, 1, 12)) as a_hash,

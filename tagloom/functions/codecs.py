@@ -83,7 +83,7 @@ def common_divisor(a: Column, b: Column) -> Column:
 def format_fps(num: ColumnOrName, den: ColumnOrName, halvings: Column, is_fraction: ColumnOrName) -> Column:
     """A rate halved ``halvings`` times: a lowest-terms fraction, or three decimals."""
     num, den = col(num), col(den)
-    lower = den * F.shiftleft(F.lit(1).cast("long"), halvings)
+    lower = den * F.call_function("shiftleft", F.lit(1).cast("long"), halvings)
     shared = F.greatest(common_divisor(num, lower), F.lit(1))
     n = (num / shared).cast("long")
     d = (lower / shared).cast("long")

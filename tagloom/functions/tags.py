@@ -9,10 +9,11 @@ from tagloom import rules
 from tagloom.functions.common import ColumnOrName, col
 
 # Characters a name is stripped of at both ends (fixed values: Unicode white space).
-WHITE_SPACE = (
-    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        "
-    "        　"
+_SPACE_CODES = (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
+WHITE_SPACE = "".join(map(chr, _SPACE_CODES))
 
 
 def prepare_tag_name(name: ColumnOrName) -> Column:

@@ -1,0 +1,40 @@
+"""Text cells built from many rows, kept to a size one task can hold."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_ENTRIES = 10_000
+
+
+def joined_cell(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    text: Column,
+    separator: str,
+    name: str,
+    max_entries: int = MAX_ENTRIES,
+) -> DataFrame:
+    """One row per group: ``name`` = the texts in order, joined; ``name_n`` = how many.
+
+    Groups are counted first (combined on the map side). One with more than
+    ``max_entries`` texts keeps its count and gets a null cell: its rows are whole
+    in ``df``, which is the form for groups too large to be a single value.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+    fit = counts.filter(F.col(f"{name}_n") <= max_entries).select(*by)
+    entry = F.struct(
+        *[o.alias(f"o{i}") for i, o in enumerate(order)], text.alias("text")
+    )
+    cells = (
+        df.select(*by, entry.alias("_e"))
+        .join(fit, list(by), "left_semi")
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list("_e")).alias("_list"))
+        .select(*by, F.array_join(F.col("_list.text"), separator).alias(name))
+    )
+    return counts.join(cells, list(by), "left")

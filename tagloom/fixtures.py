@@ -174,11 +174,11 @@ def views(d: Dialect) -> dict[str, str]:
         "f_collection_item": """
             select o_custkey as collection_id, o_orderkey as content_id from orders where o_orderstatus <> 'F'""",
         "f_edit": """
-            select event_id as edit_id, user_id as collection_id, event_id % 10 as content_id,
-              user_id % 25 as user_id, ts as edited_at,
+            select event_id as edit_id, user_id as collection_id, event_id % 40 as content_id,
+              case when event_id % 6 = 0 then 99 else coalesce(cast(c_nationkey as bigint), 0) end as user_id, ts as edited_at,
               case event_type when 'view' then 'add' when 'click' then 'add' when 'error' then 'remove'
                 when 'purchase' then 'toggle_nsfw' else 'add' end as action
-            from events""",
+            from events left join customer on c_custkey = user_id""",
         "f_merge": """
             select o_orderkey as source_id, o_orderkey + 1 as target_id from orders where o_orderkey % 10 in (1, 2)""",
         "f_prediction": """

@@ -17,7 +17,7 @@ QUOTED = "replace(url_encode(filepath), '%2F', '/')"
 def srcset_sql(tw: int, th: int, media: str = "/media/", places: int | None = None, source: str = "f_representation") -> str:
     """CTE body: srcset and base_src per item, from ``source``."""
     ratio = f"case when width::bigint * {th} >= {tw}::bigint * height then width / {tw}::double else height / {th}::double end"
-    shown = f"cast({ratio} as varchar)" if places is None else f"format('{{:.{places}f}}', {ratio})"
+    shown = f"cast({ratio} as varchar)" if places is None else f"format('{{:.{places}f}}', round({ratio}, {places}))"
     reach = f"(width >= {tw} or height >= {th})"
     return f"""select content_id,
         coalesce(string_agg(case when {reach} then '{media}' || {QUOTED} || ' ' || {shown} || 'x' end, ', '
@@ -291,9 +291,9 @@ LADDER_ARMS = """values (128, 0, 'WEBP', 80, null), (256, 128, 'WEBP', 85, null)
               else 'WEBP' end as format, width % 3 = 0 as lossless from f_representation),
         l as (select * from ({LADDER_ARMS}) l(rung, prev, fmt, q, e)),
         x as (select f.*, l.*, greatest(width, height) as side from f cross join l where not (format = 'SVG' and rung > 2048)),
-        y as (select *, side > rung as larger, side <= rung and side > prev as similar from x),
-        z as (select *, similar and (format = 'JPEG' or (format = 'WEBP' and not lossless)) as keeps,
-               case when larger then rung / side::double else 1.0::double end as scale from y where larger or similar),
+        y as (select *, side > rung as larger, side <= rung and side > prev as alike from x),
+        z as (select *, alike and (format = 'JPEG' or (format = 'WEBP' and not lossless)) as keeps,
+               case when larger then rung / side::double else 1.0::double end as scale from y where larger or alike),
         w as (select file_id, rung, case when larger then 'LARGER' else 'SIMILAR' end as fit, case when keeps then format else fmt end as out_format,
                case when not keeps then q end as quality, case when not keeps then e end as effort,
                cast(greatest(floor(width * scale + 0.5::double), 1) as int) as out_width, cast(greatest(floor(height * scale + 0.5::double), 1) as int) as out_height,

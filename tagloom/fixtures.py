@@ -218,8 +218,11 @@ def views(d: Dialect) -> dict[str, str]:
               cast(floor(l_extendedprice * (100 - 20 * l_discount + 100 * l_tax)) as bigint) as result_file_size
             from lineitem""",
         "f_media": """
-            select l_orderkey as file_id, l_linenumber * 100000 + cast(l_partkey % 100000 as int) as stream_no,
-              cast(l_quantity * 80 as int) as width, cast(l_quantity * 45 as int) as height,
+            select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string)
+                || '-' || cast(l_suppkey as string) || '-' || cast(cast(l_quantity as int) as string) as file_id,
+              l_linenumber * 100000 + cast(l_partkey % 100000 as int) as stream_no,
+              cast(l_quantity * 80 as int) as width,
+              cast(l_quantity * case when l_partkey % 5 = 0 then 120 else 45 end as int) as height,
               case when l_linenumber = 7 then '0/0'
                    when l_linenumber % 2 = 0 then cast(l_linenumber * 12000 as string) || '/1001'
                    else cast(l_linenumber * 12 as string) end as avg_frame_rate,
@@ -229,12 +232,23 @@ def views(d: Dialect) -> dict[str, str]:
               case when l_suppkey % 7 = 0 then 'yuva420p' when l_linestatus = 'O' then 'yuv420p'
                    else 'yuv420p10le' end as pix_fmt,
               case l_linenumber % 3 when 0 then null when 1 then 'aac' else 'opus' end as audio_codec,
-              l_tax * 1000 as duration,
+              case when l_suppkey % 13 = 0 then null else cast(cast(l_tax * 1000 as int) as double) end as duration,
               case when l_linenumber = 5 then null when l_suppkey % 2 = 0 then 'High' else 'Profile 1' end as profile,
               case when l_linenumber = 6 then -99 when l_linenumber = 4 then null else 31 + l_linenumber end as level,
-              case l_returnflag when 'N' then 'video/mp4' when 'A' then 'video/webm'
-                else case when l_linenumber = 3 then 'image/gif' else 'video/mp4' end end as mime_type
+              case when l_partkey % 9 = 0 then 'image/gif' when l_partkey % 9 = 1 then 'image/png'
+                   when l_returnflag = 'N' then 'video/mp4' when l_returnflag = 'A' then 'video/webm'
+                   else 'video/quicktime' end as mime_type,
+              case when l_suppkey % 4 = 0 then 'cover.jpg' when l_suppkey % 4 = 1 then 'other.png' end as picture
             from lineitem""",
+        # Two frames for some animated images; durations that differ for every third part.
+        "f_media_frame": """
+            select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string)
+                || '-' || cast(l_suppkey as string) || '-' || cast(cast(l_quantity as int) as string) as file_id, 0 as frame_no, 0.04 as duration_time
+              from lineitem where l_partkey % 9 < 2
+            union all
+            select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string)
+                || '-' || cast(l_suppkey as string) || '-' || cast(cast(l_quantity as int) as string), 1, case when l_partkey % 3 = 0 then 0.08 else 0.04 end
+              from lineitem where l_partkey % 9 < 2 and l_quantity > 10""",
         "f_frame": """
             select user_id as file_id, event_id as frame_no, value as duration_time from events
             union all select user_id + 1000000, event_id, 0.04 from events""",

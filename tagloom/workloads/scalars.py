@@ -164,11 +164,7 @@ LEVELS_SQL = f"""select *, case when bits is null then 100 else greatest(
       case when a is null then 0 when a = 'AAC' then 0 when a in ('Vorbis', 'Opus') then 1 else 100 end) end as level_
     from (select *, case {LEVEL_ARMS} else 4 end as vl from
       (select c.*, {BITS} as bits, p.num / p.den::double as fps from ({CODECS}) c
-         join (select file_id, stream_no, codec_name as cn, pix_fmt as pf, audio_codec as ac, width as w, profile as pr, level as lv,
-                 any_value(num) as num, any_value(den) as den from ({FPS_PARTS}) group by all) p
-         on c.file_id = p.file_id and c.stream_no = p.stream_no and c.codec_name = p.cn and c.pix_fmt = p.pf
-           and c.audio_codec is not distinct from p.ac and c.width = p.w and c.profile is not distinct from p.pr
-           and c.level is not distinct from p.lv) q) r"""
+         join (select file_id, num, den from ({FPS_PARTS})) p on c.file_id = p.file_id) q) r"""
 
 
 @query("video_level", f"with z as ({LEVELS_SQL}) select file_id, stream_no, width, level_ as level from z")

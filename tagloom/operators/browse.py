@@ -116,8 +116,8 @@ def content_listing(
     if preset_expr(preset).names() and expr.names():
         # The preset's tags must exist; a name of the caller's that does not empties the list.
         visible = rows.filter(~F.col("is_hidden"))
+        require_known(alias, sorted(preset_expr(preset).names()))
         found = tag_search(visible, content_tag, alias, preset_expr(preset) & expr)
-        found = require_known(found, alias, sorted(preset_expr(preset).names()))
     else:
         found = tag_search(preset_filter(rows, content_tag, alias, preset), content_tag, alias, expr)
     shown = paginate(found, sort_order(sort, seed), page, per_page)

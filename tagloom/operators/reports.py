@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom import rules
 from tagloom.functions import text
 from tagloom.functions.common import lookup
+from tagloom.plans.literals import literal_rows
 
 
 def _totals() -> list:
@@ -45,8 +46,7 @@ def _shown(stats: DataFrame, *lead) -> DataFrame:
 
 def processing_by_type(results: DataFrame) -> DataFrame:
     """Per media type, with zero rows for types nothing was processed of."""
-    spark = results.sparkSession
-    kinds = spark.createDataFrame([(m,) for m in rules.MEDIA_TYPES], "media_type string")
+    kinds = literal_rows(results.sparkSession, ["media_type"], [(m,) for m in rules.MEDIA_TYPES])
     stats = results.groupBy("media_type").agg(*_totals())
     return _shown(kinds.join(stats, "media_type", "left"), "media_type")
 

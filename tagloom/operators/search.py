@@ -35,10 +35,15 @@ def _known(alias: DataFrame, names: list[str]) -> Column:
     return found.scalar() == len(names)
 
 
-def require_known(df: DataFrame, alias: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` as it is; running it raises if a name is no alias."""
-    failure = F.raise_error(F.lit(f"unknown tag among {', '.join(names)}")).cast("boolean")
-    return df.filter(F.when(_known(alias, names), F.lit(True)).otherwise(failure))
+class UnknownTag(ValueError):
+    """A search names something that is no alias."""
+
+
+def require_known(alias: DataFrame, names: list[str]) -> None:
+    """Raise unless every name is an alias. Fetches at most ``len(names)`` rows."""
+    found = {row.title for row in named_tags(alias, set(names)).select("title").collect()}
+    if missing := sorted(set(names) - found):
+        raise UnknownTag(f"unknown tag: {', '.join(missing)}")
 
 
 def tag_search(
@@ -58,6 +63,8 @@ def tag_search(
         return content
     if on_unknown not in ("empty", "error"):
         raise ValueError("on_unknown is 'empty' or 'error'")
+    if on_unknown == "error":
+        require_known(alias, names)
     flag = {n: F.coalesce(F.col(f"_t{i}"), F.lit(False)) for i, n in enumerate(names)}
     condition = expr.column(flag.__getitem__)
     marked = _marked(content_tag, alias, names)
@@ -66,9 +73,7 @@ def tag_search(
         result = joined.select(*[content[c] for c in content.columns])
     else:
         result = content.join(marked.filter(condition).select("content_id"), "content_id", "left_semi")
-    if on_unknown == "error":
-        return require_known(result, alias, names)
-    return result.filter(_known(alias, names))
+    return result if on_unknown == "error" else result.filter(_known(alias, names))
 
 
 def has_tag(content: DataFrame, content_tag: DataFrame, alias: DataFrame, name: str) -> DataFrame:

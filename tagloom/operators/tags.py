@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import rules
 from tagloom.functions import tags as fn
 from tagloom.functions.common import any_true
-from tagloom.plans.cells import joined_cell
+from tagloom.plans.literals import literal_rows
 from tagloom.plans.positions import first_by, number_rows
 from tagloom.session import settle
 
@@ -315,7 +315,7 @@ def seed_default_tags(tag: DataFrame, alias: DataFrame, implication: DataFrame)
     """The vocabulary with the built-in tags, their aliases and implication present."""
     spark = tag.sparkSession
     rows = [(n, title, category) for n, (title, category, _) in enumerate(rules.DEFAULT_TAGS, 1)]
-    builtin = spark.createDataFrame(rows, "n long, title string, category string")
+    builtin = literal_rows(spark, ["n", "title", "category"], rows)
     present = tag.join(F.broadcast(builtin), ["title", "category"]).groupBy("n").agg(F.min("tag_id").alias("tag_id"))
     top = tag.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("m")).scalar()
     ids = builtin.join(present, "n", "left").select(
@@ -326,7 +326,7 @@ def seed_default_tags(tag: DataFrame, alias: DataFrame, implication: DataFrame)
         ids.filter("_new").select("tag_id", "title", "category")
     )
     alias_rows = [(n, a) for n, (_, _, names) in enumerate(rules.DEFAULT_TAGS, 1) for a in names]
-    wanted = spark.createDataFrame(alias_rows, "n long, title string")
+    wanted = literal_rows(spark, ["n", "title"], alias_rows)
     missing = wanted.join(alias.select("title"), "title", "left_anti").join(ids.select("n", "tag_id"), "n")
     aliases_now = alias.select("tag_id", "title").unionByName(missing.select("tag_id", "title"))
     ends = []

@@ -43,21 +43,18 @@ def has_alpha(pix_fmt: ColumnOrName) -> Column:
 def parse_fps(raw: ColumnOrName) -> Column:
     """Struct (num, den, value, error) of a frame rate written ``n`` or ``n/d``."""
     raw = col(raw)
-    parts = F.split(raw, "/")
-    num = F.get(parts, F.lit(0)).try_cast("long")
-    den = F.when(F.size(parts) == 1, F.lit(1).cast("long")).otherwise(
-        F.get(parts, F.lit(1)).try_cast("long")
+    upper = F.when(
+        F.substring_index(raw, "/", 2) == raw, F.substring_index(raw, "/", 1).try_cast("long")
     )
-    error = (
-        F.when(raw.isNull() | (F.size(parts) > 2) | num.isNull() | den.isNull(), "malformed")
-        .when(den == 0, "undefined")
+    lower = F.when(F.contains(raw, F.lit("/")), F.substring_index(raw, "/", -1).try_cast("long")).otherwise(
+        F.lit(1).cast("long")
     )
-    ok = error.isNull()
+    usable = upper.isNotNull() & (lower != 0)
     return F.struct(
-        F.when(ok, num).alias("num"),
-        F.when(ok, den).alias("den"),
-        F.when(ok, F.try_divide(num.cast("double"), den.cast("double"))).alias("value"),
-        error.alias("error"),
+        F.when(usable, upper).alias("num"),
+        F.when(usable, lower).alias("den"),
+        F.try_divide(upper.cast("double"), lower.cast("double")).alias("value"),
+        F.when(upper.isNull() | lower.isNull(), "malformed").when(lower == 0, "undefined").alias("error"),
     )
 
 

@@ -36,37 +36,39 @@ def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
     without a known or estimated duration, or without a usable frame rate, carries the
     reason in ``error``.
     """
-    base = probes.join(frames, "file_id", "left").select(
-        "file_id", "mime_type", "media_type", "estimated_duration", "is_vfr", "frames",
+    # Only the few facts of the first streams travel to the join, not whole probes.
+    picked = probes.select(
+        "file_id", "mime_type", "media_type",
         F.get(_streams("video"), F.lit(0)).alias("v"), F.get(_streams("audio"), F.lit(0)).alias("a"),
         F.size(_streams("audio")).alias("sounds"),
         F.col("probe.format.duration").try_cast("double").alias("duration"),
-        media_format_of_mime("mime_type").alias("format"),
     )
+    base = picked.select(
+        "file_id", "mime_type", "media_type", "sounds", "duration", "v.width", "v.height", "v.pix_fmt", "v.profile",
+        F.col("v.level").alias("codec_level"), F.col("a.profile").alias("audio_profile"),
+        media_format_of_mime("mime_type").alias("format"),
+        codecs.stream_fps("v.avg_frame_rate", "v.r_frame_rate").alias("rate"),
+        codecs.video_codec("v.codec_name").alias("video_codec"),
+        codecs.audio_codec("a.codec_name").alias("audio_codec"),
+        codecs.bit_depth("v.pix_fmt").alias("bit_depth"),
+    ).join(frames, "file_id", "left")
     animated = F.col("format").isin(*rules.ANIMATED_IMAGE_FORMATS) & (F.coalesce("frames", F.lit(0)) > 1)
     is_video = (F.col("media_type") == "video") | animated
     rows = base.withColumns(
-        {
-            "is_video": is_video,
-            "fps": codecs.stream_fps("v.avg_frame_rate", "v.r_frame_rate"),
-            "video_codec": codecs.video_codec("v.codec_name"),
-            "audio_codec": codecs.audio_codec("a.codec_name"),
-            "bit_depth": codecs.bit_depth("v.pix_fmt"),
-            "loop": codecs.is_loop("sounds", "duration", "estimated_duration"),
-        }
+        {"is_video": is_video, "loop": codecs.is_loop("sounds", "duration", "estimated_duration")}
     )
     level = F.when(
         F.col("is_video"),
-        codecs.media_level("video_codec", "audio_codec", "v.width", "v.height", "fps.value", "bit_depth"),
-    ).otherwise(image_level("v.width", "v.height", "format"))
+        codecs.media_level("video_codec", "audio_codec", "width", "height", "rate.value", "bit_depth"),
+    ).otherwise(image_level("width", "height", "format"))
     video_only = lambda c: F.when(F.col("is_video"), c)
     return rows.select(
         "file_id", "mime_type", "format", "is_video",
         F.when(F.col("loop.value") & F.col("is_video"), "video-loop")
         .when(F.col("is_video"), "video").otherwise("image").alias("content_type"),
-        F.col("v.width").alias("width"), F.col("v.height").alias("height"),
-        F.least("v.width", "v.height").alias("min_size"), F.greatest("v.width", "v.height").alias("max_size"),
-        video_only(F.col("fps.value")).alias("fps"),
+        "width", "height",
+        F.least("width", "height").alias("min_size"), F.greatest("width", "height").alias("max_size"),
+        video_only(F.col("rate.value")).alias("fps"),
         video_only(F.col("video_codec")).alias("video_codec"),
         video_only(F.col("audio_codec")).alias("audio_codec"),
         video_only(codecs.container_fit("MP4", "video_codec", "audio_codec")).alias("mp4"),
@@ -75,14 +77,14 @@ def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
         video_only(F.col("estimated_duration")).alias("estimated_duration"),
         video_only(F.col("is_vfr")).alias("is_vfr"),
         video_only(F.col("frames")).alias("frames"),
-        video_only(codecs.has_alpha("v.pix_fmt")).alias("has_alpha"),
+        video_only(codecs.has_alpha("pix_fmt")).alias("has_alpha"),
         video_only(F.col("bit_depth")).alias("bit_depth"),
-        video_only(F.col("v.profile")).alias("profile"), video_only(F.col("v.level")).alias("codec_level"),
+        video_only(F.col("profile")).alias("profile"), video_only(F.col("codec_level")).alias("codec_level"),
         video_only(
-            codecs.codec_string("video_codec", "v.profile", "v.level", "bit_depth", "audio_codec", "a.profile")
+            codecs.codec_string("video_codec", "profile", "codec_level", "bit_depth", "audio_codec", "audio_profile")
         ).alias("codec_string"),
         level.alias("level"),
-        video_only(F.coalesce("loop.error", "fps.error")).alias("error"),
+        video_only(F.coalesce("loop.error", "rate.error")).alias("error"),
     )
 
 
@@ -114,10 +116,11 @@ def _exceeds(codec: str, level: int, with_fps: bool) -> Column:
     return bigger | (F.col("fps") > fps) if with_fps else bigger
 
 
-def transcode_plan(passport: DataFrame) -> DataFrame:
+def transcode_plan(passport: DataFrame, *facts: str) -> DataFrame:
     """Rows (file_id, step, target_level, container, codec, action, max_kbps, quality).
 
-    ``passport`` rows are videos. Actions: copy the streams, keep the file, encode.
+    ``passport`` rows are videos; columns named in ``facts`` stay with every step.
+    Actions: copy the streams, keep the file, encode.
     """
     level = F.col("level")
     loop = F.col("content_type") == "video-loop"
@@ -152,8 +155,8 @@ def transcode_plan(passport: DataFrame) -> DataFrame:
     ]
     planned = F.array_compact(F.array(*[F.when(c, a) for c, a in steps]))
     return passport.select(
-        "file_id", F.posexplode(planned).alias("step", "p")
-    ).select("file_id", "step", "p.*")
+        "file_id", *facts, F.posexplode(planned).alias("step", "p")
+    ).select("file_id", "step", "p.*", *facts)
 
 
 def _by_target(codec: str, position: int) -> Column:
@@ -161,10 +164,10 @@ def _by_target(codec: str, position: int) -> Column:
     return lookup(F.col("target_level"), table)
 
 
-def encode_settings(plan: DataFrame, passport: DataFrame) -> DataFrame:
-    """Encoder settings of every encode step of a plan."""
-    facts = passport.select("file_id", "width", "height", "min_size", "max_size", "fps", "is_vfr")
-    rows = plan.filter(F.col("action") == "encode").join(facts, "file_id")
+def encode_settings(passport: DataFrame) -> DataFrame:
+    """Encoder settings of every encode step of the plan of each video."""
+    plan = transcode_plan(passport, "width", "height", "min_size", "max_size", "fps", "is_vfr")
+    rows = plan.filter(F.col("action") == "encode")
     codec = F.col("codec")
     h264 = codec == "H264"
     limit = lambda i: F.when(codec == "VP9", _by_target("VP9", i)).when(codec == "AV1", _by_target("AV1", i)).otherwise(

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import rules
-from tagloom.functions import names, origins, sizes
-from tagloom.functions.common import ColumnOrName, col, lookup, python_quote
+from tagloom.functions import names, sizes
+from tagloom.functions.common import lookup, python_quote
 from tagloom.functions.levels import image_level
-from tagloom.plans.cells import MAX_ENTRIES, joined_cell
-from tagloom.plans.positions import first_by
+from tagloom.plans.cells import MAX_ENTRIES, cell
+from tagloom.plans.positions import first_by, first_k
 
 MEDIA_URL = "/media/"
 
@@ -63,19 +61,23 @@ def _reaches(target_width: int, target_height: int) -> Column:
     return (F.col("width") >= target_width) | (F.col("height") >= target_height)
 
 
+def _entry(target_width: int, target_height: int, media_url: str, places: int | None) -> tuple[Column, Column]:
+    """Address and printed pixel ratio of an image."""
+    ratio = sizes.size_relation("width", "height", target_width, target_height)
+    shown = ratio.cast("string") if places is None else F.format_string(f"%.{places}f", ratio)
+    return F.concat(F.lit(media_url), python_quote("filepath")), shown
+
+
 def srcset_entries(
     representation: DataFrame, target_width: int, target_height: int,
     media_url: str = MEDIA_URL, places: int | None = None,
 ) -> DataFrame:
     """One row per image that reaches the target: its address, width and pixel ratio."""
+    url, shown = _entry(target_width, target_height, media_url, places)
     ratio = sizes.size_relation("width", "height", target_width, target_height)
-    shown = ratio.cast("string") if places is None else F.format_string(f"%.{places}f", ratio)
     return (
         images(representation).filter(_reaches(target_width, target_height))
-        .select(
-            "content_id", "width", "filepath", ratio.alias("ratio"),
-            F.concat(F.lit(media_url), python_quote("filepath")).alias("url"), shown.alias("ratio_text"),
-        )
+        .select("content_id", "width", "filepath", ratio.alias("ratio"), url.alias("url"), shown.alias("ratio_text"))
     )
 
 
@@ -86,26 +88,25 @@ def image_srcset(
     """(content_id, srcset, srcset_n, base_src) of every item with an image.
 
     ``base_src`` is the narrowest image reaching the target, else the one with the
-    largest area. An item with more than ``max_entries`` entries has a null ``srcset``
-    and is served by ``srcset_entries``.
+    largest area. Images are put in an order that starts with the ones reaching the
+    target, narrowest first, so the first row is the base and one pass gives both. An
+    item with more than ``max_entries`` entries has a null ``srcset`` and is served by
+    ``srcset_entries``.
     """
-    entries = srcset_entries(representation, target_width, target_height, media_url, places)
-    text = F.concat("url", F.lit(" "), "ratio_text", F.lit("x"))
-    cells = joined_cell(
-        entries, ["content_id"], [F.col("width"), F.col("filepath")], text, ", ", "srcset", max_entries
-    )
     reaches = _reaches(target_width, target_height)
     area = F.col("width").cast("long") * F.col("height").cast("long")
-    order = F.struct(
-        F.when(reaches, 0).otherwise(1).alias("a"), F.when(~reaches, -area).alias("b"),
-        F.col("width").alias("c"), F.col("filepath").alias("d"),
+    order = [
+        F.when(reaches, 0).otherwise(1), F.when(~reaches, -area), F.col("width"), F.col("filepath"),
+    ]
+    ranked = first_k(
+        images(representation).select("content_id", "width", "height", "filepath"), ["content_id"], order,
+        max_entries + 1,
     )
-    base = images(representation).groupBy("content_id").agg(F.min_by("filepath", order).alias("base_src"))
-    none = F.col("srcset_n").isNull()
-    return base.join(cells, "content_id", "left").select(
-        "content_id",
-        F.when(none, "").otherwise(F.col("srcset")).alias("srcset"),
-        F.coalesce("srcset_n", F.lit(0)).cast("long").alias("srcset_n"), "base_src",
+    url, ratio = _entry(target_width, target_height, media_url, places)
+    text = F.when(reaches, F.concat(url, F.lit(" "), ratio, F.lit("x")))
+    return ranked.withColumn("_text", text).groupBy("content_id").agg(
+        cell(F.col("_rank"), F.col("_text"), ", ", max_entries).alias("srcset"),
+        F.count("_text").alias("srcset_n"), F.min_by("filepath", "_rank").alias("base_src"),
     )
 
 

@@ -80,14 +80,17 @@ def register_albums(
         "album_title", "origin_name", F.explode("ordered_content").alias("ord", "origin_id")
     ).select("album_title", "origin_name", F.col("ord").cast("long").alias("ord"), "origin_id")
     asked = as_list.unionByName(as_map)
-    known = origin.select(F.col("name").alias("origin_name"), "origin_id", "content_id")
-    items = asked.join(known, ["origin_name", "origin_id"]).select("album_title", "content_id", "ord")
+    # Empty ids repeat; like any other id they stand for one item.
+    known = origin.groupBy(F.col("name").alias("origin_name"), "origin_id").agg(F.max("content_id").alias("content_id"))
+    placed = asked.join(known, ["origin_name", "origin_id"], "left").select("album_title", "content_id", "ord")
+    items = placed.filter(F.col("content_id").isNotNull())
     creators = album_creators(
         items.withColumnRenamed("album_title", "album_id"), content_tag, tag,
         items.limit(0).select(F.col("album_title").alias("album_id"), F.lit(0).cast("long").alias("tag_id")),
     ).groupBy(F.col("album_id").alias("album_title")).agg(F.count(F.lit(1)).alias("creators_found"))
-    totals = asked.groupBy("album_title").agg(F.count(F.lit(1)).alias("items_total"))
-    registered = items.groupBy("album_title").agg(F.count(F.lit(1)).alias("items_registered"))
+    counts = placed.groupBy("album_title").agg(
+        F.count(F.lit(1)).alias("items_total"), F.count("content_id").alias("items_registered")
+    )
     present = album.filter(F.col("album_name") != "").groupBy(F.col("album_name").alias("album_title")).agg(
         F.min("album_id").alias("album_id"), F.max("set_tag_id").alias("_set")
     )
@@ -96,7 +99,7 @@ def register_albums(
     ).agg(F.min("tag_id").alias("_same_title"))
     summary = (
         requests.select("album_title", "origin_name", error.alias("error"))
-        .join(totals, "album_title", "left").join(registered, "album_title", "left")
+        .join(counts, "album_title", "left")
         .join(creators, "album_title", "left").join(present, "album_title", "left")
         .join(set_tag, "album_title", "left")
         .select(

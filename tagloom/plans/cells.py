@@ -7,7 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 10_000
+from tagloom.plans.positions import first_k
+
+# Entries a cell may hold; one more is looked at to see that there are more. Group limits
+# are pushed below the shuffle up to 1000 rows (spark.sql.optimizer.windowGroupLimitThreshold).
+MAX_ENTRIES = 999
+
+
+def cell(rank: Column, text: Column, separator: str, max_entries: int) -> Column:
+    """Aggregate: the texts in rank order, joined; null for more than ``max_entries``."""
+    entry = F.when(text.isNotNull(), F.struct(rank.alias("rank"), text.alias("text")))
+    listed = F.sort_array(F.collect_list(entry))
+    return F.when(F.count(text) <= max_entries, F.array_join(listed["text"], separator))
 
 
 def joined_cell(
@@ -21,20 +32,12 @@ def joined_cell(
 ) -> DataFrame:
     """One row per group: ``name`` = the texts in order, joined; ``name_n`` = how many.
 
-    Groups are counted first (combined on the map side). One with more than
-    ``max_entries`` texts keeps its count and gets a null cell: its rows are whole
-    in ``df``, which is the form for groups too large to be a single value.
+    A map task sends at most ``max_entries + 1`` rows of a group, so no group is gathered
+    whole. One with more gets a null cell and ``name_n`` = ``max_entries + 1``: its rows
+    are complete in ``df``, which is the form for groups too large to be a single value.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{name}_n"))
-    fit = counts.filter(F.col(f"{name}_n") <= max_entries).select(*by)
-    entry = F.struct(
-        *[o.alias(f"o{i}") for i, o in enumerate(order)], text.alias("text")
-    )
-    cells = (
-        df.select(*by, entry.alias("_e"))
-        .join(fit, list(by), "left_semi")
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list("_e")).alias("_list"))
-        .select(*by, F.array_join(F.col("_list.text"), separator).alias(name))
+    ranked = first_k(df.withColumn("_text", text), by, order, max_entries + 1)
+    return ranked.groupBy(*by).agg(
+        cell(F.col("_rank"), F.col("_text"), separator, max_entries).alias(name),
+        F.count("_text").alias(f"{name}_n"),
     )
-    return counts.join(cells, list(by), "left")

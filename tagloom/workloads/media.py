@@ -175,8 +175,7 @@ def _even(x: str) -> str:
           case when codec = 'AV1' then case when min_size > 1080 then 5 else 4 end end as preset from h""",
 )
 def encode_settings(i: Inputs):
-    videos = passport(i).filter("is_video")
-    settings = media.encode_settings(media.transcode_plan(videos), videos)
+    settings = media.encode_settings(passport(i).filter("is_video"))
     return settings.withColumn("out_fps", F.round("out_fps", 9))
 
 

@@ -35,13 +35,14 @@ def album_creators(i: Inputs):
 
 @query(
     "register_albums",
-    """with r as (select c_custkey, case when c_custkey % 4 = 1 then c_name when c_custkey % 9 = 0 then lower(c_mktsegment)
-                    else 'request ' || c_custkey end as album_title from customer where c_custkey % 9 <> 0 or c_custkey < 45),
+    """with r as (select c_custkey, case when c_custkey % 4 = 1 then c_name when c_custkey % 3 = 0 then 'set ' || c_custkey
+                    else 'request ' || c_custkey end as album_title from customer),
          r1 as (select album_title, min(c_custkey) as c_custkey from r group by album_title),
          ids as (select r1.album_title, r1.c_custkey, o_orderkey, origin_id,
                    row_number() over (partition by r1.album_title order by o_orderkey) * case when r1.c_custkey % 2 = 0 then 10 else 1 end as ord
                  from r1 join orders on o_custkey = r1.c_custkey join f_origin on content_id = o_orderkey),
-         it as (select ids.album_title, o.content_id, ord from ids join f_origin o on o.name = 'derpibooru' and o.origin_id = ids.origin_id
+         kn as (select name, origin_id, max(content_id) as content_id from f_origin group by all),
+         it as (select ids.album_title, o.content_id, ord from ids join kn o on o.name = 'derpibooru' and o.origin_id = ids.origin_id
                 where ids.c_custkey % 7 <> 0),
          cr as (select album_title, count(distinct t.tag_id) as n from it join f_content_tag c on c.content_id = it.content_id
                 join f_tag t on t.tag_id = c.tag_id and t.category = 'creator' group by album_title),
@@ -57,10 +58,10 @@ def album_creators(i: Inputs):
 def register_albums(i: Inputs):
     key = F.col("c_custkey")
     title = (
-        F.when(key % 4 == 1, F.col("c_name")).when(key % 9 == 0, F.lower("c_mktsegment"))
+        F.when(key % 4 == 1, F.col("c_name")).when(key % 3 == 0, F.concat(F.lit("set "), key.cast("string")))
         .otherwise(F.concat(F.lit("request "), key.cast("string")))
     )
-    wanted = i.customer.filter((key % 9 != 0) | (key < 45)).groupBy(title.alias("album_title")).agg(
+    wanted = i.customer.groupBy(title.alias("album_title")).agg(
         F.min("c_custkey").alias("c_custkey")
     )
     held = i.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("content_id")).join(

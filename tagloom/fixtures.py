@@ -57,6 +57,12 @@ class Dialect:
         digits = f"substr(md5({x}), 1, 15)"
         return f"cast('0x' || {digits} as bigint)" if self.duck else f"cast(conv({digits}, 16, 10) as bigint)"
 
+    def each(self, *pairs: tuple[str, str]) -> str:
+        """One row per (title, category), as a struct."""
+        if self.duck:
+            return "unnest([" + ", ".join(f"{{'title': {t}, 'category': {c}}}" for t, c in pairs) + "])"
+        return "explode(array(" + ", ".join(f"named_struct('title', {t}, 'category', {c})" for t, c in pairs) + "))"
+
     def day(self, x: str) -> str:
         return f"strftime({x}, '%Y-%m-%d')" if self.duck else f"date_format({x}, 'yyyy-MM-dd')"
 
@@ -87,13 +93,14 @@ def views(d: Dialect) -> dict[str, str]:
               {d.sha("cast(o_orderkey as string)")} as source_hash,
               {d.day("o_orderdate")} || '-' || {d.sha_hex("cast(o_orderkey as string)")} as slug
             from orders""",
-        "f_tag_name": """
-            select l_orderkey as content_id, lower(p_type) as title, 'content' as category
-              from lineitem join part on l_partkey = p_partkey
-            union select l_orderkey, lower(p_brand), 'creator' from lineitem join part on l_partkey = p_partkey
-            union select l_orderkey, split_part(p_name, ' ', 1), 'style'
-              from lineitem join part on l_partkey = p_partkey
-            union select o_orderkey, 'safe', 'rating' from orders where o_totalprice < 200000
+        "f_tag_name": f"""
+            select content_id, t.title as title, t.category as category from (
+              select l_orderkey as content_id, {d.each(
+                  ("lower(p_type)", "'content'"), ("lower(p_brand)", "'creator'"),
+                  ("split_part(p_name, ' ', 1)", "'style'"))} as t
+              from lineitem join part on l_partkey = p_partkey) x
+            union select o_orderkey, case when o_totalprice < 200000 then 'safe' else o_orderstatus end, 'rating'
+              from orders where o_totalprice < 200000
             union select o_orderkey, 'set ' || cast(o_custkey as string), 'set' from orders
               where o_orderkey % 5 < 3 and o_custkey % 3 = 0""",
         "f_content_tag": f"select content_id, {tag_id} as tag_id from f_tag_name",
@@ -102,7 +109,7 @@ def views(d: Dialect) -> dict[str, str]:
               select lower(p_type) as title, 'content' as category from part
               union select lower(p_brand), 'creator' from part
               union select split_part(p_name, ' ', 1), 'style' from part
-              union select 'safe', 'rating' from region
+              union select case when r_regionkey >= 0 then 'safe' else r_name end, 'rating' from region
               union select 'set ' || cast(c_custkey as string), 'set' from customer where c_custkey % 3 = 0) t""",
         "f_alias": """
             select min(tag_id) as tag_id, title from (

@@ -173,12 +173,13 @@ def encode_settings(passport: DataFrame) -> DataFrame:
     limit = lambda i: F.when(codec == "VP9", _by_target("VP9", i)).when(codec == "AV1", _by_target("AV1", i)).otherwise(
         F.lit(_LEVEL[("H264", 1)][i])
     )
+    # Limits become columns first, so the size arithmetic refers to them by name.
     rows = rows.withColumns(
         {
-            "_longest": limit(0), "_shortest": limit(1), "_fps_limit": limit(2),
-            "size": sizes.scale_down("width", "height", limit(1), limit(0)),
+            "_longest": limit(0).cast("int"), "_shortest": limit(1).cast("int"), "_fps_limit": limit(2).cast("int"),
+            "_tiles": sizes.tile_exponent("max_size"),
         }
-    )
+    ).withColumn("size", sizes.scale_down("width", "height", "_shortest", "_longest"))
     cap = F.col("_fps_limit") * rules.FPS_LIMIT_TOLERANCE
     halvings = F.size(
         F.filter(
@@ -186,7 +187,7 @@ def encode_settings(passport: DataFrame) -> DataFrame:
         )
     )
     halved = F.when(~h264, F.col("fps") / F.pow(F.lit(2.0), halvings))
-    tiles = sizes.tile_exponent("max_size")
+    tiles = F.col("_tiles")
     portrait = F.col("height") > F.col("width")
     columns = F.when(portrait, 0).otherwise(tiles)
     rows_log2 = F.when(portrait, tiles).otherwise(0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom import rules
 from tagloom.functions import origins
 from tagloom.functions.hashing import far_similarity
-from tagloom.operators.representations import image_srcset, images, preview_pick
+from tagloom.operators.representations import image_srcset, preview_pick
 from tagloom.operators.search import preset_expr, preset_filter, require_known, tag_search
 from tagloom.plans.cells import joined_cell
 from tagloom.plans.positions import first_k, number_rows

@@ -221,7 +221,7 @@ def manage_origins(i: Inputs):
 
 @query(
     "task_results",
-    """select c.content_id + 1 as task_id, c.content_id, c.content_id * 3 as source_file_size, coalesce(s.n, 0) as result_file_size from f_content c
+    """select c.content_id + 1 as task_id, c.content_id, c.content_id * 3 as source_file_size, coalesce(s.n, 0)::bigint as result_file_size from f_content c
        left join (select content_id, sum(width::bigint * height) as n from f_representation group by content_id) s on s.content_id = c.content_id""",
 )
 def task_results(i: Inputs):

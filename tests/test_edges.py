@@ -1,7 +1,5 @@
 """Cases the views do not contain."""
 
-import datetime as dt
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

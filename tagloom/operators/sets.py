@@ -176,6 +176,38 @@ def album_pages(items: DataFrame, per_page: int = rules.PAGE_SIZE) -> DataFrame:
     return numbered.withColumn("page", (F.floor((F.col("position") - 1) / per_page) + 1).cast("int"))
 
 
+def _pages_with_srcset(
+    items: DataFrame, owner: str, order: str, content: DataFrame, representation: DataFrame, per_page: int
+) -> DataFrame:
+    numbered = number_rows(items, "position", [order], by=[owner])
+    page = (F.floor((F.col("position") - 1) / per_page) + 1).cast("int")
+    sets = image_srcset(representation, 256, 256)
+    return (
+        numbered.join(content.select("content_id", "slug", "title", "content_type"), "content_id")
+        .join(sets, "content_id", "left")
+        .select(
+            owner, "position", page.alias("page"), "content_id", "slug", "title", "content_type",
+            F.when(F.col("base_src").isNull(), "").otherwise(F.col("srcset")).alias("srcset"), "base_src",
+        )
+    )
+
+
+def all_album_details(
+    items: DataFrame, content: DataFrame, representation: DataFrame, per_page: int = rules.PAGE_SIZE
+) -> DataFrame:
+    """Every page of every album: items in order with addresses at 256."""
+    rows = items.select("album_id", "ord", "content_id")
+    return _pages_with_srcset(rows, "album_id", "ord", content, representation, per_page)
+
+
+def all_collection_details(
+    items: DataFrame, content: DataFrame, representation: DataFrame, per_page: int = rules.PAGE_SIZE
+) -> DataFrame:
+    """Every page of every collection: items by id with addresses at 256."""
+    rows = items.select("collection_id", "content_id")
+    return _pages_with_srcset(rows, "collection_id", "content_id", content, representation, per_page)
+
+
 def collection_listing(
     collection: DataFrame, items: DataFrame, representation: DataFrame, show_nsfw: bool = False
 ) -> DataFrame:

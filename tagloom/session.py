@@ -21,6 +21,7 @@ def build_session(app: str = "tagloom", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # HotSpot never compiles methods over 8 KB; beyond that, split expressions run faster.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )

@@ -240,3 +240,21 @@ def validate_albums(i: Inputs):
 def validate_order(i: Inputs):
     o = i.f_album_order.select("album_id", (F.col("content_id") % 1000).alias("content_id"), (F.col("ord") % 500).alias("ord"))
     return sets.validate_order(o)
+
+
+def pages_sql(items: str, owner: str, order: str) -> str:
+    return f"""with n as (select {owner}, content_id, row_number() over (partition by {owner} order by {order}) as position from {items}),
+        s as ({srcset_sql(256, 256)})
+        select n.{owner}, position, cast((position - 1) // 24 + 1 as int) as page, c.content_id, c.slug, c.title, c.content_type,
+          coalesce(srcset, '') as srcset, base_src
+        from n join f_content c on c.content_id = n.content_id left join s on s.content_id = n.content_id"""
+
+
+@query("album_detail_all", pages_sql("f_album_order", "album_id", "ord"))
+def album_detail_all(i: Inputs):
+    return sets.all_album_details(i.f_album_order, i.f_content, i.f_representation)
+
+
+@query("collection_detail_all", pages_sql("f_collection_item", "collection_id", "content_id"))
+def collection_detail_all(i: Inputs):
+    return sets.all_collection_details(i.f_collection_item, i.f_content, i.f_representation)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import packing, secrets, sentencepiece
+from tagloom.llm import chat, packing, pii, quality, secrets, sentencepiece, sharding
 from tagloom.llm.common import joined, read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -27,8 +27,8 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def count_kind(kind: str):
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+def kind_is(kind: str):
+    return lambda span: span["kind"] == kind
 
 
 @query("op1_sentencepiece")
@@ -46,7 +46,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     return found.select(
         "doc_id",
-        *[count_kind(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        *[F.size(F.filter("spans", kind_is(kind))).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS],
         F.sha2(joined(base, secrets.KINDS), 256).alias("base_sha256"),
         joined(F.col("spans"), secrets.KINDS).alias("spans"),
     )
@@ -55,3 +55,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_rows(packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("_rules")
+    return quality.quality_verdicts(read(spark, sf_dir, "documents")).select(
+        "doc_id", *[r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept", F.col("verdict").alias("host_verdict"),
+    )
+
+
+@query("op5_chat")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.conversation_digests(chat.windows(turns))
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", kind_is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS if kind != "likely"
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base"), pii.KINDS), 256).alias("base_sha256"),
+        joined(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

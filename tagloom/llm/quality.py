@@ -21,6 +21,13 @@ def _windows(words: Column, make) -> Column:
     return F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), make))
 
 
+def _own(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that later steps refer to by row: a generator of one row, which the optimizer
+    neither merges with the next projection nor lets a filter reach through, so that no expression is
+    put in place of the column and worked out again for each word."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``_rules`` of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
 
@@ -32,15 +39,15 @@ def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim(whole, F.lit(BLANKS))
     words, hashes, keyed = F.col("_words"), F.col("_hashes"), F.col("_keyed")
-    split = docs.select(
-        *columns,
-        F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+")).alias("_words"),
-        F.filter(F.split(whole, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "").alias("_lines"),
+    split = _own(
+        docs,
+        _words=F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+")),
+        _lines=F.filter(F.split(whole, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != ""),
     )
-    hashed = split.select("*", _windows(words, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])).alias("_hashes"))
+    hashed = _own(split, _hashes=_windows(words, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
     repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
     window = lambda i: F.struct(hashes[i].alias("h"), words[i].alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i"))
-    sorted_ = hashed.select("*", F.when(repeats, F.sort_array(_windows(words, window))).alias("_keyed"))
+    sorted_ = _own(hashed, _keyed=F.when(repeats, F.sort_array(_windows(words, window))))
 
     def same(a: Column, b: Column) -> Column:
         return (a["h"] == b["h"]) & (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
@@ -51,24 +58,22 @@ def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda k: F.when((k > 0), same(keyed[k], keyed[F.greatest(k - 1, F.lit(0))])).otherwise(F.lit(False))
         | F.when((k < last), same(keyed[k], keyed[F.least(k + 1, last)])).otherwise(F.lit(False)),
     )
-    found = sorted_.select("*", F.when(keyed.isNotNull(), F.sort_array(F.transform(twice, lambda k: keyed[k]["i"]))).alias("_at"))
+    found = _own(sorted_, _at=F.when(keyed.isNotNull(), F.sort_array(F.transform(twice, lambda k: keyed[k]["i"]))))
     at, n_at = F.col("_at"), F.size("_at")
     covered = F.aggregate(
         F.sequence(F.lit(0), n_at - 1), F.lit(0).cast("long"),
         lambda sum_, k: sum_ + F.when(k == n_at - 1, F.lit(3)).otherwise(F.least(F.lit(3), at[F.least(k + 1, n_at - 1)] - at[k])),
     )
     n = F.size(words).cast("long")
-    return found.select(
-        *columns,
-        F.struct(
-            n.alias("n_words"),
-            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            (F.char_length(whole) - F.char_length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.when(n_at > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        ).alias("_rules"),
+    rules = F.struct(
+        n.alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        (F.char_length(whole) - F.char_length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(n_at > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
     )
+    return _own(found, _rules=rules).select(*columns, "_rules")
 
 
 def base_failed(r: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, packing, pii, quality, secrets, sentencepiece, sharding
+from tagloom.llm import chat, jaccard, media, packing, pii, quality, secrets, sentencepiece, sharding, substrings
 from tagloom.llm.common import joined, read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -91,3 +91,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op6_substrings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
+
+
+@query("op10_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op8_media")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes",
+        "media_sha256", "feature",
+    )

@@ -1,5 +1,6 @@
 """Each query's result over the whole table against the plain version in brute.py."""
 
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -107,3 +108,35 @@ def test_sharding(spark, docs):
     for text in docs.values():
         size[text] += len(text.encode()) + 16
     assert max(shards.values()) == brute.minimax([size[t] for t in sorted(first, key=first.get)], 40)
+
+
+def test_substrings(spark, docs):
+    found = rows_of(spark, "op6_substrings")
+    want = brute.substrings(docs.items())
+    assert {d: (r["n_words"], r["n_removed"], r["kept_sha256"]) for d, r in found.items()} == want
+
+
+def test_jaccard(spark, docs):
+    found = rows_of(spark, "op10_jaccard")
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in found.items()} == brute.jaccard_components(docs.items())
+
+
+def test_media(spark, docs):
+    found = rows_of(spark, "op8_media")
+    assert found.keys() == docs.keys()
+    by_text = defaultdict(set)
+    for d, text in docs.items():
+        raw, r = text.encode(), found[d]
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == brute.crc(payload[-16:])
+        stored = b"P5\n192 %d\n255\n" % (len(payload) // 192) + payload
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        by_text[text].add(r["feature"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_pieces_decode(spark, docs):
+    found = rows_of(spark, "op1_sentencepiece")
+    assert {d: r["decoded_sha256"] for d, r in found.items()} == {d: brute.sha(t) for d, t in docs.items()}
+    assert all(len(r["ids"]) == r["n_ids"] for r in found.values())

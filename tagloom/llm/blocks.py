@@ -7,19 +7,18 @@ one bit per hash back. Nothing but these bits, and compressed hashes, moves betw
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 6 << 20  # of text in a block; a longer document is a block of its own
+BLOCK_BYTES = 3 << 20  # of text in a block; a longer document is a block of its own
 SHARD_BITS = 24  # counters of a shard of the sketch, as a power of two
 ROWS = 2  # of the sketch
 FAR_FIRST = -(1 << 63)  # stands for a null id
@@ -47,37 +46,52 @@ def unascending(data: bytes, kind) -> np.ndarray:
     return np.cumsum(unplanes(data, kind), dtype=kind)
 
 
+def _strings(column: pa.LargeStringArray) -> list[bytes]:
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1].tolist() if ends else []
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 class Words:
     """Windows of ``n`` words of a block's documents, hashed to two times 64 bits.
 
     ``doc`` and ``at`` say in which document, and at which of its words, each window starts.
     """
 
-    def __init__(self, texts: list[str | None], n: int, lower: bool = False, short: bool = False):
-        split = [(t or "").encode() for t in texts]
-        split = [(t.lower() if lower else t).split() for t in split]
-        self.sizes = np.array([len(w) for w in split], np.int64)
-        table = defaultdict(count().__next__)
-        total = int(self.sizes.sum())
-        ids = np.fromiter((table[w] for doc in split for w in doc), np.int64, total)
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, n: int, lower: bool = False, short: bool = False):
+        column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column) if lower else column))
+        blank = pc.equal(pc.binary_length(split.flatten()), 0)  # what an empty text is split into
+        self.sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+        if pc.any(blank).as_py():
+            whose = np.repeat(np.arange(len(self.sizes)), self.sizes)
+            self.sizes = np.bincount(whose[~blank.to_numpy(zero_copy_only=False)], minlength=len(self.sizes))
+        flat = split.flatten().filter(pc.invert(blank)).dictionary_encode()
+        ids, total = flat.indices.to_numpy(), len(flat)
+        digests = b"".join(map(xxhash.xxh3_128_digest, _strings(flat.dictionary)))
+        hashes = np.frombuffer(digests, np.uint64).reshape(-1, ROWS)
         ends = np.cumsum(self.sizes)
         starts = ends - self.sizes
         # With ``short``, documents of fewer than n words have one window of what they have.
         kept = np.maximum(self.sizes - n + 1, (self.sizes > 0) & short)
-        self.doc = np.repeat(np.arange(len(split)), kept)
+        self.doc = np.repeat(np.arange(len(self.sizes)), kept)
         self.at = np.arange(int(kept.sum())) - np.repeat(np.cumsum(kept) - kept, kept)
         begin = starts[self.doc] + self.at
+        cut_off = np.flatnonzero(begin + n > ends[self.doc]) if short else begin[:0]
         self.keys = []
         for row in range(ROWS):
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, row) for w in table), np.uint64, len(table))
-            of = np.append(hashes[ids], np.uint64(0))
-            key = np.zeros(len(begin), np.uint64)
+            of = np.append(hashes[ids, row], np.zeros(n, np.uint64))
+            sums = np.zeros(total, np.uint64)
             for j in range(n):
-                inside = begin + j
-                value = of[np.minimum(inside, total)] * _MULTIPLIERS[row][j]
-                if short:
-                    value = np.where(inside < ends[self.doc], value, np.uint64(j + 1))
-                key += value
+                sums += of[j : j + total] * _MULTIPLIERS[row][j]
+            key = sums[begin]
+            if len(cut_off):
+                key[cut_off] = 0
+                for j in range(n):
+                    inside = begin[cut_off] + j < ends[self.doc[cut_off]]
+                    key[cut_off] += np.where(inside, of[begin[cut_off] + j], np.uint64(j + 1)) * _MULTIPLIERS[row][j]
             # Spread the last word's influence to the high bits, which choose shard and counter.
             key ^= key >> np.uint64(29)
             self.keys.append(key * np.uint64(0xBF58476D1CE4E5B9))
@@ -85,7 +99,7 @@ class Words:
 
 def unique_keys(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): positions sorted by key, and the number of its key among the distinct ones for each."""
-    order = np.argsort(k1, kind="stable")
+    order = np.argsort(k1)
     a, b = k1[order], k2[order]
     same = a[1:] == a[:-1]
     if (same & (b[1:] != b[:-1])).any():
@@ -108,12 +122,16 @@ class Sketch:
         self.bits = min(max(int(np.ceil(np.log2(max(windows, 1) * 4))), 12), 60)
         self.shard_bits = min(self.bits, SHARD_BITS)
 
-    def counters(self, words: Words) -> list[np.ndarray]:
-        """The distinct counters of a block's windows, ascending, for each row of the sketch."""
-        return [np.unique(k >> np.uint64(64 - self.bits)) for k in words.keys]
-
-    def positions(self, words: Words, row: int, counters: np.ndarray) -> np.ndarray:
-        return np.searchsorted(counters, words.keys[row] >> np.uint64(64 - self.bits))
+    def counters(self, words: Words, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct counters of a block's windows in a row of the sketch, ascending, and which is each window's."""
+        own = words.keys[row] >> np.uint64(64 - self.bits)
+        order = np.argsort(own)
+        sorted_ = own[order]
+        new = np.ones(len(own), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        which = np.empty(len(own), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return sorted_[new], which
 
     def cut(self, counters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         shard = (counters >> np.uint64(self.shard_bits)).astype(np.int64)
@@ -136,7 +154,7 @@ def from_blob(blob: bytes) -> pa.Table:
 BLOCK_SCHEMA = "block long, kind int, shard long, payload binary"
 
 
-def sketched_blocks(docs: DataFrame, text: str, words_of: Callable[[list], Words], sketch: Sketch) -> DataFrame:
+def sketched_blocks(docs: DataFrame, text: str, words_of: Callable[[pa.ChunkedArray], Words], sketch: Sketch) -> DataFrame:
     """Rows of BLOCK_SCHEMA: kind -1 is a block with all columns of its documents; kind r the block's
     distinct counters of row r of the sketch that lie in a shard."""
 
@@ -146,8 +164,9 @@ def sketched_blocks(docs: DataFrame, text: str, words_of: Callable[[list], Words
         def block() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             out = [(-1, 0, to_blob(table))]
-            for row, counters in enumerate(sketch.counters(words_of(table.column(text).to_pylist()))):
-                out += [(row, shard, ascending(own)) for shard, own in sketch.cut(counters)]
+            words = words_of(table.column(text))
+            for row in range(ROWS):
+                out += [(row, shard, ascending(own)) for shard, own in sketch.cut(sketch.counters(words, row)[0])]
             kinds, shards, payloads = zip(*out)
             at = (part << 24) + number
             return pa.RecordBatch.from_arrays(
@@ -156,7 +175,8 @@ def sketched_blocks(docs: DataFrame, text: str, words_of: Callable[[list], Words
             )
 
         for batch in batches:
-            sizes = np.array([len(x) if x else 0 for x in batch.column(batch.schema.get_field_index(text)).to_pylist()], np.int64)
+            column = batch.column(batch.schema.get_field_index(text))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             start = 0
             for i, n in enumerate(sizes):
                 size += int(n)
@@ -209,10 +229,11 @@ def whole_mask(told: list[dict] | None, kind: int, cut: list[tuple[int, int]]) -
 def repeated_elsewhere(words: Words, told: list[dict] | None, sketch: Sketch) -> np.ndarray:
     """For each window of a block, whether the sketch estimates it in two blocks or more (never too few)."""
     out = np.ones(len(words.doc), bool)
-    for row, counters in enumerate(sketch.counters(words)):
+    for row in range(ROWS):
+        counters, which = sketch.counters(words, row)
         mask = whole_mask(told, row, [(s, len(own)) for s, own in sketch.cut(counters)])
         if len(out):
-            out &= mask[sketch.positions(words, row, counters)]
+            out &= mask[which]
     return out
 
 

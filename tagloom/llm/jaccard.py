@@ -38,12 +38,13 @@ def _sets(rows: DataFrame, doc_id: str, text: str, n: int, percent: int, sketch:
             for row in range(batch.num_rows):
                 r = batch.slice(row, 1).to_pylist()[0]
                 table = from_blob(r["payload"])
-                words = Words(table.column(text).to_pylist(), n, lower=True, short=True)
+                words = Words(table.column(text), n, lower=True, short=True)
                 ids = [FAR_FIRST if x is None else x for x in table.column(doc_id).to_pylist()]
                 elsewhere = repeated_elsewhere(words, r["told0"], sketch)
                 # Distinct n-grams of each document, by hash.
                 k1 = words.keys[0]
-                order = np.lexsort((k1, words.doc))
+                ends = np.cumsum(np.bincount(words.doc, minlength=len(ids)))
+                order = np.concatenate([a + np.argsort(k1[a:b]) for a, b in zip([0, *ends], ends)]) if len(ids) else ends
                 doc, gram = words.doc[order], k1[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])

@@ -23,7 +23,7 @@ class Block:
     def __init__(self, blob: bytes, doc_id: str, text: str, n: int):
         self.table = from_blob(blob)
         self.texts = self.table.column(text).to_pylist()
-        self.words = Words(self.texts, n)
+        self.words = Words(self.table.column(text), n)
         ids = self.table.column(doc_id).to_pylist()
         self.ids = np.array([FAR_FIRST if x is None else x for x in ids], np.int64)
         order, group = unique_keys(*self.words.keys)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 3 << 20  # of text in a block; a longer document is a block of its own
+BLOCK_BYTES = 1 << 20  # of text in a block; a longer document is a block of its own
 SHARD_BITS = 24  # counters of a shard of the sketch, as a power of two
 ROWS = 2  # of the sketch
 FAR_FIRST = -(1 << 63)  # stands for a null id
@@ -151,6 +151,23 @@ def from_blob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def by_row(work: Callable[[dict], pa.RecordBatch | pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that works on one row (a block and its answers) at a time.
+
+    What a block took is given back before the next one, also by the allocator.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                out = work(batch.slice(row, 1).to_pylist()[0])
+                yield from out.combine_chunks().to_batches() if isinstance(out, pa.Table) else [out]
+                del out
+                pa.default_memory_pool().release_unused()
+
+    return task
+
+
 BLOCK_SCHEMA = "block long, kind int, shard long, payload binary"
 
 

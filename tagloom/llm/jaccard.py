@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.blocks import (
-    FAR_FIRST, Sketch, Words, estimated_words, from_blob, repeated_counters, repeated_elsewhere, sketched_blocks,
+    FAR_FIRST, Sketch, Words, by_row, estimated_words, from_blob, repeated_counters, repeated_elsewhere, sketched_blocks,
     unique_keys, with_answers,
 )
 from tagloom.llm.common import settle_table
@@ -33,47 +33,44 @@ def _prefix(own: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
 def _sets(rows: DataFrame, doc_id: str, text: str, n: int, percent: int, sketch: Sketch) -> DataFrame:
     """(doc_id, size, key, grams, prefix): grams and prefix only where another set can be alike, and once per block."""
 
-    def task(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = batch.slice(row, 1).to_pylist()[0]
-                table = from_blob(r["payload"])
-                words = Words(table.column(text), n, lower=True, short=True)
-                ids = [FAR_FIRST if x is None else x for x in table.column(doc_id).to_pylist()]
-                elsewhere = repeated_elsewhere(words, r["told0"], sketch)
-                # Distinct n-grams of each document, by hash.
-                k1 = words.keys[0]
-                ends = np.cumsum(np.bincount(words.doc, minlength=len(ids)))
-                order = np.concatenate([a + np.argsort(k1[a:b]) for a, b in zip([0, *ends], ends)]) if len(ids) else ends
-                doc, gram = words.doc[order], k1[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
-                doc, gram, elsewhere = doc[new], gram[new], elsewhere[order][new]
-                sizes = np.bincount(doc, minlength=len(ids))
-                ends = np.cumsum(sizes)
-                keys = [xxhash.xxh3_128_digest(gram[e - s : e].tobytes()) for e, s in zip(ends, sizes)]
-                # An n-gram counts here once for each different set that has it.
-                first, fresh = {}, np.zeros(len(ids), bool)
-                for i, key in enumerate(keys):
-                    fresh[i] = sizes[i] > 0 and first.setdefault(key, i) == i
-                own = np.flatnonzero(fresh[doc])
-                sorted_, group = unique_keys(gram[own], gram[own])
-                several = np.zeros(len(gram), bool)
-                several[own[sorted_]] = np.bincount(group)[group] > 1 if len(group) else False
-                shared = elsewhere | several
-                grams, prefixes = [None] * len(ids), [None] * len(ids)
-                for i in np.flatnonzero(fresh):
-                    s = slice(ends[i] - sizes[i], ends[i])
-                    # A set that shares n - u n-grams at most is alike to none if that is too little.
-                    if 100 * int(shared[s].sum()) >= percent * int(sizes[i]):
-                        grams[i] = gram[s].tobytes()
-                        prefixes[i] = _prefix(gram[s], shared[s], percent).view(np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.binary()),
-                    "grams": pa.array(grams, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-                })
-
-    return rows.mapInArrow(task, "doc_id long, size long, key binary, grams binary, prefix array<long>")
+    def work(r: dict) -> pa.RecordBatch:
+        table = from_blob(r["payload"])
+        words = Words(table.column(text), n, lower=True, short=True)
+        ids = [FAR_FIRST if x is None else x for x in table.column(doc_id).to_pylist()]
+        elsewhere = repeated_elsewhere(words, r["told0"], sketch)
+        # Distinct n-grams of each document, by hash.
+        k1 = words.keys[0]
+        ends = np.cumsum(np.bincount(words.doc, minlength=len(ids)))
+        order = np.concatenate([a + np.argsort(k1[a:b]) for a, b in zip([0, *ends], ends)]) if len(ids) else ends
+        doc, gram = words.doc[order], k1[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
+        doc, gram, elsewhere = doc[new], gram[new], elsewhere[order][new]
+        sizes = np.bincount(doc, minlength=len(ids))
+        ends = np.cumsum(sizes)
+        keys = [xxhash.xxh3_128_digest(gram[e - s : e].tobytes()) for e, s in zip(ends, sizes)]
+        # An n-gram counts here once for each different set that has it.
+        first, fresh = {}, np.zeros(len(ids), bool)
+        for i, key in enumerate(keys):
+            fresh[i] = sizes[i] > 0 and first.setdefault(key, i) == i
+        own = np.flatnonzero(fresh[doc])
+        sorted_, group = unique_keys(gram[own], gram[own])
+        several = np.zeros(len(gram), bool)
+        several[own[sorted_]] = np.bincount(group)[group] > 1 if len(group) else False
+        shared = elsewhere | several
+        grams, prefixes = [None] * len(ids), [None] * len(ids)
+        for i in np.flatnonzero(fresh):
+            s = slice(ends[i] - sizes[i], ends[i])
+            # A set that shares n - u n-grams at most is alike to none if that is too little.
+            if 100 * int(shared[s].sum()) >= percent * int(sizes[i]):
+                grams[i] = gram[s].tobytes()
+                prefixes[i] = _prefix(gram[s], shared[s], percent).view(np.int64)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.binary()),
+            "grams": pa.array(grams, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+        })
+
+    return rows.mapInArrow(by_row(work), "doc_id long, size long, key binary, grams binary, prefix array<long>")
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:

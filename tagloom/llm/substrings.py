@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tagloom.llm.blocks import (
-    FAR_FIRST, Sketch, Words, ascending, estimated_words, extended, from_blob, planes, repeated_counters,
+    FAR_FIRST, Sketch, Words, ascending, by_row, estimated_words, extended, from_blob, planes, repeated_counters,
     repeated_elsewhere, sketched_blocks, unascending, unique_keys, unplanes, whole_mask, with_answers,
 )
 from tagloom.llm.common import settle_table
 
-RANGE_WINDOWS = 1 << 21  # windows that meet in one range of keys, at most, on average
+RANGE_WINDOWS = 1 << 20  # windows that meet in one range of keys, at most, on average
 
 
 class Block:
@@ -46,23 +46,20 @@ class Block:
 
 
 def _ask(rows: DataFrame, doc_id: str, text: str, n: int, sketch: Sketch, range_bits: int) -> DataFrame:
-    def task(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = batch.slice(row, 1).to_pylist()[0]
-                own = Block(r["payload"], doc_id, text, n)
-                asked, ranges = own.asked(r["told0"], sketch, range_bits)
-                k1, k2 = (k[own.sample[asked]] for k in own.words.keys)
-                first = own.first[asked]
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([r["block"]] * len(ranges), pa.int64()),
-                    "shard": pa.array([s for s, _ in ranges], pa.int64()),
-                    "k1": pa.array([ascending(k1[s]) for _, s in ranges], pa.binary()),
-                    "k2": pa.array([planes((k2[s] >> np.uint64(32)).astype(np.uint32)) for _, s in ranges], pa.binary()),
-                    "first": pa.array([planes(first[s]) for _, s in ranges], pa.binary()),
-                })
-
-    return rows.mapInArrow(task, "block long, shard long, k1 binary, k2 binary, first binary")
+    def work(r: dict) -> pa.RecordBatch:
+        own = Block(r["payload"], doc_id, text, n)
+        asked, ranges = own.asked(r["told0"], sketch, range_bits)
+        k1, k2 = (k[own.sample[asked]] for k in own.words.keys)
+        first = own.first[asked]
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([r["block"]] * len(ranges), pa.int64()),
+            "shard": pa.array([s for s, _ in ranges], pa.int64()),
+            "k1": pa.array([ascending(k1[s]) for _, s in ranges], pa.binary()),
+            "k2": pa.array([planes((k2[s] >> np.uint64(32)).astype(np.uint32)) for _, s in ranges], pa.binary()),
+            "first": pa.array([planes(first[s]) for _, s in ranges], pa.binary()),
+        })
+
+    return rows.mapInArrow(by_row(work), "block long, shard long, k1 binary, k2 binary, first binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -114,36 +111,33 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     asked = _ask(with_answers(blocks, repeated), doc_id, text, n, sketch, range_bits)
     answered = asked.groupBy("shard").applyInArrow(_answer, "block long, kind int, shard long, mask binary")
 
-    def task(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = batch.slice(row, 1).to_pylist()[0]
-                own = Block(r["payload"], doc_id, text, n)
-                ask, ranges = own.asked(r["told0"], sketch, range_bits)
-                earlier = np.zeros(own.distinct, bool)
-                earlier[ask] = whole_mask(r["told1"], 0, [(s, x.stop - x.start) for s, x in ranges])
-                words, sizes = own.words, own.words.sizes
-                found = earlier[own.of] | (own.first[own.of] < own.ids[words.doc])
-                starts = np.cumsum(sizes) - sizes
-                hits = starts[words.doc[found]] + words.at[found]
-                # +1 where a removed window starts, -1 after its end: above zero is covered.
-                steps = np.zeros(int(sizes.sum()) + 1, np.int64)
-                np.add.at(steps, hits, 1)
-                np.add.at(steps, hits + n, -1)
-                gone = np.cumsum(steps[:-1]) > 0
-                removed = np.add.reduceat(np.append(gone, False), starts) * (sizes > 0) if len(sizes) else sizes
-                kept, left = [], []
-                for t, a, k, out in zip(own.texts, starts, sizes, removed):
-                    mine = gone[a : a + k]
-                    split = (t or "").encode().split()
-                    kept.append(b" ".join([w for w, x in zip(split, mine) if not x] if out else split).decode())
-                    left.append(_remove(t, mine) if out else t)
-                extra = {"_n_words": pa.array(sizes, pa.int64()), "_n_removed": pa.array(removed, pa.int64()),
-                         "_kept": pa.array(kept, pa.string()), "_text": pa.array(left, pa.string())}
-                table = own.table
-                for name, column in extra.items():
-                    table = table.append_column(name, column)
-                yield from table.combine_chunks().to_batches()
+    def work(r: dict) -> pa.Table:
+        own = Block(r["payload"], doc_id, text, n)
+        ask, ranges = own.asked(r["told0"], sketch, range_bits)
+        earlier = np.zeros(own.distinct, bool)
+        earlier[ask] = whole_mask(r["told1"], 0, [(s, x.stop - x.start) for s, x in ranges])
+        words, sizes = own.words, own.words.sizes
+        found = earlier[own.of] | (own.first[own.of] < own.ids[words.doc])
+        starts = np.cumsum(sizes) - sizes
+        hits = starts[words.doc[found]] + words.at[found]
+        # +1 where a removed window starts, -1 after its end: above zero is covered.
+        steps = np.zeros(int(sizes.sum()) + 1, np.int64)
+        np.add.at(steps, hits, 1)
+        np.add.at(steps, hits + n, -1)
+        gone = np.cumsum(steps[:-1]) > 0
+        removed = np.add.reduceat(np.append(gone, False), starts) * (sizes > 0) if len(sizes) else sizes
+        kept, left = [], []
+        for t, a, k, out in zip(own.texts, starts, sizes, removed):
+            mine = gone[a : a + k]
+            split = (t or "").encode().split()
+            kept.append(b" ".join([w for w, x in zip(split, mine) if not x] if out else split).decode())
+            left.append(_remove(t, mine) if out else t)
+        extra = {"_n_words": pa.array(sizes, pa.int64()), "_n_removed": pa.array(removed, pa.int64()),
+                 "_kept": pa.array(kept, pa.string()), "_text": pa.array(left, pa.string())}
+        table = own.table
+        for name, column in extra.items():
+            table = table.append_column(name, column)
+        return table
 
     rows = with_answers(blocks, repeated, answered)
-    return rows.mapInArrow(task, extended(docs.schema, "_n_words long, _n_removed long, _kept string, _text string"))
+    return rows.mapInArrow(by_row(work), extended(docs.schema, "_n_words long, _n_removed long, _kept string, _text string"))

@@ -168,28 +168,15 @@ def by_row(work: Callable[[dict], pa.RecordBatch | pa.Table]) -> Callable[[Itera
     return task
 
 
-BLOCK_SCHEMA = "block long, kind int, shard long, payload binary"
-
-
-def sketched_blocks(docs: DataFrame, text: str, words_of: Callable[[pa.ChunkedArray], Words], sketch: Sketch) -> DataFrame:
-    """Rows of BLOCK_SCHEMA: kind -1 is a block with all columns of its documents; kind r the block's
-    distinct counters of row r of the sketch that lie in a shard."""
+def blocks_of(docs: DataFrame, text: str) -> DataFrame:
+    """(block, payload): all columns of the documents of a block, compressed; a row per block."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            out = [(-1, 0, to_blob(table))]
-            words = words_of(table.column(text))
-            for row in range(ROWS):
-                out += [(row, shard, ascending(own)) for shard, own in sketch.cut(sketch.counters(words, row)[0])]
-            kinds, shards, payloads = zip(*out)
-            at = (part << 24) + number
-            return pa.RecordBatch.from_arrays(
-                [pa.array([at] * len(out), pa.int64()), pa.array(kinds, pa.int32()), pa.array(shards, pa.int64()), pa.array(payloads, pa.binary())],
-                ["block", "kind", "shard", "payload"],
-            )
+            blob = to_blob(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_pydict({"block": pa.array([(part << 24) + number], pa.int64()), "payload": pa.array([blob], pa.binary())})
 
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
@@ -206,15 +193,33 @@ def sketched_blocks(docs: DataFrame, text: str, words_of: Callable[[pa.ChunkedAr
         if held:
             yield block()
 
-    return docs.mapInArrow(task, BLOCK_SCHEMA)
+    return docs.mapInArrow(task, "block long, payload binary")
+
+
+def sketches(blocks: DataFrame, text: str, words_of: Callable[[pa.ChunkedArray], Words], sketch: Sketch) -> DataFrame:
+    """(block, kind, shard, counters): the distinct counters of a block in row ``kind`` of the sketch that lie in a shard."""
+
+    def work(r: dict) -> pa.RecordBatch:
+        words = words_of(from_blob(r["payload"]).column(text))
+        out = [
+            (row, shard, ascending(own))
+            for row in range(ROWS)
+            for shard, own in sketch.cut(sketch.counters(words, row)[0])
+        ]
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([r["block"]] * len(out), pa.int64()), "kind": pa.array([k for k, _, _ in out], pa.int32()),
+            "shard": pa.array([s for _, s, _ in out], pa.int64()), "counters": pa.array([c for _, _, c in out], pa.binary()),
+        })
+
+    return blocks.mapInArrow(by_row(work), "block long, kind int, shard long, counters binary")
 
 
-def repeated_counters(blocks: DataFrame, sketch: Sketch) -> DataFrame:
+def repeated_counters(sent: DataFrame, sketch: Sketch) -> DataFrame:
     """(block, kind, shard, mask): for each counter a block has in a shard, whether the merged sketch has it twice."""
 
     def merge(table: pa.Table) -> pa.Table:
         counts = np.zeros(1 << sketch.shard_bits, np.uint8)
-        sent = [unascending(p, np.uint32) for p in table.column("payload").to_pylist()]
+        sent = [unascending(p, np.uint32) for p in table.column("counters").to_pylist()]
         for own in sent:
             counts[own] = np.minimum(counts[own], 1) + 1
         masks = [np.packbits(counts[own] >= 2).tobytes() for own in sent]
@@ -224,12 +229,12 @@ def repeated_counters(blocks: DataFrame, sketch: Sketch) -> DataFrame:
         })
 
     # A shard's group holds its counters from all blocks, of which there are a bounded number on average.
-    return blocks.filter("kind >= 0").groupBy("kind", "shard").applyInArrow(merge, "block long, kind int, shard long, mask binary")
+    return sent.groupBy("kind", "shard").applyInArrow(merge, "block long, kind int, shard long, mask binary")
 
 
 def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     """(block, payload, answers...): each block with what it was told, as lists of (kind, shard, mask)."""
-    out = blocks.filter("kind = -1").select("block", "payload")
+    out = blocks
     for i, answer in enumerate(answers):
         told = answer.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "mask")).alias(f"told{i}"))
         out = out.join(told, "block", "left")

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.blocks import (
-    FAR_FIRST, Sketch, Words, by_row, estimated_words, from_blob, repeated_counters, repeated_elsewhere, sketched_blocks,
-    unique_keys, with_answers,
+    FAR_FIRST, Sketch, Words, blocks_of, by_row, estimated_words, from_blob, repeated_counters, repeated_elsewhere,
+    sketches, unique_keys, with_answers,
 )
 from tagloom.llm.common import settle_table
 from tagloom.llm.components import components
 from tagloom.plans.positions import number_rows
 
-TILE = 2048  # sets of one size band in a tile
+TILE = 1024  # sets of one size band in a tile
 
 
 def _prefix(own: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
@@ -139,8 +139,9 @@ def _tiles(classes: DataFrame, percent: int) -> DataFrame:
         "component", F.struct("band", "band2").alias("tile"),
         F.explode(F.array_distinct(F.array("band", "band2"))).alias("band"),
     )
-    full = banded.select("cls", "component", "band").join(classes.select("cls", "grams"), "cls")
-    sent = full.join(sides, ["component", "band"]).select("component", "tile", "band", "cls", "grams")
+    # Light rows first: where each set has to go; then the sets themselves, in one join.
+    going = banded.select("cls", "component", "band").join(sides, ["component", "band"])
+    sent = going.join(classes.select("cls", "grams"), "cls").select("component", "tile", "band", "cls", "grams")
 
     def work(table: pa.Table) -> pa.Table:
         tile = table.column("tile")[0].as_py()
@@ -172,10 +173,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     sketch = Sketch(estimated_words(slim, "text"))
-    blocks = settle_table(
-        sketched_blocks(slim, "text", lambda t: Words(t, n, lower=True, short=True), sketch), "blocks"
-    )
-    answered = with_answers(blocks, repeated_counters(blocks, sketch))
+    blocks = settle_table(blocks_of(slim, "text"), "blocks")
+    sent = sketches(blocks, "text", lambda t: Words(t, n, lower=True, short=True), sketch)
+    answered = with_answers(blocks, repeated_counters(sent, sketch))
     sets = settle_table(_sets(answered, "doc_id", "text", n, percent, sketch), "sets")
     members = settle_table(
         sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("cls")), "classes"

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tagloom.llm.blocks import (
-    FAR_FIRST, Sketch, Words, ascending, by_row, estimated_words, extended, from_blob, planes, repeated_counters,
-    repeated_elsewhere, sketched_blocks, unascending, unique_keys, unplanes, whole_mask, with_answers,
+    FAR_FIRST, Sketch, Words, ascending, blocks_of, by_row, estimated_words, extended, from_blob, planes,
+    repeated_counters, repeated_elsewhere, sketches, unascending, unique_keys, unplanes, whole_mask, with_answers,
 )
 from tagloom.llm.common import settle_table
 
@@ -106,8 +106,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     size = estimated_words(docs, text)
     sketch = Sketch(size)
     range_bits = max(0, int(np.ceil(np.log2(size / RANGE_WINDOWS))))
-    blocks = settle_table(sketched_blocks(docs, text, lambda t: Words(t, n), sketch), "blocks")
-    repeated = settle_table(repeated_counters(blocks, sketch), "repeated")
+    blocks = settle_table(blocks_of(docs, text), "blocks")
+    repeated = settle_table(repeated_counters(sketches(blocks, text, lambda t: Words(t, n), sketch), sketch), "repeated")
     asked = _ask(with_answers(blocks, repeated), doc_id, text, n, sketch, range_bits)
     answered = asked.groupBy("shard").applyInArrow(_answer, "block long, kind int, shard long, mask binary")
 

@@ -13,45 +13,56 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import map_columns, settle_table, texts
 
-CACHED_WORDS = 300_000  # words whose ids a task remembers; others are looked up again
+CACHED_WORDS = 600_000  # words whose ids a worker remembers; others are looked up again
+POINTS = frozenset(b".,;:!?")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of texts, from the ids of their words.
 
-    return Tokenizer.from_file(path)
-
-
-def _word_ids(path: str):
-    """A function from texts to the little-endian ids of each.
-
-    The vocabularies meant here drop white space before anything else, so a text's ids are those of
-    its words one after another, and a word's ids can be kept.
+    The vocabularies meant here drop white space and case before anything else, so a text's ids are
+    those of its words one after another, and a word's ids can be kept. A mark after a letter or a
+    digit is a token of its own, so a word and the same word before a comma are looked up once.
     """
-    tokenizer, known = _tokenizer(path), {}
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def ids(batch: list[str]) -> list[bytes]:
-        words = [t.encode().split() for t in batch]
-        new = list(set().union(*words).difference(known)) if words else []
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def _look_up(self, words: list[bytes]) -> None:
+        pointed = {w: (w[:-1], w[-1:]) for w in words if len(w) > 1 and w[-1] in POINTS and w[-2:-1].isalnum()}
+        parts = {x for two in pointed.values() for x in two}
+        plain = list(parts.union(w for w in words if w not in pointed).difference(self.known))
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(plain, found))
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in pointed.items())
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        # Control strings are told from text before case is dropped.
+        words = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        new = list(set().union(*words).difference(self.known))
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
             new = list(set().union(*words))
-        found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        self._look_up(new)
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+
 
-    return ids, kind
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(part, at, doc_id, n, ids, width): ids end in ``end_id``; ``at`` counts the partition's ids before them."""
 
     def make():
-        ids, kind = _word_ids(tokenizer_path)
-        end, width = np.array([end_id], kind).tobytes(), int(kind[-1])
+        ids = _word_ids(tokenizer_path)  # a worker's next tasks find it again
+        end, width = np.array([end_id], ids.kind).tobytes(), int(ids.kind[-1])
         part, before = TaskContext.get().partitionId(), [0]
 
         def apply(rows):
@@ -67,7 +78,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
         return apply
 
-    return map_columns(texts(docs), make, "part long, at long, doc_id long, n long, ids binary, width int", rows=256)
+    return map_columns(texts(docs), make, "part long, at long, doc_id long, n long, ids binary, width int", rows=512)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tagloom.llm.common import map_columns, texts
 
 SPACE_MARK = "▁"
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000  # chunks whose pieces a worker remembers
 
 
 class Pieces:
@@ -37,6 +37,7 @@ class Pieces:
                 self.splits &= SPACE_MARK not in piece.lstrip(SPACE_MARK)
         self.automaton.make_automaton()
         self.unknown_score = low - 10.0
+        self.known: dict[str, bytes] = {}
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of the best segmentation, in one pass: the automaton gives, for each end, every piece
@@ -104,7 +105,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def make():
-        pieces, known = load(model_path), {}
+        pieces = load(model_path)  # a worker's next tasks find it, and what it knows, again
+        known = pieces.known
 
         def ids(text: str) -> bytes:
             chunks = pieces.chunks(text)

@@ -67,17 +67,19 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         spans = []
         for low, high in zip(known.cuts(hoped, shards, False), known.cuts(sure, shards, True)):
             i, j = bisect_right(known.ends, low) - 1, bisect_right(known.ends, high)
-            spans += [(a, b) for a, b in zip(known.ends[i:j], known.ends[i + 1 : j + 1]) if a not in known.whole]
+            open_ = [(a, b) for a, b in zip(known.ends[i:j], known.ends[i + 1 : j + 1]) if a not in known.whole]
+            if open_:  # one stretch for each cut
+                spans.append((open_[0][0], open_[-1][1]))
         spans = sorted(set(spans))
         if not spans or sure == hoped and all(known.reach(a + sure)[0] == known.reach(a + sure)[1] for a in [0, *known.cuts(sure, shards, False)]):
             return sure, [c for c in dict.fromkeys(known.cuts(sure, shards, False))]
-        step = max(1, sum(b - a for a, b in spans) // KNOWN)
-        runs = []  # neighbouring gaps as one
+        runs = []  # stretches that meet as one
         for a, b in spans:
-            if runs and runs[-1][1] == a:
-                runs[-1][1] = b
+            if runs and runs[-1][1] >= a:
+                runs[-1][1] = max(runs[-1][1], b)
             else:
                 runs.append([a, b])
+        step = max(1, sum(b - a for a, b in runs) // KNOWN)
         inside = F.lit(False)
         for a, b in runs:
             inside = inside | ((F.col("end") > a) & (F.col("end") <= b))

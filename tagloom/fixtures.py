@@ -35,10 +35,6 @@ TABLES: dict[str, T.StructType] = {
     "embeddings": _schema(vec_id=_L, embedding=T.ArrayType(T.FloatType()), label=_I),
 }
 
-# What the larger tables are spread by when they are small, and how small is left alone.
-KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id"}
-MIN_SPREAD_BYTES = 1 << 20
-
 
 @dataclass(frozen=True)
 class Dialect:
@@ -309,7 +305,7 @@ def duck_sql(select: str) -> str:
         visit(name)
     if not order:
         return select
-    ctes = ",\n".join(f"{n} as ({text[n]})" for n in order)
+    ctes = ",\n".join(f"{n} as materialized ({text[n]})" for n in order)
     body = select.strip()
     if body.lower().startswith("with recursive "):
         return f"with recursive {ctes},\n{body[len('with recursive '):]}"
@@ -333,21 +329,9 @@ class Inputs:
             self._made[name] = self._make(name)
         return self._made[name]
 
-    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
-        """Spread a table too small for the scan to give every core a split.
-
-        Small tables come as one row group, so one task would do all the work on them.
-        A table of at least one split per core is left as the scan partitions it.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        split = int(self.spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-        return df.repartition(cores, key) if MIN_SPREAD_BYTES < size < cores * split else df
-
     def _make(self, name: str) -> DataFrame:
         if name in TABLES:
-            df = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
-            return self._dealt(df, KEYS[name]) if name in KEYS else df
+            return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in self._views:
             raise AttributeError(name)
         text = self._views[name].replace("{", "{{").replace("}", "}}")

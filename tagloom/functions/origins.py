@@ -24,7 +24,7 @@ def parse_origin_url(site: ColumnOrName, url: ColumnOrName) -> Column:
     for name, (_, template) in rules.SIMPLE_SITES.items():
         base = template.split("{}")[0]
         if name == "twibooru":
-            rest = F.substring(bare, len(base) + 1, 1_000_000)
+            rest = F.substr(bare, F.lit(len(base) + 1))
             value = F.when(rest.rlike(r"^\d+$"), rest)
         else:
             value = F.element_at(F.split(bare, "/"), -1)

@@ -181,11 +181,10 @@ def encode_settings(passport: DataFrame) -> DataFrame:
         }
     ).withColumn("size", sizes.scale_down("width", "height", "_shortest", "_longest"))
     cap = F.col("_fps_limit") * rules.FPS_LIMIT_TOLERANCE
-    halvings = F.size(
-        F.filter(
-            F.sequence(F.lit(0), F.lit(40)), lambda k: F.col("fps") / F.pow(F.lit(2.0), k) > cap
-        )
-    )
+    # Halvings until the rate is within the cap; the logarithm is checked, for it may be off by one at powers of two.
+    guess = F.greatest(F.ceil(F.log2(F.col("fps") / cap)), F.lit(0))
+    over = lambda k: F.col("fps") / F.pow(F.lit(2.0), k) > cap
+    halvings = F.when(over(guess), guess + 1).when((guess > 0) & ~over(guess - 1), guess - 1).otherwise(guess)
     halved = F.when(~h264, F.col("fps") / F.pow(F.lit(2.0), halvings))
     tiles = F.col("_tiles")
     portrait = F.col("height") > F.col("width")

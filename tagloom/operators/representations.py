@@ -98,16 +98,15 @@ def image_srcset(
     order = [
         F.when(reaches, 0).otherwise(1), F.when(~reaches, -area), F.col("width"), F.col("filepath"),
     ]
-    ranked = first_k(
-        images(representation).select("content_id", "width", "height", "filepath"), ["content_id"], order,
-        max_entries + 1,
-    )
+    found = images(representation).select("content_id", "width", "height", "filepath")
+    ranked = first_k(found, ["content_id"], order, max_entries + 1)
     url, ratio = _entry(target_width, target_height, media_url, places)
     text = F.when(reaches, F.concat(url, F.lit(" "), ratio, F.lit("x")))
-    return ranked.withColumn("_text", text).groupBy("content_id").agg(
-        cell(F.col("_rank"), F.col("_text"), ", ", max_entries).alias("srcset"),
-        F.count("_text").alias("srcset_n"), F.min_by("filepath", "_rank").alias("base_src"),
+    cells = ranked.withColumn("_text", text).groupBy("content_id").agg(
+        cell(F.col("_rank"), F.col("_text"), ", ", max_entries).alias("srcset"), F.min_by("filepath", "_rank").alias("base_src")
     )
+    counts = found.groupBy("content_id").agg(F.count(F.when(text.isNotNull(), 1)).alias("srcset_n"))
+    return cells.join(counts, "content_id").select("content_id", "srcset", "srcset_n", "base_src")
 
 
 def preview_pick(representation: DataFrame, limit: int) -> DataFrame:

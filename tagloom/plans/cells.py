@@ -32,12 +32,14 @@ def joined_cell(
 ) -> DataFrame:
     """One row per group: ``name`` = the texts in order, joined; ``name_n`` = how many.
 
-    A map task sends at most ``max_entries + 1`` rows of a group, so no group is gathered
-    whole. One with more gets a null cell and ``name_n`` = ``max_entries + 1``: its rows
-    are complete in ``df``, which is the form for groups too large to be a single value.
+    A map task sends at most ``max_entries + 1`` rows of a group to where its text is made, so no
+    group is gathered whole; one with more gets a null cell, and its rows are complete in ``df``,
+    which is the form for groups too large to be a single value. ``name_n`` counts all of them.
     """
-    ranked = first_k(df.withColumn("_text", text), by, order, max_entries + 1)
-    return ranked.groupBy(*by).agg(
-        cell(F.col("_rank"), F.col("_text"), separator, max_entries).alias(name),
-        F.count("_text").alias(f"{name}_n"),
+    texts = df.withColumn("_text", text)
+    cells = first_k(texts, by, order, max_entries + 1).groupBy(*by).agg(
+        cell(F.col("_rank"), F.col("_text"), separator, max_entries).alias(name)
     )
+    counts = texts.groupBy(*by).agg(F.count("_text").alias(f"{name}_n"))
+    same = [cells[c].eqNullSafe(counts[c]) for c in by]
+    return cells.join(counts, same).select(*[cells[c] for c in by], name, f"{name}_n")

@@ -331,109 +331,5 @@ def seed_default_tags(tag: DataFrame, alias: DataFrame, implication: DataFrame)
         for side, (title, category) in zip(("target", "implicate"), rules.DEFAULT_IMPLICATION)
     ]
     edge = ids.agg(*ends).filter("target is not null and implicate is not null")
-    edges_now = implication.select("target", "implicate").unionByName(links).distinct()
-    return {"tag": tags_now, "tag_alias": aliases_now, "tag_implication": edges_now}
-
-
-def tag_ids(resolved: DataFrame, tag: DataFrame) -> DataFrame:
-    """(asked, asked_category, tag_id) once the new tags are part of ``tag``."""
-    made = tag.select("title", "category", F.col("tag_id").alias("_new"))
-    return resolved.join(made, ["title", "category"], "left").select(
-        "asked", "asked_category", F.coalesce("tag_id", "_new").alias("tag_id")
-    )
-
-
-def tag_info(tag: DataFrame, alias: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tag_id, title, category, kind, other): aliases, implied and implying tags as rows."""
-    facts = tag.select("tag_id", "title", "category")
-    title = tag.select(F.col("tag_id").alias("_other"), F.col("title").alias("other"))
-    implied = edges.select(F.col("target").alias("tag_id"), F.col("implicate").alias("_other"), F.lit("implies").alias("kind"))
-    implying = edges.select(F.col("implicate").alias("tag_id"), F.col("target").alias("_other"), F.lit("implied by").alias("kind"))
-    linked = implied.unionByName(implying).join(title, "_other").select("tag_id", "kind", "other")
-    named = alias.select("tag_id", F.lit("alias").alias("kind"), F.col("title").alias("other"))
-    return facts.join(named.unionByName(linked), "tag_id")
-
-
-def valid_alias(alias: DataFrame) -> DataFrame:
-    """(tag_id, valid_alias): the first alias that can be typed in a search."""
-    reserved = any_true([F.contains("title", F.lit(c)) for c in rules.RESERVED_ALIAS_CHARACTERS])
-    return alias.filter(~reserved).groupBy("tag_id").agg(F.min("title").alias("valid_alias"))
-
-
-def tag_stats(tag: DataFrame, alias: DataFrame, content_tag: DataFrame) -> DataFrame:
-    """Aliases and items per tag, zero included."""
-    aliases = alias.groupBy("tag_id").agg(F.count(F.lit(1)).alias("aliases"))
-    items = content_tag.groupBy("tag_id").agg(F.count(F.lit(1)).alias("items"))
-    return tag.join(aliases, "tag_id", "left").join(items, "tag_id", "left").select(
-        "tag_id", "title", "category", F.coalesce("aliases", F.lit(0)).cast("long").alias("aliases"),
-        F.coalesce("items", F.lit(0)).cast("long").alias("items"),
-    )
-
-
-def apply_predictions(
-    predictions: DataFrame, content_tag: DataFrame, tag: DataFrame, alias: DataFrame,
-    implication: DataFrame, threshold: float = 0.2,
-) -> dict[str, DataFrame]:
-    """Attach predicted tags at or above the threshold, with what they imply.
-
-    Returns the vocabulary after resolution and the new ``content_tag``.
-    """
-    kept = predictions.filter(F.col("score") >= threshold).select("content_id", F.col("tag").alias("name")).distinct()
-    asked = kept.groupBy("name").agg(F.min("content_id").alias("seq")).withColumn("category", F.lit("content"))
-    result = resolve_tags(asked, tag, alias)
-    now = apply_resolution(result, tag, alias, implication)
-    ids = tag_ids(result["resolved"], now["tag"])
-    picked = kept.join(ids.select(F.col("asked").alias("name"), "tag_id"), "name").select("content_id", "tag_id")
-    closure = implication_closure(
-        now["tag_implication"], ids.select(F.col("tag_id").alias("target")).distinct()
-    )
-    now["content_tag"] = content_tag.select("content_id", "tag_id").unionByName(
-        expand_content_tags(picked, closure)
-    ).distinct()
-    return now
-
-
-def validate_tags(tag: DataFrame, alias: DataFrame, edges: DataFrame) -> DataFrame:
-    """Violations (problem, subject, n) of the rules of the vocabulary."""
-    def repeated(df: DataFrame, problem: str, *columns: str) -> DataFrame:
-        counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        subject = F.concat_ws(" / ", *[F.col(c).cast("string") for c in columns])
-        return counts.select(F.lit(problem).alias("problem"), subject.alias("subject"), "n")
-
-    loops = edges.filter(F.col("target") == F.col("implicate")).select(
-        F.lit("self implication").alias("problem"), F.col("target").cast("string").alias("subject"),
-        F.lit(1).cast("long").alias("n"),
-    )
-    return (
-        repeated(tag, "tag", "title", "category")
-        .unionByName(repeated(alias, "alias", "title"))
-        .unionByName(repeated(edges, "implication", "target", "implicate"))
-        .unionByName(loops)
-    )
-
-
-def seed_default_tags(tag: DataFrame, alias: DataFrame, implication: DataFrame) -> dict[str, DataFrame]:
-    """The vocabulary with the built-in tags, their aliases and implication present."""
-    spark = tag.sparkSession
-    rows = [(n, title, category) for n, (title, category, _) in enumerate(rules.DEFAULT_TAGS, 1)]
-    builtin = literal_rows(spark, ["n", "title", "category"], rows)
-    present = tag.join(F.broadcast(builtin), ["title", "category"]).groupBy("n").agg(F.min("tag_id").alias("tag_id"))
-    top = tag.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("m")).scalar()
-    ids = builtin.join(present, "n", "left").select(
-        "n", "title", "category", F.coalesce("tag_id", F.col("n") + top).alias("tag_id"),
-        F.col("tag_id").isNull().alias("_new"),
-    )
-    tags_now = tag.select("tag_id", "title", "category").unionByName(
-        ids.filter("_new").select("tag_id", "title", "category")
-    )
-    alias_rows = [(n, a) for n, (_, _, names) in enumerate(rules.DEFAULT_TAGS, 1) for a in names]
-    wanted = literal_rows(spark, ["n", "title"], alias_rows)
-    missing = wanted.join(alias.select("title"), "title", "left_anti").join(ids.select("n", "tag_id"), "n")
-    aliases_now = alias.select("tag_id", "title").unionByName(missing.select("tag_id", "title"))
-    ends = []
-    for side, (title, category) in zip(("target", "implicate"), rules.DEFAULT_IMPLICATION):
-        end = ids.filter((F.col("title") == title) & (F.col("category") == category))
-        ends.append(end.select(F.lit("edge").alias("_k"), F.col("tag_id").alias(side)))
-    edge = ends[0].join(ends[1], "_k").select("target", "implicate")
     edges_now = implication.select("target", "implicate").unionByName(edge).distinct()
     return {"tag": tags_now, "tag_alias": aliases_now, "tag_implication": edges_now}

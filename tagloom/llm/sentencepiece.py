@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from tagloom.llm.common import map_columns, texts
 
 SPACE_MARK = "▁"
+CHUNK = re.compile(r"▁*[^▁\n]+|▁+|\n")
 CACHED_CHUNKS = 500_000  # chunks whose pieces a worker remembers
 
 
@@ -28,13 +30,13 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.unknown, self.silent = model.unk_id(), {i for i in range(len(self.pieces)) if model.is_control(i)}
         self.automaton, low = ahocorasick.Automaton(), 0.0
-        self.splits = True  # no piece goes on past a character that a space mark follows
+        self.splits = True  # no piece has a line end, or goes on past a character that a space mark follows
         for i, piece in enumerate(self.pieces):
             if i != self.unknown and i not in self.silent and i not in self.of_byte:
                 score = model.get_score(i)
                 low = min(low, score)
                 self.automaton.add_word(piece, (i, len(piece), score))
-                self.splits &= SPACE_MARK not in piece.lstrip(SPACE_MARK)
+                self.splits &= SPACE_MARK not in piece.lstrip(SPACE_MARK) and "\n" not in piece
         self.automaton.make_automaton()
         self.unknown_score = low - 10.0
         self.known: dict[str, bytes] = {}
@@ -79,15 +81,7 @@ class Pieces:
         if not text:
             return []
         written = SPACE_MARK + text.replace(" ", SPACE_MARK)
-        if not self.splits:
-            return [written]
-        out, held = [], 0
-        for word in written.split(SPACE_MARK)[1:]:
-            held += 1
-            if word:
-                out.append(SPACE_MARK * held + word)
-                held = 0
-        return out + [SPACE_MARK * held] * bool(held)
+        return CHUNK.findall(written) if self.splits else [written]
 
 
 @lru_cache(maxsize=2)

@@ -5,14 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from tagloom.operators import browse, search
 from tagloom.plans.positions import first_k
 from tagloom.plans.tagexpr import T
+from tagloom.workloads.catalog import QUERIES
 from tests.conftest import SF_DIR
 
-QUERIES = queries()
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -20,7 +18,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_products_and_no_single_partition_windows(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
+    text = plan(QUERIES[name].run(spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     # The one ordering over all rows runs over a row per partition of a numbering.
     for single in re.findall(r"Exchange SinglePartition.*?\n(.*?)\n(.*?)\n", text):

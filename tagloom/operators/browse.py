@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tagloom import rules
 from tagloom.functions import origins
 from tagloom.functions.hashing import far_similarity
-from tagloom.operators.representations import image_srcset, preview_pick
+from tagloom.operators.representations import image_base, preview_pick, srcset_entries
 from tagloom.operators.search import preset_expr, preset_filter, require_known, tag_search
-from tagloom.plans.cells import joined_cell
 from tagloom.plans.positions import first_k, number_rows
 from tagloom.plans.tagexpr import ANYTHING, TagExpr
 from tagloom.session import settle
@@ -24,7 +23,6 @@ SORTS = {
     "date decreasing": lambda seed: [F.col("addition_date").desc(), F.col("content_id")],
     "random": lambda seed: [F.xxhash64(F.lit(seed), "content_id"), F.col("content_id")],
 }
-DEEP_OFFSET = 100_000
 
 
 def sort_order(mode: str, seed: int = 0) -> list[Column]:
@@ -35,6 +33,11 @@ def sort_content(df: DataFrame, mode: str, seed: int = 0) -> DataFrame:
     return df.orderBy(*sort_order(mode, seed))
 
 
+def sorted_positions(df: DataFrame, mode: str, seed: int = 0) -> DataFrame:
+    """Every row with its position in the order of a sort mode, numbered without one task for all."""
+    return number_rows(df, "position", sort_order(mode, seed))
+
+
 def page_size(asked) -> int:
     try:
         size = int(asked)
@@ -47,24 +50,20 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, per_page=rul
     """One page with page, pages, has_previous and has_next.
 
     A page below 1 or beyond the end is the last page. The first page is a plain
-    top-k; only other pages need the row count beforehand, and only deep ones a
-    numbering of the table.
+    top-k; every other page is read off a distributed numbering, which also tells the
+    number of rows.
     """
     size = page_size(per_page)
     if page == 1:
         total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        shown = df.orderBy(*order).limit(size)
     else:
-        rows = df.count()
+        numbered = number_rows(df, "_pos", order)
+        rows = numbered.agg(F.max("_pos")).first()[0] or 0
         last = max(1, -(-rows // size))
         page = page if 1 <= page <= last else last
         total = F.lit(rows)
-    offset = (page - 1) * size
-    if offset < DEEP_OFFSET:
-        ordered = df.orderBy(*order)
-        shown = (ordered.offset(offset) if offset else ordered).limit(size)
-    else:
-        numbered = number_rows(df, "_pos", order)
-        shown = numbered.filter(F.col("_pos").between(offset + 1, offset + size)).drop("_pos")
+        shown = numbered.filter(F.col("_pos").between((page - 1) * size + 1, page * size)).drop("_pos")
     pages = F.greatest(F.ceil(total / size), F.lit(1)).cast("int")
     return shown.select(
         "*", F.lit(page).alias("page"), pages.alias("pages"), F.lit(page > 1).alias("has_previous"),
@@ -79,18 +78,26 @@ def number_pages(df: DataFrame, order: Sequence[Column], per_page=rules.PAGE_SIZ
     return numbered.withColumn("page", (F.floor((F.col("position") - 1) / size) + 1).cast("int"))
 
 
-def with_srcset(shown: DataFrame, representation: DataFrame, width: int, height: int, **kw) -> DataFrame:
-    """Add srcset and base_src to the rows of one page.
+def with_base_image(shown: DataFrame, representation: DataFrame, width: int, height: int) -> DataFrame:
+    """Add base_src and srcset_n to the rows of one page; ``srcset_entries`` has the addresses as rows.
 
     The page is settled first: it is at most ``PAGE_MAX`` rows, used twice here, and
     small enough to be sent to every scan task of the renditions.
     """
     shown = settle(shown)
     ids = F.broadcast(shown.select("content_id").distinct())
-    sets = image_srcset(representation.join(ids, "content_id", "left_semi"), width, height, **kw)
-    return shown.join(sets.drop("srcset_n"), "content_id", "left").withColumn(
-        "srcset", F.when(F.col("base_src").isNull(), "").otherwise(F.col("srcset"))
-    )
+    bases = image_base(representation.join(ids, "content_id", "left_semi"), width, height)
+    return with_image_count(shown.join(bases, "content_id", "left"))
+
+
+def with_image_count(df: DataFrame) -> DataFrame:
+    return df.withColumn("srcset_n", F.coalesce("srcset_n", F.lit(0)).cast("long"))
+
+
+def page_srcset(shown: DataFrame, representation: DataFrame, width: int, height: int, places: int | None = None) -> DataFrame:
+    """(content_id, width, filepath, url, ratio_text) of the images of a page's items, a row per image."""
+    ids = F.broadcast(settle(shown.select("content_id").distinct()))
+    return srcset_entries(representation.join(ids, "content_id", "left_semi"), width, height, places=places).drop("ratio")
 
 
 def content_listing(
@@ -105,7 +112,7 @@ def content_listing(
     per_page=rules.PAGE_SIZE,
     seed: int = 0,
 ) -> DataFrame:
-    """Search, preset, sort, page and image addresses of a catalog listing.
+    """Search, preset, sort, page and base images of a catalog listing; ``page_srcset`` has the addresses.
 
     Search and preset are one expression, so the bridge is read once for both.
     """
@@ -121,7 +128,7 @@ def content_listing(
     else:
         found = tag_search(preset_filter(rows, content_tag, alias, preset), content_tag, alias, expr)
     shown = paginate(found, sort_order(sort, seed), page, per_page)
-    return with_srcset(shown, representation, 256, 256).drop("is_hidden")
+    return with_base_image(shown, representation, 256, 256).drop("is_hidden")
 
 
 def tags_by_category(content_tag: DataFrame, tag: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def video_choices(representation: DataFrame, level: int = rules.DEFAULT_LEVEL) -
     return videos.select(
         "content_id", "filepath", "compatibility_level",
         (F.col("compatibility_level") <= level).alias("playable"),
-    ).orderBy("content_id", F.col("compatibility_level").desc(), "filepath")
+    )
 
 
 def origin_links(origin: DataFrame) -> DataFrame:
@@ -147,30 +154,28 @@ def origin_links(origin: DataFrame) -> DataFrame:
 def content_detail(
     content: DataFrame, content_tag: DataFrame, tag: DataFrame, representation: DataFrame
 ) -> DataFrame:
-    """One row per item: comma-joined tag titles, has_image, video count, srcset at 1024.
+    """One row per item: number of tags, has_image, video count, and images at 1024.
 
-    The lists behind it are ``tags_by_category``, ``video_choices``, ``origin_links``
-    and the album items joined on content_id.
+    The lists behind it are rows, so an item may have any number of each:
+    ``tags_by_category``, ``video_choices``, ``origin_links``, ``srcset_entries`` and the
+    album items joined on content_id. Every aggregate here is combined on the map side.
     """
-    titles = joined_cell(
-        content_tag.join(tag.select("tag_id", "title", "category"), "tag_id"), ["content_id"],
-        [F.col("category"), F.col("title")], F.col("title"), ", ", "plain_tags",
-    )
+    known = content_tag.join(tag.select("tag_id"), "tag_id", "left_semi")
+    tags = known.groupBy("content_id").agg(F.count(F.lit(1)).alias("tag_count"))
     kinds = representation.groupBy("content_id").agg(
         F.bool_or(F.col("repr_type") == rules.IMAGE).alias("has_image"),
         F.sum((F.col("repr_type") == rules.VIDEO).cast("long")).alias("videos"),
     )
-    sets = image_srcset(representation, 1024, 1024)
+    bases = image_base(representation, 1024, 1024)
     return (
         content.select("content_id", "slug", "title", "content_type")
-        .join(titles, "content_id", "left").join(kinds, "content_id", "left").join(sets, "content_id", "left")
+        .join(tags, "content_id", "left").join(kinds, "content_id", "left").join(bases, "content_id", "left")
         .select(
             "content_id", "slug", "title", "content_type",
-            F.when(F.col("plain_tags_n").isNull(), "").otherwise(F.col("plain_tags")).alias("plain_tags"),
-            F.coalesce("plain_tags_n", F.lit(0)).cast("long").alias("tag_count"),
+            F.coalesce("tag_count", F.lit(0)).cast("long").alias("tag_count"),
             F.coalesce("has_image", F.lit(False)).alias("has_image"),
             F.coalesce("videos", F.lit(0)).cast("long").alias("videos"),
-            F.when(F.col("base_src").isNull(), "").otherwise(F.col("srcset")).alias("srcset"), "base_src",
+            F.coalesce("srcset_n", F.lit(0)).cast("long").alias("srcset_n"), "base_src",
         )
     )
 
@@ -219,7 +224,7 @@ def collections_without(requests: DataFrame, collection: DataFrame, items: DataF
     own = requests.join(collection.select("user_id", "collection_id", "title"), "user_id")
     return own.join(
         items.select("collection_id", "content_id"), ["collection_id", "content_id"], "left_anti"
-    ).select("user_id", "content_id", "collection_id", "title").orderBy("user_id", "content_id", "title", "collection_id")
+    ).select("user_id", "content_id", "collection_id", "title")
 
 
 def catalog_rows(content: DataFrame, representation: DataFrame) -> DataFrame:

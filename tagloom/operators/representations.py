@@ -9,8 +9,7 @@ from tagloom import rules
 from tagloom.functions import names, sizes
 from tagloom.functions.common import lookup, python_quote
 from tagloom.functions.levels import image_level
-from tagloom.plans.cells import MAX_ENTRIES, cell
-from tagloom.plans.positions import first_by, first_k
+from tagloom.plans.positions import first_by
 
 MEDIA_URL = "/media/"
 
@@ -81,32 +80,21 @@ def srcset_entries(
     )
 
 
-def image_srcset(
-    representation: DataFrame, target_width: int, target_height: int,
-    media_url: str = MEDIA_URL, places: int | None = None, max_entries: int = MAX_ENTRIES,
-) -> DataFrame:
-    """(content_id, srcset, srcset_n, base_src) of every item with an image.
+def image_base(representation: DataFrame, target_width: int, target_height: int) -> DataFrame:
+    """(content_id, srcset_n, base_src) of every item with an image.
 
-    ``base_src`` is the narrowest image reaching the target, else the one with the
-    largest area. Images are put in an order that starts with the ones reaching the
-    target, narrowest first, so the first row is the base and one pass gives both. An
-    item with more than ``max_entries`` entries has a null ``srcset`` and is served by
-    ``srcset_entries``.
+    ``srcset_n`` counts the rows that ``srcset_entries`` has for the item. ``base_src`` is the
+    narrowest image reaching the target, else the one with the largest area. Both are plain
+    aggregates, so an item with any number of images is combined on the map side.
     """
     reaches = _reaches(target_width, target_height)
     area = F.col("width").cast("long") * F.col("height").cast("long")
     order = [
         F.when(reaches, 0).otherwise(1), F.when(~reaches, -area), F.col("width"), F.col("filepath"),
     ]
-    found = images(representation).select("content_id", "width", "height", "filepath")
-    ranked = first_k(found, ["content_id"], order, max_entries + 1)
-    url, ratio = _entry(target_width, target_height, media_url, places)
-    text = F.when(reaches, F.concat(url, F.lit(" "), ratio, F.lit("x")))
-    cells = ranked.withColumn("_text", text).groupBy("content_id").agg(
-        cell(F.col("_rank"), F.col("_text"), ", ", max_entries).alias("srcset"), F.min_by("filepath", "_rank").alias("base_src")
+    return images(representation).groupBy("content_id").agg(
+        F.count(F.when(reaches, 1)).alias("srcset_n"), first_by(order, "filepath")["filepath"].alias("base_src")
     )
-    counts = found.groupBy("content_id").agg(F.count(F.when(text.isNotNull(), 1)).alias("srcset_n"))
-    return cells.join(counts, "content_id").select("content_id", "srcset", "srcset_n", "base_src")
 
 
 def preview_pick(representation: DataFrame, limit: int) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import rules
-from tagloom.operators.browse import paginate, with_srcset
-from tagloom.operators.representations import image_srcset
+from tagloom.operators.browse import paginate, with_base_image, with_image_count
+from tagloom.operators.representations import image_base
 from tagloom.operators.search import nsfw_visible
-from tagloom.plans.cells import joined_cell
 from tagloom.plans.positions import first_by, number_rows
 from tagloom.session import settle
 
@@ -115,17 +114,18 @@ def register_albums(
     return {"items": items, "summary": summary}
 
 
-def album_names(album: DataFrame, creators: DataFrame, tag: DataFrame) -> DataFrame:
-    """(album_id, name, creator_names) as an album is shown."""
+def album_names(album: DataFrame, tag: DataFrame) -> DataFrame:
+    """(album_id, name) as an album is shown; its creators are the rows of ``album_makers``."""
     set_title = tag.select(F.col("tag_id").alias("set_tag_id"), F.col("title").alias("_set"))
-    titles = joined_cell(
-        creators.join(tag.select("tag_id", "title"), "tag_id"), ["album_id"], [F.col("title")],
-        F.col("title"), " and ", "_by",
-    )
     name = F.coalesce(F.nullif(F.col("album_name"), F.lit("")), F.col("_set"), F.lit("untitled"))
-    by = F.when(F.col("_by_n").isNull(), "Unknown Creators").otherwise(F.col("_by"))
-    return album.join(set_title, "set_tag_id", "left").join(titles, "album_id", "left").select(
-        "album_id", name.alias("name"), by.alias("creator_names")
+    return album.join(set_title, "set_tag_id", "left").select("album_id", name.alias("name"))
+
+
+def album_makers(album: DataFrame, creators: DataFrame, tag: DataFrame) -> DataFrame:
+    """(album_id, creator): a row per creator shown with an album; "Unknown Creators" where there is none."""
+    titles = creators.join(tag.select("tag_id", F.col("title").alias("creator")), "tag_id").select("album_id", "creator")
+    return album.select("album_id").join(titles, "album_id", "left").withColumn(
+        "creator", F.coalesce("creator", F.lit("Unknown Creators"))
     )
 
 
@@ -138,7 +138,7 @@ def album_listing(
     album: DataFrame, items: DataFrame, tag: DataFrame, representation: DataFrame,
     is_member: bool = False, show_nsfw: bool = False, page: int = 1,
 ) -> DataFrame:
-    """One page of albums with name, cover and cover addresses at 192x256."""
+    """One page of albums with name, cover and its base image at 192x256."""
     visible = album.filter(nsfw_visible("is_nsfw", F.lit(is_member), F.lit(show_nsfw)))
     set_title = tag.select(F.col("tag_id").alias("set_tag_id"), F.col("title").alias("_set"))
     name = F.coalesce(F.nullif(F.col("album_name"), F.lit("")), F.col("_set"), F.lit("untitled"))
@@ -147,15 +147,16 @@ def album_listing(
     rows = shown.join(set_title, "set_tag_id", "left").join(covers, "album_id", "left").select(
         "album_id", name.alias("name"), "is_nsfw", "content_id", "page", "pages"
     )
-    return with_srcset(rows, representation, 192, 256, places=3).drop("base_src")
+    return with_base_image(rows, representation, 192, 256)
 
 
 def all_album_covers(album: DataFrame, items: DataFrame, representation: DataFrame) -> DataFrame:
-    """Every album with its cover item and cover addresses at 192x256."""
+    """Every album with its cover item and the cover's base image at 192x256."""
     covers = album_covers(items)
-    sets = image_srcset(representation, 192, 256, places=3)
-    return album.select("album_id").join(covers, "album_id", "left").join(sets, "content_id", "left").select(
-        "album_id", "content_id", F.when(F.col("base_src").isNull(), "").otherwise(F.col("srcset")).alias("srcset")
+    bases = image_base(representation, 192, 256)
+    return with_image_count(
+        album.select("album_id").join(covers, "album_id", "left").join(bases, "content_id", "left")
+        .select("album_id", "content_id", "srcset_n", "base_src")
     )
 
 
@@ -163,11 +164,11 @@ def album_detail(
     album_id: int, items: DataFrame, content: DataFrame, representation: DataFrame,
     page: int = 1, per_page=rules.PAGE_SIZE,
 ) -> DataFrame:
-    """One page of an album's items in order, with addresses at 256."""
+    """One page of an album's items in order, with base images at 256."""
     rows = items.filter(F.col("album_id") == album_id).join(
         content.select("content_id", "slug", "title", "content_type"), "content_id"
     ).select("ord", "content_id", "slug", "title", "content_type")
-    return with_srcset(paginate(rows, [F.col("ord")], page, per_page), representation, 256, 256)
+    return with_base_image(paginate(rows, [F.col("ord")], page, per_page), representation, 256, 256)
 
 
 def album_pages(items: DataFrame, per_page: int = rules.PAGE_SIZE) -> DataFrame:
@@ -176,18 +177,18 @@ def album_pages(items: DataFrame, per_page: int = rules.PAGE_SIZE) -> DataFrame:
     return numbered.withColumn("page", (F.floor((F.col("position") - 1) / per_page) + 1).cast("int"))
 
 
-def _pages_with_srcset(
+def _pages_with_base(
     items: DataFrame, owner: str, order: str, content: DataFrame, representation: DataFrame, per_page: int
 ) -> DataFrame:
     numbered = number_rows(items, "position", [order], by=[owner])
     page = (F.floor((F.col("position") - 1) / per_page) + 1).cast("int")
-    sets = image_srcset(representation, 256, 256)
+    bases = image_base(representation, 256, 256)
     return (
         numbered.join(content.select("content_id", "slug", "title", "content_type"), "content_id")
-        .join(sets, "content_id", "left")
+        .join(bases, "content_id", "left")
         .select(
             owner, "position", page.alias("page"), "content_id", "slug", "title", "content_type",
-            F.when(F.col("base_src").isNull(), "").otherwise(F.col("srcset")).alias("srcset"), "base_src",
+            F.coalesce("srcset_n", F.lit(0)).cast("long").alias("srcset_n"), "base_src",
         )
     )
 
@@ -195,36 +196,35 @@ def _pages_with_srcset(
 def all_album_details(
     items: DataFrame, content: DataFrame, representation: DataFrame, per_page: int = rules.PAGE_SIZE
 ) -> DataFrame:
-    """Every page of every album: items in order with addresses at 256."""
+    """Every page of every album: items in order with base images at 256."""
     rows = items.select("album_id", "ord", "content_id")
-    return _pages_with_srcset(rows, "album_id", "ord", content, representation, per_page)
+    return _pages_with_base(rows, "album_id", "ord", content, representation, per_page)
 
 
 def all_collection_details(
     items: DataFrame, content: DataFrame, representation: DataFrame, per_page: int = rules.PAGE_SIZE
 ) -> DataFrame:
-    """Every page of every collection: items by id with addresses at 256."""
+    """Every page of every collection: items by id with base images at 256."""
     rows = items.select("collection_id", "content_id")
-    return _pages_with_srcset(rows, "collection_id", "content_id", content, representation, per_page)
+    return _pages_with_base(rows, "collection_id", "content_id", content, representation, per_page)
 
 
 def collection_listing(
     collection: DataFrame, items: DataFrame, representation: DataFrame, show_nsfw: bool = False
 ) -> DataFrame:
-    """Collections newest first per user, with item count and cover addresses at 128."""
+    """Collections of all users, with item count and the cover's base image at 128."""
     visible = collection if show_nsfw else collection.filter(~F.col("is_nsfw"))
     facts = items.groupBy("collection_id").agg(
         F.count(F.lit(1)).alias("items"), F.min("content_id").alias("content_id")
     )
-    sets = image_srcset(representation, 128, 128, places=3)
+    bases = image_base(representation, 128, 128)
     return (
-        visible.join(facts, "collection_id", "left").join(sets, "content_id", "left")
+        visible.join(facts, "collection_id", "left").join(bases, "content_id", "left")
         .select(
             "user_id", "collection_id", "title", "is_nsfw", "created_at",
             F.coalesce("items", F.lit(0)).cast("long").alias("items"), F.col("content_id").alias("cover_id"),
-            F.when(F.col("base_src").isNull(), "").otherwise(F.col("srcset")).alias("srcset"),
+            F.coalesce("srcset_n", F.lit(0)).cast("long").alias("srcset_n"), "base_src",
         )
-        .orderBy("user_id", F.col("created_at").desc(), "collection_id")
     )
 
 
@@ -232,12 +232,12 @@ def collection_detail(
     user_id: int, collection_id: int, collection: DataFrame, items: DataFrame, content: DataFrame,
     representation: DataFrame, page: int = 1, per_page=rules.PAGE_SIZE,
 ) -> DataFrame:
-    """One page of a user's own collection, with addresses at 256."""
+    """One page of a user's own collection, with base images at 256."""
     own = collection.filter((F.col("user_id") == user_id) & (F.col("collection_id") == collection_id))
     rows = items.join(own.select("collection_id"), "collection_id", "left_semi").join(
         content.select("content_id", "slug", "title", "content_type"), "content_id"
     ).select("content_id", "slug", "title", "content_type")
-    return with_srcset(paginate(rows, [F.col("content_id")], page, per_page), representation, 256, 256)
+    return with_base_image(paginate(rows, [F.col("content_id")], page, per_page), representation, 256, 256)
 
 
 def create_collections(collection: DataFrame, requests: DataFrame) -> DataFrame:

@@ -14,23 +14,41 @@ from tagloom.workloads.search import having
 QUOTED = "replace(url_encode(filepath), '%2F', '/')"
 
 
-def srcset_sql(tw: int, th: int, media: str = "/media/", places: int | None = None, source: str = "f_representation") -> str:
-    """CTE body: srcset and base_src per item, from ``source``."""
-    ratio = f"case when width::bigint * {th} >= {tw}::bigint * height then width / {tw}::double else height / {th}::double end"
-    shown = f"cast({ratio} as varchar)" if places is None else f"format('{{:.{places}f}}', round({ratio}, {places}))"
+def base_sql(tw: int, th: int, source: str = "f_representation") -> str:
+    """CTE body: srcset_n and base_src per item, from ``source``."""
     reach = f"(width >= {tw} or height >= {th})"
-    return f"""select content_id,
-        coalesce(string_agg(case when {reach} then '{media}' || {QUOTED} || ' ' || {shown} || 'x' end, ', '
-          order by width, filepath) filter (where {reach}), '') as srcset,
-        count(*) filter (where {reach}) as srcset_n,
-        coalesce((list(filepath order by width, filepath) filter (where {reach}))[1],
-          (list(filepath order by -width::bigint * height, width, filepath))[1]) as base_src
+    return f"""select content_id, count(*) filter (where {reach}) as srcset_n,
+        coalesce(arg_min(filepath, (width, filepath)) filter (where {reach}),
+          arg_min(filepath, (-width::bigint * height, width, filepath))) as base_src
       from {source} where repr_type = 10 group by content_id"""
 
 
-@query("image_srcset", srcset_sql(256, 256))
+def entries_sql(tw: int, th: int, media: str = "/media/", places: int | None = None) -> str:
+    """Address and printed pixel ratio of every image that reaches the target."""
+    ratio = f"case when width::bigint * {th} >= {tw}::bigint * height then width / {tw}::double else height / {th}::double end"
+    shown = f"cast({ratio} as varchar)" if places is None else f"format('{{:.{places}f}}', round({ratio}, {places}))"
+    return f"""select content_id, width, filepath, '{media}' || {QUOTED} as url, {shown} as ratio_text
+      from f_representation where repr_type = 10 and (width >= {tw} or height >= {th})"""
+
+
+@query("image_srcset", entries_sql(256, 256))
 def image_srcset(i: Inputs):
-    return reps.image_srcset(i.f_representation, 256, 256)
+    return reps.srcset_entries(i.f_representation, 256, 256).drop("ratio")
+
+
+@query("image_base", base_sql(256, 256))
+def image_base(i: Inputs):
+    return reps.image_base(i.f_representation, 256, 256)
+
+
+@query("detail_srcset", entries_sql(1024, 1024))
+def detail_srcset(i: Inputs):
+    return reps.srcset_entries(i.f_representation, 1024, 1024).drop("ratio")
+
+
+@query("cover_srcset", entries_sql(192, 256, places=3))
+def cover_srcset(i: Inputs):
+    return reps.srcset_entries(i.f_representation, 192, 256, places=3).drop("ratio")
 
 
 @query(
@@ -40,10 +58,10 @@ def image_srcset(i: Inputs):
           order by addition_date desc, content_id limit 24),
         n as (select count(*) as n from f_content where not is_hidden and content_id in ({having('safe')})
           and content_id not in ({having('cold', 'red')})),
-        s as ({srcset_sql(256, 256)})
+        s as ({base_sql(256, 256)})
         select page.*, 1 as page, cast(greatest(ceil(n.n / 24.0), 1) as int) as pages, false as has_previous,
           1 < greatest(ceil(n.n / 24.0), 1) as has_next,
-          coalesce(s.srcset, '') as srcset, s.base_src
+          coalesce(s.srcset_n, 0) as srcset_n, s.base_src
         from page left join s on s.content_id = page.content_id cross join n""",
 )
 def content_listing(i: Inputs):
@@ -52,14 +70,18 @@ def content_listing(i: Inputs):
     )
 
 
-@query("sort_date", "select content_id, addition_date from f_content")
+@query("sort_date", "select content_id, addition_date, row_number() over (order by addition_date, content_id) as position from f_content")
 def sort_date(i: Inputs):
-    return browse.sort_content(i.f_content.select("content_id", "addition_date"), "date")
+    return browse.sorted_positions(i.f_content.select("content_id", "addition_date"), "date")
 
 
-@query("sort_date_desc", "select content_id, title from f_content")
+@query(
+    "sort_date_desc",
+    "select content_id, title, row_number() over (order by addition_date desc, content_id) as position from f_content",
+)
 def sort_date_desc(i: Inputs):
-    return browse.sort_content(i.f_content, "no such mode").select("content_id", "title")
+    rows = i.f_content.select("content_id", "title", "addition_date")
+    return browse.sorted_positions(rows, "no such mode").drop("addition_date")
 
 
 @query("sort_random", "select content_id, title from f_content")
@@ -92,13 +114,13 @@ def page_beyond_end(i: Inputs):
 
 @query(
     "content_detail",
-    f"""with t as (select content_id, string_agg(title, ', ' order by category, title) as plain_tags, count(*) as tag_count
+    f"""with t as (select content_id, count(*) as tag_count
           from f_content_tag join f_tag using (tag_id) group by content_id),
         k as (select content_id, bool_or(repr_type = 10) as has_image, count(*) filter (where repr_type = 20) as videos
           from f_representation group by content_id),
-        s as ({srcset_sql(1024, 1024)})
-        select c.content_id, slug, title, content_type, coalesce(plain_tags, '') as plain_tags, coalesce(tag_count, 0) as tag_count,
-          coalesce(has_image, false) as has_image, coalesce(videos, 0) as videos, coalesce(srcset, '') as srcset, base_src
+        s as ({base_sql(1024, 1024)})
+        select c.content_id, slug, title, content_type, coalesce(tag_count, 0) as tag_count,
+          coalesce(has_image, false) as has_image, coalesce(videos, 0) as videos, coalesce(srcset_n, 0) as srcset_n, base_src
         from f_content c left join t on t.content_id = c.content_id left join k on k.content_id = c.content_id
           left join s on s.content_id = c.content_id""",
 )

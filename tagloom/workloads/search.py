@@ -20,6 +20,16 @@ def having(*names: str) -> str:
     return f"select ct.content_id from f_content_tag ct join f_alias a on a.tag_id = ct.tag_id where a.title in {in_list(names)}"
 
 
+def carry(*names: str) -> str:
+    """Aggregate: whether an item carries any of the aliases."""
+    return f"bool_or(a.title in {in_list(names)})"
+
+
+def carrying(condition: str) -> str:
+    """Select of the tagged items that meet a condition on what they carry, by one pass over the bridge."""
+    return f"select ct.content_id from f_content_tag ct join f_alias a on a.tag_id = ct.tag_id group by ct.content_id having {condition}"
+
+
 def parts(i: Inputs):
     return i.f_content.select("content_id", "title", "content_type", "is_hidden"), i.f_content_tag, i.f_alias
 
@@ -33,7 +43,7 @@ def tag_term(i):
     return item(search.has_tag(*parts(i), "cold"))
 
 
-@query("tag_and", f"select {ITEM} from f_content where content_id in ({having('safe')}) and content_id in ({having('red')})")
+@query("tag_and", f"select {ITEM} from f_content where content_id in ({carrying(carry('safe') + ' and ' + carry('red'))})")
 def tag_and(i):
     return item(search.tags_all(*parts(i), "safe", "red"))
 
@@ -50,9 +60,8 @@ def tag_not(i):
 
 @query(
     "tag_expr",
-    f"""select {ITEM} from f_content where content_id in ({having('safe')})
-        and not (content_id in ({having('cold')}) and content_id in ({having('economy')}))
-        and (content_id in ({having('red', 'blue')}) or content_id not in ({having('standard')}))""",
+    f"""select {ITEM} from f_content where content_id in ({carrying(f"""{carry('safe')} and not ({carry('cold')} and {carry('economy')})
+          and ({carry('red', 'blue')} or not {carry('standard')})""")})""",
 )
 def tag_expr(i):
     expr = T("safe") & ~all_of(T("cold"), T("economy")) & (any_of(T("red"), T("blue")) | ~T("standard")) & any_of()
@@ -76,11 +85,17 @@ def preset_safe(i):
 
 @query(
     "preset_aesthetic",
-    f"select {ITEM} from f_content where not is_hidden and content_id in ({having('safe')}) and content_id not in ({having('vector', 'sketch')})",
+    # Each excluded tag is put on a twelfth of the items.
+    f"""select {ITEM} from f_content where not is_hidden and content_id % 12 >= 6
+        and content_id in ({carrying(carry('safe') + ' and not ' + carry(*rules.UNAESTHETIC))})""",
 )
 def preset_aesthetic(i):
     seeded = seed_default_tags(i.f_tag, i.f_alias, i.f_tag_edge)
     content, content_tag, _ = parts(i)
+    place = F.array_position(F.array(*map(F.lit, rules.UNAESTHETIC)), F.col("title")) - 1
+    marks = seeded["tag_alias"].filter(F.col("title").isin(*rules.UNAESTHETIC)).select("tag_id", place.alias("_at"))
+    marked = content.select("content_id", (F.col("content_id") % 12).alias("_at")).join(marks, "_at").select("content_id", "tag_id")
+    content_tag = content_tag.select("content_id", "tag_id").unionByName(marked)
     return item(search.preset_filter(content, content_tag, seeded["tag_alias"], "aesthetic"))
 
 

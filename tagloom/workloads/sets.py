@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.fixtures import Inputs
 from tagloom.operators import sets
-from tagloom.workloads.browse import srcset_sql
+from tagloom.workloads.browse import base_sql
 from tagloom.workloads.registry import query
 
 MEMBERS = """select a.album_id, ct.content_id, case when regexp_matches(o.origin_id, '^-?[0-9]+$') then cast(o.origin_id as hugeint)
@@ -81,13 +81,20 @@ def register_albums(i: Inputs):
 
 @query(
     "album_names",
-    """select a.album_id, coalesce(nullif(album_name, ''), t.title, 'untitled') as name, coalesce(c.names, 'Unknown Creators') as creator_names
-       from f_album a left join f_tag t on t.tag_id = a.set_tag_id
-         left join (select album_id, string_agg(title, ' and ' order by title) as names from f_album_creator join f_tag using (tag_id) group by album_id) c
-         on c.album_id = a.album_id""",
+    """select a.album_id, coalesce(nullif(album_name, ''), t.title, 'untitled') as name
+       from f_album a left join f_tag t on t.tag_id = a.set_tag_id""",
 )
 def album_names(i: Inputs):
-    return sets.album_names(i.f_album, i.f_album_creator, i.f_tag)
+    return sets.album_names(i.f_album, i.f_tag)
+
+
+@query(
+    "album_makers",
+    """select a.album_id, coalesce(c.title, 'Unknown Creators') as creator
+       from f_album a left join (select album_id, title from f_album_creator join f_tag using (tag_id)) c on c.album_id = a.album_id""",
+)
+def album_makers(i: Inputs):
+    return sets.album_makers(i.f_album, i.f_album_creator, i.f_tag)
 
 
 @query(
@@ -95,9 +102,9 @@ def album_names(i: Inputs):
     f"""with n as (select count(*) as n from f_album where not is_nsfw),
         p as (select * from f_album where not is_nsfw order by album_id limit 20),
         c as (select album_id, arg_min(content_id, ord) as content_id from f_album_order group by album_id),
-        s as ({srcset_sql(192, 256, places=3)})
+        s as ({base_sql(192, 256)})
         select p.album_id, coalesce(nullif(album_name, ''), t.title, 'untitled') as name, is_nsfw, c.content_id, 1 as page,
-          cast(ceil(n.n / 20.0) as int) as pages, coalesce(s.srcset, '') as srcset
+          cast(ceil(n.n / 20.0) as int) as pages, coalesce(s.srcset_n, 0) as srcset_n, s.base_src
         from p cross join n left join f_tag t on t.tag_id = p.set_tag_id left join c on c.album_id = p.album_id
           left join s on s.content_id = c.content_id""",
 )
@@ -107,8 +114,8 @@ def album_listing(i: Inputs):
 
 @query(
     "album_covers",
-    f"""with c as (select album_id, arg_min(content_id, ord) as content_id from f_album_order group by album_id), s as ({srcset_sql(192, 256, places=3)})
-        select a.album_id, c.content_id, coalesce(s.srcset, '') as srcset from f_album a left join c on c.album_id = a.album_id
+    f"""with c as (select album_id, arg_min(content_id, ord) as content_id from f_album_order group by album_id), s as ({base_sql(192, 256)})
+        select a.album_id, c.content_id, coalesce(s.srcset_n, 0) as srcset_n, s.base_src from f_album a left join c on c.album_id = a.album_id
           left join s on s.content_id = c.content_id""",
 )
 def album_covers(i: Inputs):
@@ -117,9 +124,9 @@ def album_covers(i: Inputs):
 
 @query(
     "album_detail",
-    f"""with n as (select count(*) as n from f_album_order where album_id = 11), s as ({srcset_sql(256, 256)})
+    f"""with n as (select count(*) as n from f_album_order where album_id = 11), s as ({base_sql(256, 256)})
         select o.ord, c.content_id, c.slug, c.title, c.content_type, 1 as page, cast(greatest(ceil(n / 24.0), 1) as int) as pages,
-          false as has_previous, n > 24 as has_next, coalesce(srcset, '') as srcset, base_src
+          false as has_previous, n > 24 as has_next, coalesce(srcset_n, 0) as srcset_n, base_src
         from f_album_order o join f_content c on c.content_id = o.content_id cross join n left join s on s.content_id = c.content_id
         where o.album_id = 11 order by ord limit 24""",
 )
@@ -139,8 +146,8 @@ def album_pages(i: Inputs):
 @query(
     "collection_listing",
     f"""with f as (select collection_id, count(*) as items, min(content_id) as content_id from f_collection_item group by collection_id),
-        s as ({srcset_sql(128, 128, places=3)})
-        select user_id, c.collection_id, title, is_nsfw, created_at, coalesce(items, 0) as items, f.content_id as cover_id, coalesce(srcset, '') as srcset
+        s as ({base_sql(128, 128)})
+        select user_id, c.collection_id, title, is_nsfw, created_at, coalesce(items, 0) as items, f.content_id as cover_id, coalesce(srcset_n, 0) as srcset_n, s.base_src
         from f_collection c left join f on f.collection_id = c.collection_id left join s on s.content_id = f.content_id where not is_nsfw""",
 )
 def collection_listing(i: Inputs):
@@ -151,9 +158,9 @@ def collection_listing(i: Inputs):
     "collection_detail",
     f"""with m as (select content_id from f_collection_item where collection_id = 7
           and collection_id in (select collection_id from f_collection where user_id = (select c_nationkey from customer where c_custkey = 7))),
-        n as (select count(*) as n from m), s as ({srcset_sql(256, 256)})
+        n as (select count(*) as n from m), s as ({base_sql(256, 256)})
         select c.content_id, c.slug, c.title, c.content_type, 1 as page, cast(greatest(ceil(n / 3.0), 1) as int) as pages, false as has_previous,
-          n > 3 as has_next, coalesce(srcset, '') as srcset, base_src
+          n > 3 as has_next, coalesce(srcset_n, 0) as srcset_n, base_src
         from m join f_content c on c.content_id = m.content_id cross join n left join s on s.content_id = c.content_id
         order by c.content_id limit 3""",
 )
@@ -244,9 +251,9 @@ def validate_order(i: Inputs):
 
 def pages_sql(items: str, owner: str, order: str) -> str:
     return f"""with n as (select {owner}, content_id, row_number() over (partition by {owner} order by {order}) as position from {items}),
-        s as ({srcset_sql(256, 256)})
+        s as ({base_sql(256, 256)})
         select n.{owner}, position, cast((position - 1) // 24 + 1 as int) as page, c.content_id, c.slug, c.title, c.content_type,
-          coalesce(srcset, '') as srcset, base_src
+          coalesce(srcset_n, 0) as srcset_n, base_src
         from n join f_content c on c.content_id = n.content_id left join s on s.content_id = n.content_id"""
 
 

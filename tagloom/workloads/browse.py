@@ -148,9 +148,9 @@ def detail_origins(i: Inputs):
 
 @query(
     "resolve_slugs",
-    """with r as (select case when event_id % 3 = 0 then 'old-' || cast(event_id % 200 as varchar)
+    """with r as (select case when event_id % 3 = 0 then 'old-' || cast(event_id // 2 as varchar)
                    when event_id % 3 = 1 then (c.slug) else 'nothing' end as slug, event_id
-                 from events left join f_content c on c.content_id = event_id % 500),
+                 from events left join f_content c on c.content_id = event_id // 2),
         f as (select r.event_id, r.slug, case when c.content_id is not null then 'found' when d.old_slug is not null then 'moved'
                else 'not found' end as status, coalesce(c.content_id, d.new_content_id) as content_id
              from r left join f_content c on c.slug = r.slug left join f_redirect d on d.old_slug = r.slug)
@@ -158,10 +158,10 @@ def detail_origins(i: Inputs):
 )
 def resolve_slugs(i: Inputs):
     known = i.f_content.select((F.col("content_id")).alias("_k"), F.col("slug").alias("_slug"))
-    asked = i.events.withColumn("_k", F.col("event_id") % 500).join(known, "_k", "left")
+    asked = i.events.withColumn("_k", F.floor(F.col("event_id") / 2)).join(known, "_k", "left")
     third = F.col("event_id") % 3
     slug = (
-        F.when(third == 0, F.concat(F.lit("old-"), (F.col("event_id") % 200).cast("string")))
+        F.when(third == 0, F.concat(F.lit("old-"), F.floor(F.col("event_id") / 2).cast("string")))
         .when(third == 1, F.col("_slug")).otherwise("nothing")
     )
     return browse.resolve_slugs(asked.select("event_id", slug.alias("slug")), i.f_content, i.f_redirect)

@@ -59,9 +59,9 @@ LINEAR = "case when {c} / 255.0::double <= 0.04045 then {c} / 255.0::double / 12
 
 @query(
     "lab_bands",
-    f"""with px as (select vec_id as image_id, unnest(range(16)) as p, unnest(list_transform(range(16), lambda k: cast(floor(abs(embedding[k * 3 + 1]) * 1000) as int) % 256)) as r,
-            unnest(list_transform(range(16), lambda k: cast(floor(abs(embedding[k * 3 + 2]) * 1000) as int) % 256)) as g,
-            unnest(list_transform(range(16), lambda k: cast(floor(abs(embedding[k * 3 + 3]) * 1000) as int) % 256)) as b from embeddings),
+    f"""with px as (select vec_id as image_id, unnest(range(64)) as p, unnest(list_transform(range(64), lambda k: cast(floor(abs(embedding[k + 1]) * 1000) as int) % 256)) as r,
+            unnest(list_transform(range(64), lambda k: cast(floor(abs(embedding[(k + 1) % 64 + 1]) * 1000) as int) % 256)) as g,
+            unnest(list_transform(range(64), lambda k: cast(floor(abs(embedding[(k + 2) % 64 + 1]) * 1000) as int) % 256)) as b from embeddings),
         li as (select image_id, p, {LINEAR.format(c='r')} as r, {LINEAR.format(c='g')} as g, {LINEAR.format(c='b')} as b from px),
         xyz as (select image_id, p, (r * 0.4124564::double + g * 0.3575761::double + b * 0.1804375::double) / 0.95047::double as x,
             r * 0.2126729::double + g * 0.7151522::double + b * 0.0721750::double as y, (r * 0.0193339::double + g * 0.1191920::double + b * 0.9503041::double) / 1.08883::double as z from li),
@@ -73,7 +73,7 @@ LINEAR = "case when {c} / 255.0::double <= 0.04045 then {c} / 255.0::double / 12
 )
 def lab_bands(i: Inputs):
     channel = lambda n: F.transform(
-        F.sequence(F.lit(0), F.lit(15)), lambda k: F.floor(F.abs(F.get("embedding", k * 3 + n)) * 1000).cast("int") % 256
+        F.sequence(F.lit(0), F.lit(63)), lambda k: F.floor(F.abs(F.get("embedding", (k + n) % 64)) * 1000).cast("int") % 256
     )
     pixels = i.embeddings.select(
         F.col("vec_id").alias("image_id"), channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b")
@@ -135,13 +135,13 @@ def compare_pairs(i: Inputs):
 
 @query(
     "mark_alternates",
-    """with m as (select event_id % 150 as imagehash_id, arg_max(event_type = 'view', (ts, event_type = 'view')) as alternate from events group by event_id % 150)
+    """with m as (select event_id // 25 as imagehash_id, arg_max(event_type = 'view', (ts, event_type = 'view')) as alternate from events group by event_id // 25)
        select h.imagehash_id, h.content_id, coalesce(m.alternate, h.alternate_version) as alternate_version
        from f_imagehash h left join m on m.imagehash_id = h.imagehash_id""",
 )
 def mark_alternates(i: Inputs):
     marks = i.events.select(
-        (F.col("event_id") % 150).alias("imagehash_id"), F.col("ts").alias("decided_at"),
+        F.floor(F.col("event_id") / 25).alias("imagehash_id"), F.col("ts").alias("decided_at"),
         (F.col("event_type") == "view").alias("alternate"),
     )
     marked = duplicates.mark_alternates(i.f_imagehash, marks)
@@ -280,24 +280,24 @@ def image_error(i: Inputs):
 
 @query(
     "diff_heatmap",
-    f"""with c as (select pair_id, unnest(range(63)) as p, unnest(list_transform(list_slice(first_, 1, 63), lambda v: floor(abs(v) * 200))) as x,
-            unnest(list_transform(list_slice(second_, 1, 63), lambda v: floor(abs(v) * 200))) as y from ({PAIRS})),
+    f"""with c as (select pair_id, unnest(range(66)) as p, unnest(list_transform(list_concat(first_, list_slice(first_, 1, 2)), lambda v: floor(abs(v) * 200))) as x,
+            unnest(list_transform(list_concat(second_, list_slice(second_, 1, 2)), lambda v: floor(abs(v) * 200))) as y from ({PAIRS})),
         s as (select pair_id, p // 3 as cell, cast(sum(abs(x - y)) as bigint) as heat from c group by pair_id, p // 3)
         select pair_id, cast(cell as int) as cell, cast(heat as int) as heat, cast(least(heat, 255) as int) as clipped from s""",
 )
 def diff_heatmap(i: Inputs):
-    pixels = lambda c: F.transform(F.slice(c, 1, 63), lambda v: F.floor(F.abs(v) * 200).cast("double"))
+    pixels = lambda c: F.transform(F.concat(F.col(c), F.slice(c, 1, 2)), lambda v: F.floor(F.abs(v) * 200).cast("double"))
     # The second image of every pair also gets an opaque alpha, which must not change anything.
     opaque = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.lit(20)),
+            F.sequence(F.lit(0), F.lit(21)),
             lambda n: F.concat(F.slice(pixels("second"), n * 3 + 1, 3), F.array(F.lit(255.0))),
         )
     )
     pairs = array_pairs(i).select(
         "pair_id", pixels("first").alias("first"), opaque.alias("second"),
-        F.lit(7).alias("first_width"), F.lit(7).alias("second_width"), F.lit(3).alias("first_height"),
-        F.lit(3).alias("second_height"), F.lit(3).alias("first_channels"), F.lit(4).alias("second_channels"),
+        F.lit(11).alias("first_width"), F.lit(11).alias("second_width"), F.lit(2).alias("first_height"),
+        F.lit(2).alias("second_height"), F.lit(3).alias("first_channels"), F.lit(4).alias("second_channels"),
     )
     found = signatures.diff_heatmap(pairs)
     cells = found.select("pair_id", F.posexplode(F.arrays_zip("heatmap", "clipped")).alias("cell", "v"))

@@ -110,13 +110,13 @@ def upload_tasks(i: Inputs):
     )
 
 
-NEW_TASKS = """select event_id as task_id, unhex(sha256('n' || cast(event_id % 700 as varchar))) as source_hash, event_type as content_type,
+NEW_TASKS = """select event_id as task_id, unhex(sha256('n' || cast(event_id // 7 as varchar))) as source_hash, event_type as content_type,
     case when event_id % 2 = 0 then 'Titled ' || event_id else '' end as title, 'dir/name.' || event_id || '.png' as file_name from events"""
 
 
 @query(
     "create_content",
-    f"""with t as ({NEW_TASKS}), known as (select unhex(sha256('n' || cast(p_partkey * 5 as varchar))) as h from part where p_partkey < 50),
+    f"""with t as ({NEW_TASKS}), known as (select unhex(sha256('n' || cast(p_partkey * 5 as varchar))) as h from part),
         f as (select source_hash, min(task_id) as task_id from t where source_hash not in (select h from known) group by source_hash)
         select (select max(o_orderkey) from orders) + row_number() over (order by t.task_id) as content_id, t.task_id,
           case when title = '' then 'name.' || t.task_id else title end as title, content_type, lower(hex(t.source_hash)) as source_hash,
@@ -132,7 +132,7 @@ def new_tasks(i: Inputs):
     key = F.col("event_id")
     return i.events.select(
         key.alias("task_id"),
-        F.unhex(F.sha2(F.concat(F.lit("n"), (key % 700).cast("string")), 256)).alias("source_hash"),
+        F.unhex(F.sha2(F.concat(F.lit("n"), F.floor(key / 7).cast("string")), 256)).alias("source_hash"),
         F.col("event_type").alias("content_type"), F.lit("").alias("description"),
         F.when(key % 2 == 0, F.concat(F.lit("Titled "), key.cast("string"))).otherwise("").alias("title"),
         F.concat(F.lit("dir/name."), key.cast("string"), F.lit(".png")).alias("file_name"),
@@ -140,14 +140,14 @@ def new_tasks(i: Inputs):
 
 
 def known_parts(i: Inputs):
-    return i.part.filter("p_partkey < 50").select(
+    return i.part.select(
         F.unhex(F.sha2(F.concat(F.lit("n"), (F.col("p_partkey") * 5).cast("string")), 256)).alias("source_hash")
     )
 
 
 @query(
     "create_discards",
-    f"""with t as ({NEW_TASKS}), known as (select unhex(sha256('n' || cast(p_partkey * 5 as varchar))) as h from part where p_partkey < 50),
+    f"""with t as ({NEW_TASKS}), known as (select unhex(sha256('n' || cast(p_partkey * 5 as varchar))) as h from part),
         f as (select source_hash, min(task_id) as task_id from t where source_hash not in (select h from known) group by source_hash)
         select task_id from t where task_id not in (select task_id from f)""",
 )
@@ -155,15 +155,15 @@ def create_discards(i: Inputs):
     return ingest.create_content(new_tasks(i), i.f_content, known_parts(i), F.lit("2026-03-04").cast("timestamp_ntz"))["discarded"]
 
 
-REWRITES = """select event_id as task_id, event_id % 400 as content_id, 'audio' as content_type,
-    unhex(sha256(cast(event_id % 400 + case when event_id % 400 % 2 = 0 then 0 else 7000000 end as varchar))) as source_hash from events where value > 20"""
+REWRITES = """select event_id as task_id, event_id // 4 as content_id, 'audio' as content_type,
+    unhex(sha256(cast((event_id // 4) + case when (event_id // 4) % 2 = 0 then 0 else 7000000000 end as varchar))) as source_hash from events"""
 
 
 def rewrites(i: Inputs):
-    item = F.col("event_id") % 400
-    return i.events.filter("value > 20").select(
+    item = F.floor(F.col("event_id") / 4)
+    return i.events.select(
         F.col("event_id").alias("task_id"), item.alias("content_id"), F.lit("audio").alias("content_type"),
-        F.unhex(F.sha2((item + F.when(item % 2 == 0, 0).otherwise(7000000)).cast("string"), 256)).alias("source_hash"),
+        F.unhex(F.sha2((item + F.when(item % 2 == 0, 0).otherwise(7000000000)).cast("string"), 256)).alias("source_hash"),
     )
 
 
@@ -191,9 +191,9 @@ def rewrite_redirects(i: Inputs):
 
 @query(
     "manage_origins",
-    """with t as (select event_id as task_id, event_id % 500 + case when event_id % 2 = 0 then 0 else 8000000 end as content_id,
+    """with t as (select event_id as task_id, (event_id // 4) + case when event_id % 2 = 0 then 0 else 8000000000 end as content_id,
                     case when event_id % 10 < 2 then 'derpibooru' when event_id % 7 = 3 then '' else 'e621' end as name,
-                    case when event_id % 10 < 2 then cast((event_id % 500) * 7 as varchar) when event_id % 11 = 0 then '' else 'e' || event_id % 300 end as origin_id,
+                    case when event_id % 10 < 2 then cast((event_id // 4) * 7 as varchar) when event_id % 11 = 0 then '' else 'e' || (event_id // 30) end as origin_id,
                     event_id % 2 = 0 as rewriting from events),
          n as (select * from t where name <> ''),
          r as (select content_id, arg_max(name, task_id) as name, arg_max(origin_id, task_id) as origin_id from n where rewriting group by content_id),
@@ -210,10 +210,10 @@ def manage_origins(i: Inputs):
     key = F.col("event_id")
     rewriting = key % 2 == 0
     tasks = i.events.select(
-        key.alias("task_id"), (key % 500 + F.when(rewriting, 0).otherwise(8000000)).alias("content_id"),
+        key.alias("task_id"), (F.floor(key / 4) + F.when(rewriting, 0).otherwise(8000000000)).alias("content_id"),
         F.when(key % 10 < 2, "derpibooru").when(key % 7 == 3, "").otherwise("e621").alias("origin_name"),
-        F.when(key % 10 < 2, ((key % 500) * 7).cast("string")).when(key % 11 == 0, "")
-        .otherwise(F.concat(F.lit("e"), (key % 300).cast("string"))).alias("origin_id"),
+        F.when(key % 10 < 2, (F.floor(key / 4) * 7).cast("string")).when(key % 11 == 0, "")
+        .otherwise(F.concat(F.lit("e"), F.floor(key / 30).cast("string"))).alias("origin_id"),
         F.when(rewriting, "rewriting").otherwise("initial").alias("route"),
     )
     return ingest.manage_origins(tasks, i.f_origin)

@@ -274,12 +274,14 @@ def hash_prefix(i: Inputs):
 
 @query(
     "luma",
-    """select vec_id, round(0.2126::double * embedding[1]::double + 0.7152::double * embedding[2]::double
-         + 0.0722::double * embedding[3]::double, 9) as luma from embeddings""",
+    """select vec_id, cast(p as int) as p, round(0.2126::double * embedding[p + 1]::double + 0.7152::double * embedding[(p + 1) % 64 + 1]::double
+         + 0.0722::double * embedding[(p + 2) % 64 + 1]::double, 9) as luma from (select vec_id, embedding, unnest(range(64)) as p from embeddings)""",
 )
 def luma(i: Inputs):
     e = F.col("embedding").cast("array<double>")
-    return i.embeddings.select("vec_id", F.round(hashing.luma(e[0], e[1], e[2]), 9).alias("luma"))
+    at = lambda p, n: F.get(e, (p + n) % 64)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.round(hashing.luma(e[p], at(p, 1), at(p, 2)), 9))
+    return i.embeddings.select("vec_id", F.posexplode(pixels).alias("p", "luma"))
 
 
 @query(

@@ -159,10 +159,10 @@ def tag_list(i):
 @query(
     "access_check",
     f"""select event_id, content_id, case when event_id % 4 = 0 or content_id in ({having('safe')}) then 'allowed' else 'denied' end as status
-        from (select event_id, event_id % 1000 as content_id from events)""",
+        from (select event_id, event_id // 2 as content_id from events)""",
 )
 def access_check(i):
     requests = i.events.select(
-        "event_id", (F.col("event_id") % 1000).alias("content_id"), (F.col("event_id") % 4 == 0).alias("is_member")
+        "event_id", F.floor(F.col("event_id") / 2).alias("content_id"), (F.col("event_id") % 4 == 0).alias("is_member")
     )
     return search.access_check(requests, i.f_content_tag, i.f_tag).drop("is_member")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagloom import rules
 from tagloom.fixtures import Inputs
 from tagloom.operators import tags
+from tagloom.sources.json_inputs import parse_task_metadata
 from tagloom.workloads.registry import query
 from tagloom.workloads.scalars import in_list
 
@@ -41,12 +41,10 @@ METADATA = """select distinct user_id as content_id, unnest([
 
 @query("metadata_tags", f"select distinct content_id, t.name, t.category from ({METADATA})")
 def metadata_tags(i: Inputs):
-    schema = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
-    body = F.from_json(F.get_json_object("body", "$.tags"), schema)
-    tasks = i.f_task_json.join(
+    tasks = parse_task_metadata(i.f_task_json.select("task_id", "body"), "body").join(
         i.events.select(F.col("event_id").alias("task_id"), F.col("user_id").alias("content_id")), "task_id"
-    ).filter(F.col("task_id") % 50 != 7)
-    return tags.tags_from_metadata(tasks.select("content_id", body.alias("tags")))
+    )
+    return tags.tags_from_metadata(tasks.select("content_id", "tags"))
 
 
 @query(

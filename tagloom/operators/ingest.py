@@ -10,6 +10,7 @@ from tagloom.functions import names
 from tagloom.functions.levels import media_format_of_mime
 from tagloom.functions.origins import normalise_origin_id
 from tagloom.plans.positions import first_by, number_rows
+from tagloom.session import settle
 
 
 def has_origin() -> Column:
@@ -134,6 +135,12 @@ def create_content(
     return {"content": created, "discarded": discarded}
 
 
+def _last_rewrites(tasks: DataFrame) -> DataFrame:
+    return tasks.groupBy("content_id").agg(
+        first_by([F.col("task_id")], "content_type", "source_hash", last=True).alias("_t")
+    )
+
+
 def rewrite_content(
     tasks: DataFrame, content: DataFrame, image_hash: DataFrame, representation: DataFrame
 ) -> dict[str, DataFrame]:
@@ -143,9 +150,7 @@ def rewrite_content(
     gives the item a new slug, and its old slug and hash become a redirect. Of several
     rewrites of an item the latest task counts.
     """
-    last = tasks.groupBy("content_id").agg(
-        first_by([F.col("task_id")], "content_type", "source_hash", last=True).alias("_t")
-    )
+    last = _last_rewrites(tasks)
     joined = content.join(last, "content_id", "left")
     changed = F.col("_t").isNotNull() & (F.col("_t.source_hash") != F.col("source_hash"))
     slug = F.when(changed, names.content_slug("addition_date", "_t.source_hash")).otherwise(F.col("slug"))
@@ -168,29 +173,30 @@ def rewrite_content(
     }
 
 
-def manage_origins(tasks: DataFrame, origin: DataFrame) -> DataFrame:
-    """Origins after tasks (task_id, content_id, origin_name, origin_id, route).
+def _mains(tasks: DataFrame) -> DataFrame:
+    """(content_id, _main): the origin that the latest rewrite of an item names."""
+    rewrites = tasks.filter((F.col("route") == "rewriting") & (F.coalesce("origin_name", F.lit("")) != ""))
+    return rewrites.select(
+        "task_id", "content_id", F.col("origin_name").alias("name"), F.coalesce("origin_id", F.lit("")).alias("origin_id")
+    ).groupBy("content_id").agg(first_by([F.col("task_id")], "name", "origin_id", last=True).alias("_main"))
 
-    An initial task adds its origin. A rewrite makes its origin the main one and all
-    others of the item alternates. A site id belongs to one item: one that is taken by
-    another item is not added.
+
+def _is_main() -> Column:
+    return (F.col("_main.name") == F.col("name")) & (F.col("_main.origin_id") == F.col("origin_id"))
+
+
+def origin_changes(tasks: DataFrame, origin: DataFrame) -> dict[str, DataFrame]:
+    """What tasks (task_id, content_id, origin_name, origin_id, route) change in the origins.
+
+    ``added``: new rows; any origin with a name counts, with or without an id. An id of a
+    site belongs to one item: to the one that has it, else to the first task that names it.
+    ``marked``: rows there are of rewritten items, with ``alternate`` as it is now.
     """
-    named = tasks.filter(F.coalesce("origin_name", F.lit("")) != "").select(
-        "task_id", "content_id", F.col("origin_name").alias("name"),
-        F.coalesce("origin_id", F.lit("")).alias("origin_id"), "route",
-    )
-    rewriting = named.filter(F.col("route") == "rewriting").groupBy("content_id").agg(
-        first_by([F.col("task_id")], "name", "origin_id", last=True).alias("_main")
-    )
-    columns = ["content_id", "name", "origin_id", "alternate"]
-    is_main = (F.col("_main.name") == F.col("name")) & (F.col("_main.origin_id") == F.col("origin_id"))
-    kept = origin.select(*columns).join(rewriting, "content_id", "left").withColumn(
-        "alternate", F.when(F.col("_main").isNull(), F.col("alternate")).otherwise(~is_main)
-    ).select(*columns)
-    wanted = named.filter(F.col("route") != "rewriting").select("task_id", "content_id", "name", "origin_id").unionByName(
-        rewriting.select(F.lit(0).cast("long").alias("task_id"), "content_id", "_main.name", "_main.origin_id")
-    )
-    # Empty ids may repeat; others go to the first task that names them.
+    mains = _mains(tasks)
+    initial = tasks.filter((F.col("route") != "rewriting") & (F.coalesce("origin_name", F.lit("")) != ""))
+    wanted = initial.select(
+        "task_id", "content_id", F.col("origin_name").alias("name"), F.coalesce("origin_id", F.lit("")).alias("origin_id")
+    ).unionByName(mains.select(F.lit(0).cast("long").alias("task_id"), "content_id", "_main.name", "_main.origin_id"))
     with_id = wanted.filter(F.col("origin_id") != "").groupBy("name", "origin_id").agg(
         F.min_by("content_id", F.struct("task_id", "content_id")).alias("content_id")
     ).join(origin.select("name", "origin_id"), ["name", "origin_id"], "left_anti")
@@ -198,7 +204,24 @@ def manage_origins(tasks: DataFrame, origin: DataFrame) -> DataFrame:
         origin.select("content_id", "name", "origin_id"), ["content_id", "name", "origin_id"], "left_anti"
     )
     added = with_id.select("content_id", "name", "origin_id").unionByName(without_id)
-    return kept.unionByName(added.withColumn("alternate", F.lit(False)))
+    marked = origin.select("content_id", "name", "origin_id").join(mains, "content_id").select(
+        "content_id", "name", "origin_id", (~_is_main()).alias("alternate")
+    )
+    return {"added": added.withColumn("alternate", F.lit(False)), "marked": marked}
+
+
+def manage_origins(tasks: DataFrame, origin: DataFrame) -> DataFrame:
+    """Origins after tasks (task_id, content_id, origin_name, origin_id, route).
+
+    An initial task adds its origin. A rewrite makes its origin the main one and all
+    others of the item alternates. A site id belongs to one item: one that is taken by
+    another item is not added.
+    """
+    columns = ["content_id", "name", "origin_id", "alternate"]
+    kept = origin.select(*columns).join(_mains(tasks), "content_id", "left").withColumn(
+        "alternate", F.when(F.col("_main").isNull(), F.col("alternate")).otherwise(~_is_main())
+    )
+    return kept.select(*columns).unionByName(origin_changes(tasks, origin)["added"])
 
 
 def task_results(tasks: DataFrame, renditions: DataFrame) -> dict[str, DataFrame]:
@@ -255,67 +278,60 @@ def origin_lookup(requests: DataFrame, origin: DataFrame, content: DataFrame) ->
 def ingest_batch(
     tasks: DataFrame, catalog: dict[str, DataFrame], date: Column
 ) -> dict[str, DataFrame]:
-    """What one batch of uploads adds to the catalog.
+    """What one batch of uploads changes in the catalog.
 
     ``tasks``: task_id, source_hash, mime_type, size, file_name, content_type, title,
     description, origin_name, origin_id, rewrite. ``catalog``: content, content_redirect,
-    content_origin. Returns new rows for content and content_origin, execution_error
-    rows, and the status every task ends with.
+    content_origin. Returns
+
+    - ``content`` and ``content_origin``: new rows;
+    - ``rewritten``: items that a task rewrote, as they are now. Rewrites are found by hash, so
+      slug and hash stay; signatures and renditions of these items are out of date;
+    - ``origin_marks``: origins of those items with their new ``alternate``;
+    - ``execution_error`` rows, and the ``task_status`` every task ends with.
     """
     checked = validate_files(normalise_metadata(tasks))
     bad = checked.filter(F.col("reason").isNotNull())
     good = checked.filter(F.col("reason").isNull()).withColumn("file_id", F.col("task_id"))
     admitted = admit_files(good, catalog["content"], catalog["content_redirect"], catalog["content_origin"])
     files = admitted["files"]
-    routed = route_tasks(files.filter(F.col("status") == "admitted"), catalog["content"])
-    initial = routed.filter(F.col("route") == "initial")
+    # All results below start from the routed tasks: decided once.
+    routed = settle(route_tasks(files.filter(F.col("status") == "admitted"), catalog["content"]))
+    initial, rewrites = (routed.filter(F.col("route") == r) for r in ("initial", "rewriting"))
     made = create_content(initial.drop("content_id"), catalog["content"], catalog["content_redirect"], date)
     created = made["content"]
-    named = routed.select("task_id", "origin_name", "origin_id")
-    new_origin = created.select("task_id", "content_id").join(named, "task_id").filter(has_origin())
-    taken = catalog["content_origin"].select("name", "origin_id")
-    first = new_origin.groupBy(F.col("origin_name").alias("name"), "origin_id").agg(
-        F.min_by("content_id", "task_id").alias("content_id")
-    ).join(taken, ["name", "origin_id"], "left_anti").withColumn("alternate", F.lit(False))
+    rewritten = catalog["content"].join(_last_rewrites(rewrites), "content_id").withColumn(
+        "content_type", F.coalesce("_t.content_type", "content_type")
+    )
+    landed = initial.drop("content_id").join(created.select("task_id", "content_id"), "task_id").unionByName(rewrites)
+    origins = origin_changes(landed, catalog["content_origin"])
     from_duplicates = admitted["new_origin"].join(
-        first.select("name", "origin_id"), ["name", "origin_id"], "left_anti"
+        origins["added"].select("name", "origin_id"), ["name", "origin_id"], "left_anti"
     )
-    outcomes = (
-        bad.select(
-            "task_id", F.lit("failed").alias("outcome"), F.lit("ValidationError").alias("error_type"),
-            F.col("reason").alias("message"),
-        )
-        .unionByName(
-            files.filter(F.col("status") == "duplicate").select(
-                "task_id", F.lit("failed").alias("outcome"), F.lit("ValidationError").alias("error_type"),
-                F.lit("Duplicate file found (original or merged)").alias("message"),
-            )
-        )
-        .unionByName(
-            made["discarded"].select(
-                "task_id", F.lit("discarded").alias("outcome"), F.lit(None).cast("string").alias("error_type"),
-                F.lit(None).cast("string").alias("message"),
-            )
-        )
-        .unionByName(
-            created.select(
-                "task_id", F.lit("done").alias("outcome"), F.lit(None).cast("string").alias("error_type"),
-                F.lit(None).cast("string").alias("message"),
-            )
-        )
-        .unionByName(
-            routed.filter(F.col("route") == "rewriting").select(
-                "task_id", F.lit("done").alias("outcome"), F.lit(None).cast("string").alias("error_type"),
-                F.lit(None).cast("string").alias("message"),
-            )
+
+    def outcome(rows: DataFrame, name: str, message: Column | None = None) -> DataFrame:
+        failed = message is not None
+        return rows.select(
+            "task_id", F.lit(name).alias("outcome"),
+            F.lit("ValidationError" if failed else None).cast("string").alias("error_type"),
+            (message if failed else F.lit(None).cast("string")).alias("message"), F.lit("").alias("details"),
         )
-    ).withColumn("details", F.lit(""))
-    ended = task_errors(outcomes)
+
+    duplicates = files.filter(F.col("status") == "duplicate")
+    ended = task_errors(
+        outcome(bad, "failed", F.col("reason"))
+        .unionByName(outcome(duplicates, "failed", F.lit("Duplicate file found (original or merged)")))
+        .unionByName(outcome(made["discarded"], "discarded"))
+        .unionByName(outcome(created, "done"))
+        .unionByName(outcome(rewrites, "done"))
+    )
     return {
         "content": created.drop("task_id"),
-        "content_origin": first.select("content_id", "name", "origin_id", "alternate").unionByName(
+        "rewritten": rewritten.select(*catalog["content"].columns),
+        "content_origin": origins["added"].select("content_id", "name", "origin_id", "alternate").unionByName(
             from_duplicates.select("content_id", "name", "origin_id", "alternate")
         ),
+        "origin_marks": origins["marked"],
         "execution_error": ended["execution_error"],
         "task_status": ended["task"].select("task_id", "status"),
     }

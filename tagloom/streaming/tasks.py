@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,13 @@ from tagloom.operators.ingest import has_origin, ingest_batch
 from tagloom.session import settle
 
 # Tables a batch adds rows to, in the order they are written: statuses last.
-_WRITTEN = ("content", "content_origin", "execution_error", "task_status")
+_WRITTEN = ("content", "rewritten", "content_origin", "origin_marks", "execution_error", "task_status")
+
+# Of each catalog table: the table of changes to its rows, and the columns that name a row.
+_CHANGES = {
+    "content": ("rewritten", ["content_id"]),
+    "content_origin": ("origin_marks", ["content_id", "name", "origin_id"]),
+}
 
 
 def dedupe(stream: DataFrame, delay: str) -> DataFrame:
@@ -33,24 +40,41 @@ def status_log(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(latest.alias("status"))
 
 
-def _catalog(spark: SparkSession, base: dict[str, DataFrame], path: str, before: int) -> dict[str, DataFrame]:
-    """The starting tables plus what earlier batches wrote; a batch never sees itself."""
+def catalog_after(
+    spark: SparkSession, base: dict[str, DataFrame], path: str, before: int | None = None
+) -> dict[str, DataFrame]:
+    """The starting tables with what batches (those numbered below ``before``) wrote: rows added, rows changed.
+
+    Where ``base`` holds image_hash and representation, rows of rewritten items go.
+    """
     catalog = dict(base)
-    for name in ("content", "content_origin"):
-        added = _written(spark, f"{path}/{name}", base[name])
+    done = F.lit(True) if before is None else F.col("batch_id") < before
+    for name, (changed, key) in _CHANGES.items():
+        columns = base[name].columns
+        added, changes = (_written(spark, f"{path}/{t}", base[name]) for t in (name, changed))
         if added is not None:
-            catalog[name] = base[name].unionByName(
-                added.filter(F.col("batch_id") < before).select(*base[name].columns)
-            )
+            catalog[name] = base[name].unionByName(added.filter(done).select(*columns))
+        if changes is None:
+            continue
+        last = changes.filter(done).groupBy(*key).agg(
+            F.max_by(F.struct(*[c for c in columns if c not in key]), "batch_id").alias("_now")
+        )
+        now = lambda c: F.when(F.col("_now").isNotNull(), F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c)
+        catalog[name] = catalog[name].join(last, key, "left").select(*[c if c in key else now(c) for c in columns])
+        if name == "content":
+            for stale in {"image_hash", "representation"} & set(base):
+                catalog[stale] = base[stale].join(last.select("content_id"), "content_id", "left_anti")
     return catalog
 
 
 def _written(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
     schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    try:
+        return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def write_batch(
@@ -63,11 +87,12 @@ def write_batch(
     """
     spark = batch.sparkSession
     tasks = settle(batch)
-    made = ingest_batch(tasks, _catalog(spark, base, path, batch_id), F.lit(date).cast("timestamp_ntz"))
+    made = ingest_batch(tasks, catalog_after(spark, base, path, batch_id), F.lit(date).cast("timestamp_ntz"))
     for name in _WRITTEN:
         rows = made[name]
-        if name in base:
-            rows = rows.select(*base[name].columns)
+        for table, (changes, _) in _CHANGES.items():
+            if name in (table, changes):
+                rows = rows.select(*base[table].columns)
         rows.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
 
 

@@ -280,7 +280,8 @@ def batch_tasks(i: Inputs):
     return i.f_file.select(
         F.col("file_id").alias("task_id"), "source_hash", "mime_type", "size", F.col("name").alias("file_name"),
         F.lit("image").alias("content_type"), F.lit("").alias("title"), F.lit("").alias("description"),
-        "origin_name", "origin_id", "rewrite",
+        F.when(F.col("file_id") % 4 < 2, "derpibooru").otherwise("").alias("origin_name"),
+        F.when(F.col("file_id") % 5 == 0, "").otherwise(F.col("origin_id")).alias("origin_id"), "rewrite",
     )
 
 
@@ -300,11 +301,63 @@ def ingest_batch(i: Inputs):
 
 
 def whole_batch(i: Inputs):
-    none = i.f_origin.select("content_id", "name", "origin_id", "alternate").withColumn("origin_id", F.concat("origin_id", F.lit("x")))
-    catalog = {"content": known_content(i), "content_redirect": known_redirect(i), "content_origin": none}
+    known = known_content(i)
+    content = known.select(
+        "content_id", "source_hash", F.lit("video").alias("content_type"),
+        F.concat(F.lit("item-"), F.col("content_id").cast("string")).alias("slug"),
+    )
+    origins = [
+        F.struct(F.lit(name).alias("name"), F.concat(F.lit(mark), F.col("content_id").cast("string")).alias("origin_id"))
+        for name, mark in (("derpibooru", "d"), ("twitter", "t"))
+    ]
+    origin = known.select("content_id", F.inline(F.array(*origins))).withColumn("alternate", F.col("name") == "derpibooru")
+    catalog = {"content": content, "content_redirect": known_redirect(i), "content_origin": origin}
     return ingest.ingest_batch(batch_tasks(i), catalog, F.lit("2026-03-04").cast("timestamp_ntz"))
 
 
+ORIGINS = f"""{BATCH}, b as (select file_id, case when file_id % 4 < 2 then 'derpibooru' else '' end as site,
+      case when file_id % 5 = 0 then '' else origin_id end as oid from f_file),
+    made as (select (select max(content_id) from kc) + row_number() over (order by file_id) as content_id, file_id from rt where file_id in (select file_id from f)),
+    rw as (select kc.content_id, max(rt.file_id) as file_id from rt join kc on kc.source_hash = rt.source_hash join b on b.file_id = rt.file_id
+           where rewriting and site <> '' group by kc.content_id),
+    ko as (select content_id, 'derpibooru' as name, 'd' || content_id as origin_id from kc union all select content_id, 'twitter', 't' || content_id from kc),
+    added as (select content_id, site as name, oid as origin_id, false as alternate from (select * from made union all select content_id, file_id from rw) join b using (file_id) where site <> ''
+      union all select duplicate_of, site, oid, true from g join b on b.file_id = g.file_id where duplicate_of is not null and site <> '' and oid <> '')"""
+
+
+@query("ingest_origins", f"{ORIGINS} select * from added where not exists (select 1 from ko where ko.name = added.name and ko.origin_id = added.origin_id)")
+def ingest_origins(i: Inputs):
+    return whole_batch(i)["content_origin"]
+
+
+@query(
+    "ingest_marks",
+    f"""{ORIGINS} select ko.content_id, ko.name, ko.origin_id, not (ko.name = site and ko.origin_id = oid) as alternate
+        from ko join rw on rw.content_id = ko.content_id join b on b.file_id = rw.file_id""",
+)
+def ingest_marks(i: Inputs):
+    return whole_batch(i)["origin_marks"]
+
+
+@query(
+    "ingest_rewritten",
+    f"""{BATCH} select content_id, lower(hex(source_hash)) as source_hash, 'image' as content_type, 'item-' || content_id as slug
+        from kc where source_hash in (select source_hash from rt where rewriting)""",
+)
+def ingest_rewritten(i: Inputs):
+    return whole_batch(i)["rewritten"].withColumn("source_hash", hashing.hex_text("source_hash"))
+
+
+@query(
+    "ingest_errors",
+    f"""{BATCH} select file_id as task_id, 'ValidationError: ' || case when size = 0 then 'The file cannot be empty'
+          when mime_type = 'video/quicktime' then 'File type video/quicktime not allowed' else 'Duplicate file found (original or merged)' end as title, '' as details
+        from j where size = 0 or mime_type = 'video/quicktime' or duplicate_of is not null""",
+)
+def ingest_errors(i: Inputs):
+    return whole_batch(i)["execution_error"]
+
+
 @query(
     "ingest_content",
     f"""{BATCH} select (select max(content_id) from kc) + row_number() over (order by file_id) as content_id, regexp_replace(split_part(name, '/', 2), '\\.dat$', '') as title,

@@ -122,6 +122,30 @@ def test_stream_equals_batch_and_survives_a_replay(spark, inputs, tmp_path):
     assert after == before
 
 
+def test_stream_applies_rewrites(spark, inputs, tmp_path):
+    base, out = empty_base(inputs), str(tmp_path / "out")
+    pick = (F.col("task_id") % 30 == 5) & (F.col("mime_type") != "video/quicktime") & (F.col("size") > 0)
+    first = uploads(inputs).filter(pick).withColumns({"origin_name": F.lit("derpibooru"), "origin_id": F.lit("")})
+    again = first.withColumns(
+        {
+            "task_id": F.col("task_id") + 100000, "rewrite": F.lit(True), "content_type": F.lit("video"),
+            "origin_name": F.lit("twitter"), "origin_id": F.concat(F.lit("t"), F.col("task_id").cast("string")),
+        }
+    )
+    streams.write_batch(first, 0, base, out, "2026-03-04")
+    for _ in range(2):  # the second time as a replay
+        streams.write_batch(again, 1, base, out, "2026-03-04")
+    made = streams.catalog_after(spark, base, out)
+    n = made["content"].count()
+    assert n > 0 and made["content"].columns == base["content"].columns
+    assert {r.content_type for r in made["content"].collect()} == {"video"}
+    found = {(r.name, r.alternate): r["count"] for r in made["content_origin"].groupBy("name", "alternate").count().collect()}
+    assert found == {("derpibooru", True): n, ("twitter", False): n}
+    before = streams.catalog_after(spark, base, out, before=1)
+    assert {r.content_type for r in before["content"].collect()} == {"image"}
+    assert {r.status for r in spark.read.parquet(f"{out}/task_status").filter("batch_id = 1").collect()} == {1}
+
+
 def test_stream_dedupe(spark, inputs, tmp_path):
     stream = file_stream(spark, inputs, str(tmp_path / "in"))
     run = (

@@ -65,19 +65,21 @@ def register_albums(
 
     ``requests``: origin_name, album_title, content_sequence (array) or
     ordered_content (map ordinal -> id); one request per title. Ids that are not in
-    the catalog are skipped, their ordinals stay used. Returns ``items``
+    the catalog are skipped, their ordinals stay used; a request with an ordinal that is no
+    number is an error. Returns ``items``
     (album_title, content_id, ord) and ``summary`` with counts, status and set tag.
     """
     both = F.col("content_sequence").isNotNull() & F.col("ordered_content").isNotNull()
     neither = F.col("content_sequence").isNull() & F.col("ordered_content").isNull()
-    error = F.when(both, "both forms given").when(neither, "no content given")
+    unread = F.exists(F.map_keys("ordered_content"), lambda k: k.try_cast("long").isNull())
+    error = F.when(both, "both forms given").when(neither, "no content given").when(unread, "ordinal is no number")
     valid = requests.filter(error.isNull())
     as_list = valid.filter(F.col("content_sequence").isNotNull()).select(
         "album_title", "origin_name", F.posexplode("content_sequence").alias("at", "origin_id")
     ).select("album_title", "origin_name", (F.col("at") + 1).cast("long").alias("ord"), "origin_id")
     as_map = valid.filter(F.col("ordered_content").isNotNull()).select(
         "album_title", "origin_name", F.explode("ordered_content").alias("ord", "origin_id")
-    ).select("album_title", "origin_name", F.col("ord").cast("long").alias("ord"), "origin_id")
+    ).select("album_title", "origin_name", F.col("ord").try_cast("long").alias("ord"), "origin_id")
     asked = as_list.unionByName(as_map)
     # Empty ids repeat; like any other id they stand for one item.
     known = origin.groupBy(F.col("name").alias("origin_name"), "origin_id").agg(F.max("content_id").alias("content_id"))

@@ -324,3 +324,19 @@ def test_one_file_may_hold_a_third_of_tasks(spark):
     )
     counts = dict(got(ingest.select_launch(tasks).groupBy("decision").count(), "decision", "count"))
     assert counts == {"launch": 601, "discard": 299}
+
+
+def test_ordinals_that_are_no_numbers(rows):
+    requests = rows(
+        "album_title string, origin_name string, content_sequence array<string>, ordered_content map<string,string>",
+        ("good", "s", None, {"10": "a", "30": "b"}), ("bad", "s", None, {"10": "a", "x": "b"}), ("none", "s", None, None),
+    )
+    made = sets.register_albums(
+        requests, rows("content_id long, name string, origin_id string", (1, "s", "a"), (2, "s", "b")),
+        rows("content_id long, tag_id long"), rows("tag_id long, title string, category string"),
+        rows("album_id long, album_name string, set_tag_id long"),
+    )
+    assert got(made["items"], "album_title", "content_id", "ord") == [("good", 1, 10), ("good", 2, 30)]
+    assert got(made["summary"], "album_title", "status") == [
+        ("bad", "ordinal is no number"), ("good", "success"), ("none", "no content given"),
+    ]

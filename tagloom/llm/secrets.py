@@ -27,6 +27,7 @@ CONTEXT = re.compile(
     r"""["']?\x20*(?::=|=>|->|[:=]|\x20is\x20)\x20*["'`]?([^\x00-\x20"'`<>,;]+)""",
     re.IGNORECASE | re.ASCII,
 )
+PLACES = (":", "=", "->", " is ")  # one of them is in every match of ASSIGN and CONTEXT, in lower case
 CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "key")
 
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -97,24 +98,18 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-def hard_to_guess(value: str, ranks: dict[str, int], least: float) -> bool:
-    """Whether a value looks like a key rather than prose: two kinds of characters, and costly to guess."""
-    kinds = sum((any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())))
-    return len(value) >= 6 and kinds >= 2 and guess_cost(value, ranks) >= least
-
-
 def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive."""
     found = [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20] if "AKIA" in text else []
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if ":" in text or "=" in text or " is " in text:
-        low = text.lower()
+    low = text.lower()
+    if any(x in low for x in PLACES):
         if any(x in low for x in NAMES):
             found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         if any(x in low for x in CONTEXT_HINTS):
             for m in CONTEXT.finditer(text):
                 start, end = m.start(1), m.start(1) + len(m[1].rstrip(".:!?)]}"))
-                if hard_to_guess(text[start:end], ranks, least):
+                if guess_cost(text[start:end], ranks) >= least:
                     found.append(("guess", start, end))
     return found
 

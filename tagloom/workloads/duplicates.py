@@ -214,6 +214,21 @@ def merge_albums(i: Inputs):
     return merge.merge_albums(items, resolved(i))
 
 
+@query(
+    "merge_albums_all",
+    f"""with {MAP}, a as (select album_id, content_id, ord from f_album_order
+          union all select -1 - content_id // 40, content_id, ord from f_album_order),
+        own as (select * from a where content_id not in (select source_id from m)),
+        moved as (select album_id, m.target_id as content_id, min(ord) as ord from a join m on m.source_id = content_id group by all)
+        select * from own union all select * from moved where not exists (select 1 from own where own.album_id = moved.album_id and own.content_id = moved.content_id)""",
+)
+def merge_albums_all(i: Inputs):
+    """Every row in its own album, where targets are mostly absent, and in one of neighbours, where they are there."""
+    items = i.f_album_order.select("album_id", "content_id", "ord")
+    near = items.withColumn("album_id", -1 - F.floor(F.col("content_id") / 40))
+    return merge.merge_albums(items.unionByName(near), resolved(i))
+
+
 @query(
     "merge_redirects",
     f"""with {MAP} select old_slug, coalesce(m.target_id, new_content_id) as new_content_id, created_at, lower(hex(source_hash)) as source_hash

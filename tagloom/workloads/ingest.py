@@ -82,6 +82,18 @@ def validate_tasks(i: Inputs):
     return ingest.validate_tasks(tasks).select("task_id", "reason")
 
 
+@query(
+    "validate_tasks_wide",
+    """with f as (select source_hash, min(task_id) as a, min(task_id) filter (where status not in (1, 4)) as b from f_task_wide group by source_hash)
+       select task_id, case when not rewrite and a < task_id then 'Found task with same source_hash.'
+         when rewrite and b < task_id then 'Cannot rewrite: active task with same source_hash exists.' end as reason
+       from f_task_wide t join f on f.source_hash = t.source_hash""",
+)
+def validate_tasks_wide(i: Inputs):
+    """Hashes in proportion to the tasks: five of each."""
+    return ingest.validate_tasks(i.f_task_wide).select("task_id", "reason")
+
+
 @query(
     "select_launch",
     """with p as (select * from f_task where status in (0, 2)),

@@ -184,6 +184,21 @@ def collection_edits(i: Inputs):
     return sets.apply_collection_edits(i.f_collection, i.f_collection_item, i.f_edit, i.f_content)["items"]
 
 
+OWN_WIDE = "select e.*, c.user_id as owner from f_edit_wide e left join f_collection c on c.collection_id = e.collection_id"
+
+
+@query(
+    "collection_edits_wide",
+    f"""with own as (select * from ({OWN_WIDE}) where owner = user_id),
+        last as (select collection_id, content_id, arg_max(action, (edited_at, edit_id)) as action from own where action <> 'toggle_nsfw' group by all)
+        select collection_id, content_id from f_collection_item i where not exists (select 1 from last l where l.collection_id = i.collection_id and l.content_id = i.content_id)
+        union all select collection_id, content_id from last where action = 'add' and content_id in (select content_id from f_content)""",
+)
+def collection_edits_wide(i: Inputs):
+    """Edits of as many items as there are collections, times five."""
+    return sets.apply_collection_edits(i.f_collection, i.f_collection_item, i.f_edit_wide, i.f_content)["items"]
+
+
 @query(
     "collection_flags",
     f"""with t as (select collection_id, count(*) % 2 = 1 as flip from ({OWN}) where owner = user_id and action = 'toggle_nsfw' group by collection_id)

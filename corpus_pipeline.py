@@ -42,7 +42,7 @@ STAGES = [
     ("secret scans", without_secrets), ("packing", packed),
 ]
 
-# Segmentation by guess cost, token ids and sketches have no SQL; tests compare with plain Python.
+# Segmentation by guess cost, token ids and sketches have no SQL.
 ORACLE_SQL = None
 
 

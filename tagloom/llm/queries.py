@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, jaccard, media, packing, pii, quality, secrets, sentencepiece, sharding, substrings
+from tagloom.llm import audit, centroids, chat, jaccard, media, packing, pii, quality, secrets, sentencepiece, sharding, simhash, substrings
 from tagloom.llm.common import joined, read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -112,3 +112,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes",
         "media_sha256", "feature",
     )
+
+
+@query("op11_filter_audit", audit.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents")).withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query("op13_centroids", centroids.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")

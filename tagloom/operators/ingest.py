@@ -27,30 +27,39 @@ def validate_files(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", reason)
 
 
-def admit_files(
-    files: DataFrame, content: DataFrame, redirect: DataFrame, origin: DataFrame
-) -> dict[str, DataFrame]:
-    """Turn away files the catalog has, under their own hash or a merged item's.
-
-    ``files``: status admitted or duplicate, with the item a duplicate belongs to; a
-    rewrite is always admitted. ``new_origin``: origins given with duplicates, as
-    alternates of that item, unless a site id is taken already.
-    """
+def judge_files(files: DataFrame, content: DataFrame, redirect: DataFrame) -> DataFrame:
+    """Add duplicate_of and status (admitted or duplicate) to files (source_hash, rewrite)."""
     here = content.select("source_hash", F.col("content_id").alias("_here"))
     merged = redirect.select("source_hash", F.col("new_content_id").alias("_merged"))
     target = F.when(~F.col("rewrite"), F.coalesce("_here", "_merged"))
-    judged = files.join(here, "source_hash", "left").join(merged, "source_hash", "left").select(
+    return files.join(here, "source_hash", "left").join(merged, "source_hash", "left").select(
         *files.columns, target.alias("duplicate_of"),
         F.when(target.isNull(), "admitted").otherwise("duplicate").alias("status"),
     )
+
+
+def origins_of_duplicates(judged: DataFrame, origin: DataFrame) -> DataFrame:
+    """(content_id, name, origin_id, alternate) given with duplicates, unless a site id is taken already."""
     given = judged.filter((F.col("status") == "duplicate") & has_origin())
     first = given.groupBy(F.col("origin_name").alias("name"), "origin_id").agg(
         F.min_by("duplicate_of", "file_id").alias("content_id")
     )
-    new_origin = first.join(origin.select("name", "origin_id"), ["name", "origin_id"], "left_anti").select(
+    return first.join(origin.select("name", "origin_id"), ["name", "origin_id"], "left_anti").select(
         "content_id", "name", "origin_id", F.lit(True).alias("alternate")
     )
-    return {"files": judged, "new_origin": new_origin}
+
+
+def admit_files(
+    files: DataFrame, content: DataFrame, redirect: DataFrame, origin: DataFrame
+) -> dict[str, DataFrame]:
+    """Turn away files the catalog has, under their own hash or a merged item's.
+
+    ``files``: status admitted or duplicate, with the item a duplicate belongs to; a
+    rewrite is always admitted. ``new_origin``: origins given with duplicates, as
+    alternates of that item, unless a site id is taken already.
+    """
+    judged = judge_files(files, content, redirect)
+    return {"files": judged, "new_origin": origins_of_duplicates(judged, origin)}
 
 
 def validate_tasks(tasks: DataFrame) -> DataFrame:
@@ -107,13 +116,13 @@ def route_tasks(tasks: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def create_content(
-    tasks: DataFrame, content: DataFrame, redirect: DataFrame, date: Column
+    tasks: DataFrame, content: DataFrame, redirect: DataFrame, date: Column, top: int | None = None
 ) -> dict[str, DataFrame]:
     """New items of initial tasks (task_id, source_hash, content_type, title, description, file_name).
 
     A hash the catalog has, or an earlier task of the batch has, discards the task.
-    Ids follow the highest one in task order. Returns ``content`` (with task_id) and
-    ``discarded`` (task_id).
+    Ids follow the highest one in task order; ``top`` names it where ``content`` is not the
+    whole table. Returns ``content`` (with task_id) and ``discarded`` (task_id).
     """
     known = content.select("source_hash").unionByName(redirect.select("source_hash"))
     first = tasks.groupBy("source_hash").agg(F.min("task_id").alias("task_id")).join(
@@ -125,9 +134,9 @@ def create_content(
         F.coalesce("description", F.lit("")).alias("description"),
     )
     numbered = number_rows(made, "_n", ["task_id"])
-    top = content.agg(F.coalesce(F.max("content_id"), F.lit(0)).alias("m")).scalar()
+    highest = content.agg(F.coalesce(F.max("content_id"), F.lit(0)).alias("m")).scalar() if top is None else F.lit(top)
     created = numbered.select(
-        (F.col("_n") + top).alias("content_id"), "task_id", "title", "content_type", "description",
+        (F.col("_n") + highest).alias("content_id"), "task_id", "title", "content_type", "description",
         date.alias("addition_date"), F.lit(False).alias("is_hidden"), "source_hash",
         names.content_slug(date, F.col("source_hash")).alias("slug"),
     )
@@ -276,36 +285,45 @@ def origin_lookup(requests: DataFrame, origin: DataFrame, content: DataFrame) ->
 
 
 def ingest_batch(
-    tasks: DataFrame, catalog: dict[str, DataFrame], date: Column
+    tasks: DataFrame, catalog: dict[str, DataFrame], date: Column, earlier: DataFrame | None = None, top: int | None = None
 ) -> dict[str, DataFrame]:
     """What one batch of uploads changes in the catalog.
 
     ``tasks``: task_id, source_hash, mime_type, size, file_name, content_type, title,
     description, origin_name, origin_id, rewrite. ``catalog``: content, content_redirect,
-    content_origin. Returns
+    content_origin; rows that share no hash, item or site id with the batch may be left out
+    if ``top`` is the highest content_id. With ``earlier`` (task_id, source_hash, status,
+    rewrite), tasks also have to stand beside those of their hash, and one per (site, id)
+    is launched. Returns
 
     - ``content`` and ``content_origin``: new rows;
     - ``rewritten``: items that a task rewrote, as they are now. Rewrites are found by hash, so
       slug and hash stay; signatures and renditions of these items are out of date;
     - ``origin_marks``: origins of those items with their new ``alternate``;
-    - ``execution_error`` rows, and the ``task_status`` every task ends with.
+    - ``landed``: (task_id, content_id) of the tasks that are done;
+    - ``execution_error`` rows, and the ``task_status`` every task ends with;
+    - ``refused``: (task_id) of uploads that never became tasks.
     """
     checked = validate_files(normalise_metadata(tasks))
-    bad = checked.filter(F.col("reason").isNotNull())
-    good = checked.filter(F.col("reason").isNull()).withColumn("file_id", F.col("task_id"))
-    admitted = admit_files(good, catalog["content"], catalog["content_redirect"], catalog["content_origin"])
-    files = admitted["files"]
-    # All results below start from the routed tasks: decided once.
-    routed = settle(route_tasks(files.filter(F.col("status") == "admitted"), catalog["content"]))
+    bad = checked.filter(F.col("reason").isNotNull()).select("task_id", "reason")
+    good = checked.filter(F.col("reason").isNull()).drop("reason").withColumn("file_id", F.col("task_id"))
+    # Everything below starts from the judged files: looked up in the catalog once.
+    files = settle(judge_files(good, catalog["content"], catalog["content_redirect"]))
+    admitted = files.filter(F.col("status") == "admitted").drop("status")
+    put_off = None
+    if earlier is not None:
+        admitted, wrong, put_off = _launched(admitted, earlier)
+        bad = bad.unionByName(wrong)
+    routed = settle(route_tasks(admitted, catalog["content"]))
     initial, rewrites = (routed.filter(F.col("route") == r) for r in ("initial", "rewriting"))
-    made = create_content(initial.drop("content_id"), catalog["content"], catalog["content_redirect"], date)
+    made = create_content(initial.drop("content_id"), catalog["content"], catalog["content_redirect"], date, top)
     created = made["content"]
     rewritten = catalog["content"].join(_last_rewrites(rewrites), "content_id").withColumn(
         "content_type", F.coalesce("_t.content_type", "content_type")
     )
     landed = initial.drop("content_id").join(created.select("task_id", "content_id"), "task_id").unionByName(rewrites)
     origins = origin_changes(landed, catalog["content_origin"])
-    from_duplicates = admitted["new_origin"].join(
+    from_duplicates = origins_of_duplicates(files, catalog["content_origin"]).join(
         origins["added"].select("name", "origin_id"), ["name", "origin_id"], "left_anti"
     )
 
@@ -318,10 +336,11 @@ def ingest_batch(
         )
 
     duplicates = files.filter(F.col("status") == "duplicate")
+    discarded = made["discarded"] if put_off is None else made["discarded"].unionByName(put_off)
     ended = task_errors(
         outcome(bad, "failed", F.col("reason"))
         .unionByName(outcome(duplicates, "failed", F.lit("Duplicate file found (original or merged)")))
-        .unionByName(outcome(made["discarded"], "discarded"))
+        .unionByName(outcome(discarded, "discarded"))
         .unionByName(outcome(created, "done"))
         .unionByName(outcome(rewrites, "done"))
     )
@@ -332,6 +351,25 @@ def ingest_batch(
             from_duplicates.select("content_id", "name", "origin_id", "alternate")
         ),
         "origin_marks": origins["marked"],
+        "landed": landed.select("task_id", "content_id"),
         "execution_error": ended["execution_error"],
         "task_status": ended["task"].select("task_id", "status"),
+        "refused": bad.select("task_id").unionByName(duplicates.select("task_id")),
     }
+
+
+def _launched(files: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(launched files, (task_id, reason) of tasks that may not stand, (task_id) of tasks set aside)."""
+    columns = ["task_id", "source_hash", "status", "rewrite", "uploaded_file"]
+    new = files.select(
+        "task_id", "source_hash", F.lit(rules.AWAITING).alias("status"), "rewrite", F.col("file_name").alias("uploaded_file")
+    )
+    before = earlier.join(new.select("task_id"), "task_id", "left_anti").select(
+        "task_id", "source_hash", "status", "rewrite", F.lit("").alias("uploaded_file")
+    )
+    judged = validate_tasks(new.unionByName(before).select(*columns)).join(new.select("task_id"), "task_id", "left_semi")
+    judged = settle(judged.select("task_id", "reason"))
+    standing = files.join(judged.filter(F.col("reason").isNull()).select("task_id"), "task_id", "left_semi")
+    decided = settle(select_launch(standing.withColumn("status", F.lit(rules.AWAITING))))
+    chosen = lambda d: decided.filter(F.col("decision") == d).select("task_id")
+    return standing.join(chosen("launch"), "task_id", "left_semi"), judged.filter(F.col("reason").isNotNull()), chosen("discard")

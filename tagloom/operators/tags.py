@@ -210,7 +210,10 @@ def new_tag_aliases(new_tag: DataFrame, alias: DataFrame) -> DataFrame:
 def apply_resolution(
     result: dict[str, DataFrame], tag: DataFrame, alias: DataFrame, implication: DataFrame
 ) -> dict[str, DataFrame]:
-    """The vocabulary after a resolution: new rows get the ids after the highest one."""
+    """The vocabulary after a resolution: new rows get the ids after the highest one.
+
+    ``tag_rows``, ``alias_rows`` and ``implication_rows`` are those that are new or changed.
+    """
     numbered = number_rows(result["new_tag"], "_n", ["category", "title"])
     top = tag.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("m")).scalar()
     created = numbered.select((F.col("_n") + top).alias("tag_id"), "title", "category")
@@ -219,16 +222,20 @@ def apply_resolution(
     tags_now = tag.join(change, "tag_id", "left").select(
         "tag_id", "title", F.coalesce("_category", "category").alias("category")
     ).unionByName(created)
-    aliases_now = alias.select("tag_id", "title").unionByName(
-        result["new_alias"].join(created, ["title", "category"]).select("tag_id", F.col("alias").alias("title"))
-    )
+    changed = tag.join(change, "tag_id").select("tag_id", "title", F.col("_category").alias("category"))
+    new_alias = result["new_alias"].join(created, ["title", "category"]).select("tag_id", F.col("alias").alias("title"))
+    aliases_now = alias.select("tag_id", "title").unionByName(new_alias)
     makers = tags_now.select(F.col("tag_id").alias("target"), "title", "category")
     creators = created.filter(F.col("category") == "creator").select("title", F.col("tag_id").alias("_new"))
     links = result["new_implication"].join(makers, ["title", "category"]).join(creators, "title", "left").select(
         "target", F.coalesce("creator_id", "_new").alias("implicate")
     )
-    edges_now = implication.select("target", "implicate").unionByName(links).distinct()
-    return {"tag": tags_now, "tag_alias": aliases_now, "tag_implication": edges_now}
+    new_edge = links.distinct().join(implication.select("target", "implicate"), ["target", "implicate"], "left_anti")
+    edges_now = implication.select("target", "implicate").unionByName(new_edge)
+    return {
+        "tag": tags_now, "tag_alias": aliases_now, "tag_implication": edges_now,
+        "tag_rows": created.unionByName(changed), "alias_rows": new_alias, "implication_rows": new_edge,
+    }
 
 
 def tag_ids(resolved: DataFrame, tag: DataFrame) -> DataFrame:
@@ -266,6 +273,29 @@ def tag_stats(tag: DataFrame, alias: DataFrame, content_tag: DataFrame) -> DataF
     )
 
 
+def attach_tags(
+    wanted: DataFrame, content_tag: DataFrame, tag: DataFrame, alias: DataFrame, implication: DataFrame
+) -> dict[str, DataFrame]:
+    """Give items the tags named for them, and what these imply.
+
+    ``wanted``: content_id, name, category, seq (any type that can be ordered; the lowest
+    decides where names compete). Returns the vocabulary after resolution, its new rows
+    (see :func:`apply_resolution`) and ``added``: the (content_id, tag_id) that
+    ``content_tag`` lacks. Only the bridge rows of the items named are looked at.
+    """
+    asked = wanted.groupBy("name", "category").agg(F.min("seq").alias("seq"))
+    result = resolve_tags(asked, tag, alias)
+    now = apply_resolution(result, tag, alias, implication)
+    ids = settle(tag_ids(result["resolved"], now["tag"]))
+    named = ids.select(F.col("asked").alias("name"), F.col("asked_category").alias("category"), "tag_id")
+    picked = wanted.join(named, ["name", "category"]).select("content_id", "tag_id")
+    closure = implication_closure(now["tag_implication"], ids.select(F.col("tag_id").alias("target")).distinct())
+    added = expand_content_tags(picked, closure).join(
+        content_tag.select("content_id", "tag_id"), ["content_id", "tag_id"], "left_anti"
+    )
+    return now | {"added": added}
+
+
 def apply_predictions(
     predictions: DataFrame, content_tag: DataFrame, tag: DataFrame, alias: DataFrame,
     implication: DataFrame, threshold: float = 0.2,
@@ -274,18 +304,11 @@ def apply_predictions(
 
     Returns the vocabulary after resolution and the new ``content_tag``.
     """
-    kept = predictions.filter(F.col("score") >= threshold).select("content_id", F.col("tag").alias("name")).distinct()
-    asked = kept.groupBy("name").agg(F.min("content_id").alias("seq")).withColumn("category", F.lit("content"))
-    result = resolve_tags(asked, tag, alias)
-    now = apply_resolution(result, tag, alias, implication)
-    ids = tag_ids(result["resolved"], now["tag"])
-    picked = kept.join(ids.select(F.col("asked").alias("name"), "tag_id"), "name").select("content_id", "tag_id")
-    closure = implication_closure(
-        now["tag_implication"], ids.select(F.col("tag_id").alias("target")).distinct()
+    kept = predictions.filter(F.col("score") >= threshold).select(
+        "content_id", F.col("tag").alias("name"), F.lit("content").alias("category"), F.col("content_id").alias("seq")
     )
-    now["content_tag"] = content_tag.select("content_id", "tag_id").unionByName(
-        expand_content_tags(picked, closure)
-    ).distinct()
+    now = attach_tags(kept, content_tag, tag, alias, implication)
+    now["content_tag"] = content_tag.select("content_id", "tag_id").unionByName(now["added"])
     return now
 
 

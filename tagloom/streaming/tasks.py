@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tagloom.operators.ingest import has_origin, ingest_batch
+from tagloom import rules
+from tagloom.functions.origins import normalise_origin_id
+from tagloom.operators.ingest import has_origin, ingest_batch, task_results
+from tagloom.operators.tags import attach_tags, tags_from_metadata
 from tagloom.session import settle
+from tagloom.streaming.store import Store
 
-# Tables a batch adds rows to, in the order they are written: statuses last.
-_WRITTEN = ("content", "rewritten", "content_origin", "origin_marks", "execution_error", "task_status")
-
-# Of each catalog table: the table of changes to its rows, and the columns that name a row.
-_CHANGES = {
-    "content": ("rewritten", ["content_id"]),
-    "content_origin": ("origin_marks", ["content_id", "name", "origin_id"]),
-}
+COMPACT_EVERY = 16  # batches
 
 
 def dedupe(stream: DataFrame, delay: str) -> DataFrame:
@@ -40,71 +35,95 @@ def status_log(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(latest.alias("status"))
 
 
-def catalog_after(
-    spark: SparkSession, base: dict[str, DataFrame], path: str, before: int | None = None
+def process_batch(
+    tasks: DataFrame, batch_id: int, store: Store, date: str, renditions: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """The starting tables with what batches (those numbered below ``before``) wrote: rows added, rows changed.
+    """What a batch of tasks adds to and changes in the tables of ``store``, by table.
 
-    Where ``base`` holds image_hash and representation, rows of rewritten items go.
+    ``tasks`` has the columns of :func:`ingest_batch` and may have tags (category -> names) and
+    created_at; ``renditions`` (source_hash, file_size) what was made of the files. Of the catalog only
+    rows are read that share a hash, an item or a site id with the batch, and the vocabulary.
     """
-    catalog = dict(base)
-    done = F.lit(True) if before is None else F.col("batch_id") < before
-    for name, (changed, key) in _CHANGES.items():
-        columns = base[name].columns
-        added, changes = (_written(spark, f"{path}/{t}", base[name]) for t in (name, changed))
-        if added is not None:
-            catalog[name] = base[name].unionByName(added.filter(done).select(*columns))
-        if changes is None:
-            continue
-        last = changes.filter(done).groupBy(*key).agg(
-            F.max_by(F.struct(*[c for c in columns if c not in key]), "batch_id").alias("_now")
-        )
-        now = lambda c: F.when(F.col("_now").isNotNull(), F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c)
-        catalog[name] = catalog[name].join(last, key, "left").select(*[c if c in key else now(c) for c in columns])
-        if name == "content":
-            for stale in {"image_hash", "representation"} & set(base):
-                catalog[stale] = base[stale].join(last.select("content_id"), "content_id", "left_anti")
-    return catalog
-
-
-def _written(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame | None:
-    schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(schema).option("basePath", folder).parquet(folder)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def write_batch(
-    batch: DataFrame, batch_id: int, base: dict[str, DataFrame], path: str, date: str
-) -> None:
-    """Ingest one micro-batch into ``path``/table/batch_id=N.
-
-    A batch that is run again after a failure replaces its own folders and reads only
-    earlier ones, so it ends with the same catalog.
+    before, when = batch_id, F.lit(date).cast("timestamp_ntz")
+    hashes = tasks.select("source_hash").filter(F.col("source_hash").isNotNull())
+    content, redirect, earlier = (store.look_up(t, hashes, before) for t in ("content", "content_redirect", "task"))
+    here = content.select("content_id").unionByName(redirect.select(F.col("new_content_id").alias("content_id")))
+    asked = tasks.select(
+        F.col("origin_name").alias("name"), normalise_origin_id("origin_name", "origin_id").alias("origin_id")
+    ).filter("name <> '' and origin_id <> ''")
+    owned = store.look_up("origin_owner", asked, before)
+    origin = store.look_up("content_origin", here, before)
+    known = origin.select("content_id", "name", "origin_id").unionByName(owned.select("content_id", "name", "origin_id")).distinct()
+    top = store.read("highest_id", before).filter("name = 'content'").agg(F.max("value")).first()[0] or 0
+    catalog = {"content": content, "content_redirect": redirect, "content_origin": known}
+    made = ingest_batch(tasks, catalog, when, earlier, top)
+    landed = settle(made["landed"])
+
+    new_origin = made["content_origin"]
+    out = {
+        "content": made["content"].unionByName(made["rewritten"], allowMissingColumns=True).withColumn("last_edit", when),
+        "content_origin": new_origin.unionByName(made["origin_marks"]),
+        "origin_owner": new_origin.filter("origin_id <> ''").select("name", "origin_id", "content_id"),
+        "highest_id": made["content"].agg(F.greatest(F.max("content_id"), F.lit(top)).alias("value")).withColumn("name", F.lit("content")),
+    }
+    stale = made["rewritten"].select("content_id", F.lit(True).alias("_gone"))
+    out |= {"image_hash": stale, "representation": stale}
+    if "tags" in tasks.columns:
+        out |= _tags(tasks, landed, store, before)
+    done = landed.join(tasks.select("task_id", "source_hash", F.col("size").alias("source_file_size")), "task_id")
+    if renditions is None:
+        sizes = landed.select("content_id", F.lit(None).cast("long").alias("file_size")).limit(0)
+    else:
+        sizes = renditions.join(done.select("source_hash", "content_id").distinct(), "source_hash").select("content_id", "file_size")
+    out["task_result"] = task_results(done, sizes)["task_result"]
+    status = settle(made["task_status"])
+    stand = status.join(made["refused"], "task_id", "left_anti")
+    finished = F.col("status").isin(rules.DONE, rules.DISCARDED)
+    out["task"] = tasks.drop("status", "uploaded_file").join(stand, "task_id").withColumn(
+        "uploaded_file", F.when(~finished, F.col("file_name"))
+    )
+    return out | {"execution_error": made["execution_error"], "task_status": status}
+
+
+def _tags(tasks: DataFrame, landed: DataFrame, store: Store, before: int) -> dict[str, DataFrame]:
+    """New rows of the vocabulary and of the bridge. The vocabulary is read whole: it grows with tags, not items."""
+    given = tasks.select("task_id", "tags").join(landed, "task_id")
+    first = given.groupBy("content_id").agg(F.min("task_id").alias("task_id"))
+    wanted = tags_from_metadata(given).join(first, "content_id").withColumn("seq", F.struct("task_id", "category", "name"))
+    tag, alias, implication = (store.read(t, before) for t in ("tag", "tag_alias", "tag_implication"))
+    has = store.look_up("content_tag", landed.select("content_id"), before)
+    now = attach_tags(wanted.select("content_id", "name", "category", "seq"), has, tag, alias, implication)
+    return {
+        "tag": now["tag_rows"], "tag_alias": now["alias_rows"], "tag_implication": now["implication_rows"],
+        "content_tag": now["added"],
+    }
+
+
+def write_batch(batch: DataFrame, batch_id: int, store: Store, date: str, renditions: DataFrame | None = None) -> None:
+    """Run one micro-batch and write what it adds and changes, the tasks' statuses last.
+
+    A batch that is run again after a failure reads only what earlier ones wrote and
+    replaces its own folders, so it ends with the same catalog.
     """
-    spark = batch.sparkSession
     tasks = settle(batch)
-    made = ingest_batch(tasks, catalog_after(spark, base, path, batch_id), F.lit(date).cast("timestamp_ntz"))
-    for name in _WRITTEN:
-        rows = made[name]
-        for table, (changes, _) in _CHANGES.items():
-            if name in (table, changes):
-                rows = rows.select(*base[table].columns)
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+    out = process_batch(tasks, batch_id, store, date, renditions)
+    for table, rows in out.items():
+        store.write(table, rows, batch_id)
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        for table in out:
+            store.compact(table, batch_id)
 
 
 def ingest(
-    stream: DataFrame, base: dict[str, DataFrame], path: str, checkpoint: str, date: str
+    stream: DataFrame, store: Store, base: dict[str, DataFrame], checkpoint: str, date: str, renditions: DataFrame | None = None
 ) -> StreamingQuery:
     """Run the waiting tasks of ``stream`` through ingest, batch by batch.
 
-    ``base`` holds content (content_id, title, content_type, description,
-    addition_date, is_hidden, source_hash, slug), content_redirect and content_origin.
+    ``base`` holds what a new store starts with: content, content_redirect and content_origin
+    at least. Read the catalog with ``store.read``.
     """
+    store.seed(base)
     return (
-        stream.writeStream.foreachBatch(lambda df, n: write_batch(df, n, base, path, date))
+        stream.writeStream.foreachBatch(lambda df, n: write_batch(df, n, store, date, renditions))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

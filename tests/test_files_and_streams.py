@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import reports
 from tagloom.operators.ingest import ingest_batch
+from tagloom.operators.tags import attach_tags, tags_from_metadata
 from tagloom.schema import CATALOG
+from tagloom.session import settle
 from tagloom.sources import catalog, files
 from tagloom.streaming import tasks as streams
+from tagloom.streaming.store import Store
 
 SAMPLES = {
     "a.png": (b"\x89PNG\r\n\x1a\n....", "image/png"), "b.bin": (b"\xff\xd8\xff\xe0", "image/jpeg"),
@@ -101,29 +104,131 @@ def file_stream(spark, inputs, folder):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_stream_equals_batch_and_survives_a_replay(spark, inputs, tmp_path):
-    base, out = empty_base(inputs), str(tmp_path / "out")
-    stream = file_stream(spark, inputs, str(tmp_path / "in"))
-    run = streams.ingest(stream, base, out, str(tmp_path / "chk"), "2026-03-04")
-    run.awaitTermination(300)
+DATE = "2026-03-04"
+when = lambda: F.lit(DATE).cast("timestamp_ntz")
+
+
+def tagged(inputs):
+    """Uploads of which some repeat a hash, a site id or both, some rewrite, and all name tags."""
+    n = F.col("task_id")
+    made = uploads(inputs).withColumns(
+        {
+            "source_hash": F.when(n % 9 == 8, F.unhex(F.sha2((n - 60).cast("string"), 256))).otherwise(F.unhex(F.sha2(n.cast("string"), 256))),
+            "size": F.when(n % 41 == 7, 0).otherwise(n + 5), "mime_type": F.when(n % 37 == 5, "video/quicktime").otherwise("image/png"),
+            "rewrite": (n % 9 == 8) & (n % 2 == 0), "origin_name": F.when(n % 4 == 0, "").otherwise("derpibooru"),
+            "origin_id": F.when(n % 5 == 0, "").when(n % 5 == 1, (n % 7).cast("string")).otherwise(n.cast("string")),
+            "content_type": F.when(n % 2 == 0, "video").otherwise("image"),
+        }
+    )
+    tags = F.create_map(
+        F.lit("artist"), F.array(F.concat(F.lit("name "), (n % 3).cast("string"))), F.lit("style"), F.array(F.lit("Soft_Glow"), F.lit("red")),
+        F.lit("odd"), F.array(F.lit("prompter:someone"), F.concat(F.lit("t"), (n % 11).cast("string"))),
+    )
+    return made.withColumn("tags", F.when(n % 6 != 0, tags))
+
+
+def vocabulary(rows):
+    return {
+        "tag": rows("tag_id long, title string, category string", (1, "red", "style"), (2, "colour", "content"), (3, "t4", "content")),
+        "tag_alias": rows("tag_id long, title string", (1, "red"), (2, "colour"), (3, "t4"), (1, "scarlet")),
+        "tag_implication": rows("target long, implicate long", (1, 2), (3, 1)),
+        "content_tag": rows("content_id long, tag_id long"),
+    }
+
+
+def by_hand(parts, base):
+    """The batches one after another, each over whole tables kept in plain frames."""
+    now, task, results, errors = dict(base), None, [], []
+    for part in parts:
+        earlier = task if task is not None else part.select("task_id", "source_hash", F.lit(0).alias("status"), "rewrite").limit(0)
+        made = {k: settle(v) for k, v in ingest_batch(part, now, when(), earlier).items()}
+        kept = now["content"].join(made["rewritten"], "content_id", "left_anti")
+        now["content"] = settle(kept.unionByName(made["rewritten"]).unionByName(made["content"]))
+        keys = ["content_id", "name", "origin_id"]
+        origins = now["content_origin"].join(made["origin_marks"], keys, "left_anti")
+        now["content_origin"] = settle(origins.unionByName(made["origin_marks"]).unionByName(made["content_origin"]))
+        given = part.select("task_id", "tags").join(made["landed"], "task_id")
+        first = given.groupBy("content_id").agg(F.min("task_id").alias("task_id"))
+        wanted = tags_from_metadata(given).join(first, "content_id").withColumn("seq", F.struct("task_id", "category", "name"))
+        added = attach_tags(wanted.drop("task_id"), now["content_tag"], now["tag"], now["tag_alias"], now["tag_implication"])
+        now["content_tag"] = settle(now["content_tag"].unionByName(added["added"]))
+        now |= {t: settle(added[t]) for t in ("tag", "tag_alias", "tag_implication")}
+        results.append(made["landed"].join(part.select("task_id", "size"), "task_id").collect())
+        errors.append(made["execution_error"].collect())
+        stand = part.join(made["task_status"], "task_id").join(made["refused"], "task_id", "left_anti")
+        stand = stand.select("task_id", "source_hash", "status", "rewrite")
+        task = settle(stand if task is None else task.unionByName(stand))
+    return now, task, [r for x in results for r in x], [r for x in errors for r in x]
+
+
+def plain(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_stream_equals_batches_by_hand_through_replays_and_compaction(spark, inputs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
+    uploaded = settle(tagged(inputs))
+    cut = lambda n: uploaded.filter(F.floor(F.col("task_id") / 50) == n)
+    base = empty_base(inputs) | vocabulary(rows)
+    now, task, results, errors = by_hand([cut(n) for n in range(4)], base)
+    assert len(errors) > 10 and task.filter("status = 4").count() > 3 and now["content_tag"].count() > 300
+
+    store = Store(spark, str(tmp_path / "out"), 16)
+    for n in range(4):
+        cut(n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(uploaded.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = streams.ingest(stream, store, base, str(tmp_path / "chk"), DATE)
+    run.awaitTermination(600)
     run.stop()
-    batch = ingest_batch(uploads(inputs), base, F.lit("2026-03-04").cast("timestamp_ntz"))
-    hashes = lambda df: sorted(bytes(r.source_hash) for r in df.select("source_hash").collect())
-    streamed = spark.read.parquet(f"{out}/content")
-    assert hashes(streamed) == hashes(batch["content"])
-    assert streamed.select("content_id").distinct().count() == streamed.count()
-    done = lambda df: sorted((r.task_id, r.status == 1) for r in df.select("task_id", "status").collect())
-    assert done(spark.read.parquet(f"{out}/task_status")) == done(batch["task_status"])
-    before = sorted(map(tuple, streamed.select("content_id", "slug").collect()))
-    last = max(r.batch_id for r in streamed.select("batch_id").distinct().collect())
-    redo = uploads(inputs).filter(F.floor(F.col("task_id") / 50) == last)
-    streams.write_batch(redo, last, base, out, "2026-03-04")
-    after = sorted(map(tuple, spark.read.parquet(f"{out}/content").select("content_id", "slug").collect()))
-    assert after == before
+    assert run.exception() is None
+
+    def check():
+        item = ("content_id", "title", "content_type", "description", "addition_date", "is_hidden", "source_hash", "slug")
+        assert plain(store.read("content"), *item) == plain(now["content"], *item)
+        for table, columns in {
+            "content_origin": ("content_id", "name", "origin_id", "alternate"), "tag": ("tag_id", "title", "category"),
+            "tag_alias": ("tag_id", "title"), "tag_implication": ("target", "implicate"), "content_tag": ("content_id", "tag_id"),
+        }.items():
+            assert plain(store.read(table), *columns) == plain(now[table], *columns), table
+        columns = ("task_id", "source_hash", "status", "rewrite")
+        assert plain(store.read("task"), *columns) == plain(task, *columns)
+        found = plain(store.read("task_result"), "task_id", "content_id", "source_file_size", "result_file_size")
+        assert found == sorted(((r.task_id, r.content_id, r["size"], 0) for r in results), key=repr)
+        assert plain(store.read("execution_error"), "task_id", "title") == sorted(((r.task_id, r.title) for r in errors), key=repr)
+        assert store.read("task_status").count() == uploaded.count()
+
+    check()
+    streams.write_batch(cut(3), 3, store, DATE)  # as after a failure
+    check()
+    assert store.compact("content", 4, most=1) and store.compact("content_tag", 4, most=1)
+    assert all(len(at) <= 2 for at in store.folders("content").values())
+    check()
+
+
+def test_a_batch_reads_only_buckets_it_asks_for(spark, inputs, tmp_path):
+    store = Store(spark, str(tmp_path / "out"), 64)
+    content = inputs.f_content.withColumn("slug", F.col("title"))
+    store.seed({"content": content})
+    assert plain(store.read("content"), "content_id") == plain(content, "content_id")
+    few = content.filter("content_id < 3").select("source_hash")
+    found = store.look_up("content", few)
+    assert plain(found, "source_hash") == plain(few, "source_hash") and 0 < found.count() <= 3
+    buckets = store.asked("content", few)
+    read = store.read("content", None, buckets)
+    assert {f"bucket={b}" for b in buckets} == {p for f in read.inputFiles() for p in f.split("/") if p.startswith("bucket=")}
+    assert len(read.inputFiles()) <= 3 < len(store.read("content").inputFiles())
+    # A batch writes what it changes, and nothing else of the buckets it touches.
+    store.write("content", content.filter("content_id < 3").withColumn("title", F.lit("new")), 0)
+    assert spark.read.parquet(str(tmp_path / "out/content")).filter("batch_id = 0").count() == few.count()
+    assert store.read("content").filter("title = 'new'").count() == few.count()
+    assert store.read("content", before=0).filter("title = 'new'").count() == 0
+    store.write("content", few.join(content, "source_hash").select("source_hash", "content_id", F.lit(True).alias("_gone")), 1)
+    for most in (99, 1):
+        assert bool(store.compact("content", 2, most)) == (most == 1)
+        assert store.read("content").count() == content.count() - few.count()
 
 
 def test_stream_applies_rewrites(spark, inputs, tmp_path):
-    base, out = empty_base(inputs), str(tmp_path / "out")
     pick = (F.col("task_id") % 30 == 5) & (F.col("mime_type") != "video/quicktime") & (F.col("size") > 0)
     first = uploads(inputs).filter(pick).withColumns({"origin_name": F.lit("derpibooru"), "origin_id": F.lit("")})
     again = first.withColumns(
@@ -132,18 +237,23 @@ def test_stream_applies_rewrites(spark, inputs, tmp_path):
             "origin_name": F.lit("twitter"), "origin_id": F.concat(F.lit("t"), F.col("task_id").cast("string")),
         }
     )
-    streams.write_batch(first, 0, base, out, "2026-03-04")
+    store = Store(spark, str(tmp_path / "out"), 8)
+    store.seed(empty_base(inputs))
+    streams.write_batch(first, 0, store, DATE)
+    made = store.read("content")
+    shapes = made.select("content_id", F.lit("a/b.webp").alias("filepath"), F.lit("webp").alias("format"))
+    store.write("representation", shapes, 0)
     for _ in range(2):  # the second time as a replay
-        streams.write_batch(again, 1, base, out, "2026-03-04")
-    made = streams.catalog_after(spark, base, out)
-    n = made["content"].count()
-    assert n > 0 and made["content"].columns == base["content"].columns
-    assert {r.content_type for r in made["content"].collect()} == {"video"}
-    found = {(r.name, r.alternate): r["count"] for r in made["content_origin"].groupBy("name", "alternate").count().collect()}
+        streams.write_batch(again, 1, store, DATE, first.select("source_hash", F.lit(7).cast("long").alias("file_size")))
+    n = made.count()
+    assert n > 0 and store.read("representation").count() == 0 and store.read("representation", before=1).count() == n
+    assert {r.content_type for r in store.read("content").collect()} == {"video"}
+    found = {(r.name, r.alternate): r["count"] for r in store.read("content_origin").groupBy("name", "alternate").count().collect()}
     assert found == {("derpibooru", True): n, ("twitter", False): n}
-    before = streams.catalog_after(spark, base, out, before=1)
-    assert {r.content_type for r in before["content"].collect()} == {"image"}
-    assert {r.status for r in spark.read.parquet(f"{out}/task_status").filter("batch_id = 1").collect()} == {1}
+    assert {r.content_type for r in store.read("content", before=1).collect()} == {"image"}
+    assert {r.status for r in store.read("task_status").filter("task_id >= 100000").collect()} == {1}
+    sizes = {r.result_file_size for r in store.read("task_result").filter("task_id >= 100000").collect()}
+    assert sizes == {7} and store.read("task_result").count() == 2 * n
 
 
 def test_stream_dedupe(spark, inputs, tmp_path):

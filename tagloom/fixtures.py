@@ -181,17 +181,12 @@ def views(d: Dialect) -> dict[str, str]:
         "f_collection_item": """
             select o_custkey as collection_id, o_orderkey as content_id from orders where o_orderstatus <> 'F'""",
         "f_edit": """
-            select event_id as edit_id, user_id as collection_id, event_id % 40 as content_id,
-              case when event_id % 6 = 0 then 99 else coalesce(cast(c_nationkey as bigint), 0) end as user_id, ts as edited_at,
-              case event_type when 'view' then 'add' when 'click' then 'add' when 'error' then 'remove'
-                when 'purchase' then 'toggle_nsfw' else 'add' end as action
-            from events left join customer on c_custkey = user_id""",
-        "f_edit_wide": """
             select event_id as edit_id, user_id as collection_id, user_id * 10 + event_id % 5 as content_id,
               case when event_id % 6 = 0 then 99 else coalesce(cast(c_nationkey as bigint), 0) end as user_id, ts as edited_at,
               case event_type when 'view' then 'add' when 'click' then 'add' when 'error' then 'remove'
                 when 'purchase' then 'toggle_nsfw' else 'add' end as action
             from events left join customer on c_custkey = user_id""",
+        "f_edit_wide": "select * from f_edit",
         "f_merge": """
             select o_orderkey as source_id, o_orderkey + 1 as target_id from orders where o_orderkey % 10 in (1, 2)""",
         "f_prediction": """
@@ -203,7 +198,7 @@ def views(d: Dialect) -> dict[str, str]:
             select event_id as task_id, ts as created_at, 'file_' || cast(event_id as string) || '.png' as uploaded_file,
               case when event_id % 4 = 0 then 'video' else 'image' end as media_type,
               case when event_id % 4 = 0 then 'video/webm' else 'image/png' end as mime_type,
-              {d.sha("cast(event_id % 20000 as string)")} as source_hash,
+              {d.sha("cast(cast(floor(event_id / 5) as bigint) as string)")} as source_hash,
               cast(event_id % 5 as int) as status, value > 20 as rewrite,
               event_type as origin_name, case when event_id % 9 = 0 then '' else cast(user_id as string) end as origin_id
             from events""",

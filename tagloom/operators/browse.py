@@ -12,6 +12,7 @@ from tagloom.functions import origins
 from tagloom.functions.hashing import far_similarity
 from tagloom.operators.representations import image_base, preview_pick, srcset_entries
 from tagloom.operators.search import preset_expr, preset_filter, require_known, tag_search
+from tagloom.plans.hotkeys import split_join
 from tagloom.plans.positions import first_k, number_rows
 from tagloom.plans.tagexpr import ANYTHING, TagExpr
 from tagloom.session import settle
@@ -25,6 +26,14 @@ SORTS = {
 }
 
 
+# Sort name -> (column, is it decreasing): the orders that a page index can be kept for.
+SORT_KEYS = {
+    "unsorted": (("content_id", False),),
+    "date": (("addition_date", False), ("content_id", False)),
+    "date decreasing": (("addition_date", True), ("content_id", False)),
+}
+
+
 def sort_order(mode: str, seed: int = 0) -> list[Column]:
     return SORTS.get(mode, SORTS["date decreasing"])(seed)
 
@@ -78,6 +87,78 @@ def number_pages(df: DataFrame, order: Sequence[Column], per_page=rules.PAGE_SIZ
     return numbered.withColumn("page", (F.floor((F.col("position") - 1) / size) + 1).cast("int"))
 
 
+def page_index(df: DataFrame, mode: str = "date decreasing", per_page=rules.PAGE_SIZE) -> DataFrame:
+    """(page, rows, first, last): the sort keys of the first and last row of every page of a listing.
+
+    Made once per state of the listing; a row per page, so it is a per_page-th of the listing.
+    """
+    keys = F.struct(*[F.col(c) for c, _ in SORT_KEYS[mode]])
+    paged = number_pages(df.select(*[c for c, _ in SORT_KEYS[mode]]), sort_order(mode), per_page)
+    return paged.groupBy("page").agg(
+        F.count(F.lit(1)).alias("rows"), F.min_by(keys, "position").alias("first"), F.max_by(keys, "position").alias("last")
+    )
+
+
+def _before(key: tuple[str, bool], value) -> Column:
+    """Does a row's column come before ``value``? Nulls are first in increasing order, last in decreasing."""
+    name, decreasing = key
+    here = F.col(name)
+    if value is None:
+        return here.isNotNull() if decreasing else F.lit(False)
+    return F.coalesce(here > F.lit(value), F.lit(False)) if decreasing else here.isNull() | (here < F.lit(value))
+
+
+def _not_after(key: tuple[str, bool], value) -> Column:
+    return _before(key, value) | _is(key[0], value)
+
+
+def _is(name: str, value) -> Column:
+    return F.col(name).isNull() if value is None else F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+
+
+def _up_to(keys: Sequence[tuple[str, bool]], values: Sequence) -> Column:
+    """Does a row come no later in the order than one with these values?"""
+    first, rest = _not_after(keys[0], values[0]), keys[1:]
+    if not rest:
+        return first
+    return _before(keys[0], values[0]) | (_is(keys[0][0], values[0]) & _up_to(rest, values[1:]))
+
+
+def _from(keys: Sequence[tuple[str, bool]], values: Sequence) -> Column:
+    """Does a row come no earlier in the order than one with these values?"""
+    if len(keys) == 1:
+        return ~_before(keys[0], values[0])
+    later = ~_before(keys[0], values[0]) & ~_is(keys[0][0], values[0])
+    return later | (_is(keys[0][0], values[0]) & _from(keys[1:], values[1:]))
+
+
+def indexed_page(df: DataFrame, index: DataFrame, mode: str = "date decreasing", page: int = 1) -> DataFrame:
+    """A page of a listing whose :func:`page_index` is at hand, at any depth, without numbering it.
+
+    Two rows of the index are fetched, the page asked for and the last one; the page's rows are those
+    between its first and last key, a range that reaches the scan as a filter on the leading sort
+    column. A page below 1 or beyond the end is the last page.
+    """
+    keys = SORT_KEYS[mode]
+    found = {r["page"]: r for r in index.filter(F.col("page") == page).unionByName(index.orderBy(F.col("page").desc()).limit(1)).collect()}
+    last = max(found, default=1)
+    page = page if page in found else last
+    if not found:
+        shown = df.limit(0)
+    else:
+        first, end = found[page]["first"], found[page]["last"]
+        lead, between = keys[0][0], None
+        bounds = sorted(x for x in (first[0], end[0]) if x is not None)
+        if len(bounds) == 2:
+            between = F.col(lead).between(F.lit(bounds[0]), F.lit(bounds[1]))
+        within = _from(keys, tuple(first)) & _up_to(keys, tuple(end))
+        shown = df.filter(within if between is None else between & within)
+    return shown.orderBy(*sort_order(mode)).select(
+        "*", F.lit(page).alias("page"), F.lit(last).alias("pages"), F.lit(page > 1).alias("has_previous"),
+        F.lit(page < last).alias("has_next"),
+    )
+
+
 def with_base_image(shown: DataFrame, representation: DataFrame, width: int, height: int) -> DataFrame:
     """Add base_src and srcset_n to the rows of one page; ``srcset_entries`` has the addresses as rows.
 
@@ -131,6 +212,14 @@ def content_listing(
     return with_base_image(shown, representation, 256, 256).drop("is_hidden")
 
 
+def item_albums(album_order: DataFrame, album: DataFrame, tag: DataFrame) -> DataFrame:
+    """(content_id, album_id, ord, name): the albums that hold an item, as its page names them."""
+    set_title = tag.select(F.col("tag_id").alias("set_tag_id"), F.col("title").alias("_set"))
+    name = F.coalesce(F.nullif(F.col("album_name"), F.lit("")), F.col("_set"), F.lit("untitled"))
+    named = album.join(set_title, "set_tag_id", "left").select("album_id", name.alias("name"))
+    return split_join(album_order.select("content_id", "album_id", "ord"), named, "album_id", ["content_id"])
+
+
 def tags_by_category(content_tag: DataFrame, tag: DataFrame) -> DataFrame:
     """(content_id, category, tag_id, title): tags of items under their categories."""
     return content_tag.join(tag, "tag_id").select("content_id", "category", "tag_id", "title")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tagloom import rules
 from tagloom.functions.common import ColumnOrName, col
+from tagloom.plans.hotkeys import split_join
 from tagloom.plans.tagexpr import ANYTHING, T, TagExpr, all_of, any_of
+from tagloom.session import settle
 
 
 def named_tags(alias: DataFrame, names: set[str]) -> DataFrame:
@@ -108,10 +110,10 @@ def preset_filter(content: DataFrame, content_tag: DataFrame, alias: DataFrame,
     return tag_search(visible, content_tag, alias, preset_expr(name), on_unknown="error")
 
 
-def match_saved_searches(
+def match_expressions(
     content: DataFrame, content_tag: DataFrame, alias: DataFrame, searches: Mapping[int, TagExpr]
 ) -> DataFrame:
-    """(content_id, search_id) of every saved search every item satisfies.
+    """(content_id, search_id) of every search, given as an expression, that an item satisfies.
 
     All searches are decided in one pass over the bridge: each becomes a Column over
     the flags of one row, so items and searches are never multiplied out. A search
@@ -122,16 +124,63 @@ def match_saved_searches(
         rows = content.select("content_id").join(_marked(content_tag, alias, names), "content_id", "left")
     else:
         rows = content.select("content_id")
+    known = named_tags(alias, set(names)).agg(F.collect_set("title").alias("t")).scalar() if names else None
     flag = {n: F.coalesce(F.col(f"_t{i}"), F.lit(False)) for i, n in enumerate(names)}
     hits = []
     for search_id, expr in searches.items():
         condition = expr.column(flag.__getitem__) if expr.names() else F.lit(True)
         if expr.names():
-            condition = condition & _known(alias, sorted(expr.names()))
+            condition = condition & (F.size(F.array_except(F.array(*map(F.lit, sorted(expr.names()))), known)) == 0)
         hits.append(F.when(condition, F.lit(search_id).cast("long")))
     return rows.select("content_id", F.explode(F.array_compact(F.array(*hits))).alias("search_id"))
 
 
+def match_saved_searches(content: DataFrame, content_tag: DataFrame, alias: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(content_id, search_id) of every saved search every item satisfies.
+
+    ``clauses`` (search_id, clause_no, alias, negated): a search is the conjunction of its clauses,
+    a clause the disjunction of its literals. A search naming an unknown alias matches nothing. However
+    many searches there are, aliases are looked up once and the bridge is read once.
+
+    The clauses are an inverted index: the bridge joined with the literals of its tags says which clauses
+    an item touches. A clause without negations holds for the items that have one of its tags. One with
+    negations holds for all items but those that have all of its negated tags and none of the others;
+    so a search that has only such clauses starts with every item and loses those it fails for, and
+    any other is decided by the items it touches.
+    """
+    named = alias.groupBy(F.col("title").alias("alias")).agg(F.min("tag_id").alias("tag_id"))
+    looked_up = settle(
+        clauses.join(named, "alias", "left").select("search_id", "clause_no", "tag_id", "negated").distinct()
+    )
+    unknown = looked_up.filter("tag_id is null").select("search_id").distinct()
+    literals = looked_up.join(unknown, "search_id", "left_anti")
+    clause = literals.groupBy("search_id", "clause_no").agg(F.count_if("negated").alias("n_negated"))
+    search = clause.groupBy("search_id").agg(
+        F.count(F.lit(1)).alias("n_clauses"), F.count_if(F.col("n_negated") > 0).alias("n_open")
+    )
+    facts = settle(literals.join(clause, ["search_id", "clause_no"]).join(search, "search_id"))
+
+    touched = split_join(content_tag.select("content_id", "tag_id"), facts, "tag_id", ["content_id"])
+    each = touched.groupBy("content_id", "search_id", "clause_no").agg(
+        F.bool_or(~F.col("negated")).alias("has"), F.count_if("negated").alias("negated"),
+        *[F.max(c).alias(c) for c in ("n_negated", "n_clauses", "n_open")],
+    )
+    # An open clause is held until it fails, any other is not held until one of its tags is met.
+    held = F.when(F.col("n_negated") == 0, 1).when(~F.col("has") & (F.col("negated") == F.col("n_negated")), -1).otherwise(0)
+    decided = each.groupBy("content_id", "search_id").agg(
+        (F.sum(held) + F.max("n_open") == F.max("n_clauses")).alias("hit"),
+        (F.max("n_open") == F.max("n_clauses")).alias("open"),
+    )
+    items = content.select("content_id")
+    met = decided.filter("hit and not open").select("content_id", "search_id").join(items, "content_id", "left_semi")
+    # Of open searches the result has nearly every item: one row each, from a list of the searches.
+    every = search.filter("n_open = n_clauses").agg(F.collect_list("search_id").alias("s")).scalar()
+    open_ = items.select("content_id", F.explode(every).alias("search_id")).join(
+        decided.filter("open and not hit").select("content_id", "search_id"), ["content_id", "search_id"], "left_anti"
+    )
+    return met.unionByName(open_)
+
+
 def allowed_filter(preset: ColumnOrName, is_member: ColumnOrName) -> Column:
     """The preset a viewer gets: members any, others the open ones, ``safe`` otherwise."""
     preset, is_member = col(preset), col(is_member)

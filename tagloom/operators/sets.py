@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import rules
 from tagloom.operators.browse import paginate, with_base_image, with_image_count
 from tagloom.operators.representations import image_base
 from tagloom.operators.search import nsfw_visible
+from tagloom.plans.hotkeys import split_join
 from tagloom.plans.positions import first_by, number_rows
 from tagloom.session import settle
 
 # Sort position of an item without a numeric origin id (fixed value).
 NO_NUMBER = 2**64 - 1
+_PLACES = 10  # digits of a digit count; no text is longer than 2^31
+
+
+def number_key(text: Column) -> Column:
+    """A text that sorts as the whole number ``text`` says, of any length; null where it says none.
+
+    Sign, count of digits, digits; of negative numbers the last two are complemented, so that
+    more digits, and greater ones, come first.
+    """
+    bare = F.regexp_extract(F.trim(text), "^[+-]?0*([0-9]+)$", 1)
+    negative = F.startswith(F.trim(text), F.lit("-")) & (bare != "0")
+    count = F.length(bare)
+    flipped = F.translate(bare, "0123456789", "9876543210")
+    sized = lambda n: F.lpad(n.cast("string"), _PLACES, "0")
+    return F.when(bare == "", None).when(
+        negative, F.concat(F.lit("0"), sized(10**_PLACES - 1 - count), flipped)
+    ).otherwise(F.concat(F.lit("1"), sized(count), bare))
 
 
 def _origin_number(origin: DataFrame) -> DataFrame:
-    """(content_id, number): the id of the first main origin, else of the first one.
+    """(content_id, number): the key of the id of the first main origin, else of the first one.
 
-    Null where there is no id or it is not a number; ids longer than 38 digits count
-    as missing too.
+    Null where there is no id or it is not a number.
     """
     order = [F.col("alternate"), F.col("name"), F.col("origin_id")]
     first = origin.groupBy("content_id").agg(first_by(order, "origin_id").alias("o"))
-    return first.select("content_id", F.expr("try_cast(trim(o.origin_id) as decimal(38,0))").alias("number"))
+    return first.select("content_id", number_key(F.col("o.origin_id")).alias("number"))
 
 
 def sync_albums(album: DataFrame, content_tag: DataFrame, origin: DataFrame) -> DataFrame:
@@ -33,12 +50,9 @@ def sync_albums(album: DataFrame, content_tag: DataFrame, origin: DataFrame) ->
     Order: numeric origin id, items without one last, then item id. An album may hold
     most of the catalog, so positions come from a distributed numbering.
     """
-    members = content_tag.join(
-        album.filter(F.col("set_tag_id").isNotNull()).select(
-            "album_id", F.col("set_tag_id").alias("tag_id")
-        ), "tag_id",
-    ).select("album_id", "content_id")
-    number = F.coalesce("number", F.lit(str(NO_NUMBER)).cast("decimal(38,0)"))
+    sets = album.filter(F.col("set_tag_id").isNotNull()).select("album_id", F.col("set_tag_id").alias("tag_id"))
+    members = split_join(content_tag.select("content_id", "tag_id"), sets, "tag_id", ["content_id"]).select("album_id", "content_id")
+    number = F.coalesce("number", number_key(F.lit(str(NO_NUMBER))))
     keyed = members.join(_origin_number(origin), "content_id", "left").select(
         "album_id", "content_id", number.alias("number")
     )
@@ -116,6 +130,58 @@ def register_albums(
     return {"items": items, "summary": summary}
 
 
+def apply_albums(
+    asked: DataFrame, origin: DataFrame, content_tag: DataFrame, tag: DataFrame, album: DataFrame,
+    album_order: DataFrame, album_creator: DataFrame,
+) -> dict[str, DataFrame]:
+    """The album tables after sites have given albums as rows (origin_name, album_title, ord, origin_id).
+
+    An album of the title is found (of several the lowest id) or made, with ids after the highest
+    in order of title. All members it had go, and the items found take their place at the ordinals
+    given; creators are replaced where the items have any; an album without a set tag gets the tag of
+    its title. Albums nobody gave stay as they are. Returns ``album``, ``album_order`` and ``album_creator``.
+
+    Members and creators that go are anti-joined away by album, so nothing of an album is ever in one
+    place. Rows without a title are left out. A title is given once, by one site.
+    """
+    asked = asked.filter(F.coalesce("album_title", F.lit("")) != "")
+    present = album.filter(F.coalesce("album_name", F.lit("")) != "").groupBy(F.col("album_name").alias("album_title")).agg(
+        F.min("album_id").alias("album_id")
+    )
+    titles = settle(asked.select("album_title").distinct().join(present, "album_title", "left"))
+    numbered = number_rows(titles.filter("album_id is null").select("album_title"), "_n", ["album_title"])
+    top = album.agg(F.coalesce(F.max("album_id"), F.lit(0)).alias("m")).scalar()
+    made = numbered.select("album_title", (F.col("_n") + top).alias("album_id"))
+    given = settle(titles.filter("album_id is not null").select("album_title", "album_id").unionByName(made))
+
+    known = origin.groupBy(F.col("name").alias("origin_name"), "origin_id").agg(F.max("content_id").alias("content_id"))
+    items = settle(
+        asked.join(known, ["origin_name", "origin_id"]).join(given, "album_title").select("album_id", "content_id", "ord")
+    )
+    touched = given.select("album_id")
+    orders = album_order.join(touched, "album_id", "left_anti").select("album_id", "content_id", "ord").unionByName(items)
+
+    creators = tag.filter(F.col("category") == "creator").select("tag_id")
+    by_item = content_tag.join(creators, "tag_id", "left_semi").select("content_id", "tag_id")
+    found = settle(items.select("album_id", "content_id").join(by_item, "content_id").select("album_id", "tag_id").distinct())
+    kept = album_creator.join(found.select("album_id").distinct(), "album_id", "left_anti")
+
+    same = tag.filter(F.col("category").isin(*rules.ALBUM_CATEGORIES)).groupBy(F.col("title").alias("album_title")).agg(
+        F.min("tag_id").alias("_same")
+    )
+    sets = given.join(same, "album_title", "left")
+    old = album.join(sets.select("album_id", "_same"), "album_id", "left").select(
+        "album_id", F.coalesce("set_tag_id", "_same").alias("set_tag_id"), "album_name", "is_nsfw"
+    )
+    new = sets.join(made.select("album_id"), "album_id", "left_semi").select(
+        "album_id", F.col("_same").alias("set_tag_id"), F.col("album_title").alias("album_name"), F.lit(False).alias("is_nsfw")
+    )
+    return {
+        "album": old.unionByName(new), "album_order": orders,
+        "album_creator": kept.select("album_id", "tag_id").unionByName(found),
+    }
+
+
 def album_names(album: DataFrame, tag: DataFrame) -> DataFrame:
     """(album_id, name) as an album is shown; its creators are the rows of ``album_makers``."""
     set_title = tag.select(F.col("tag_id").alias("set_tag_id"), F.col("title").alias("_set"))

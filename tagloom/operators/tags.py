@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom import rules
 from tagloom.functions import tags as fn
 from tagloom.functions.common import any_true
+from tagloom.plans.hotkeys import split_join
 from tagloom.plans.literals import literal_rows
 from tagloom.plans.positions import first_by, number_rows
 from tagloom.session import settle
@@ -44,30 +45,31 @@ def smart_tag_search(tag: DataFrame, alias: DataFrame, *terms: str, best_only: b
 def implication_closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(target, implicate) for every tag reachable over one or more edges.
 
-    Rounds extend only the pairs found last; each round is settled, so a lost executor
-    costs one round and the plan does not grow. A tag on a cycle reaches itself.
-    ``starts`` (target) limits the work to tags in use.
+    Walks are doubled: a round adds to the pairs known so far, which are those of 1 to 2^k edges,
+    the pairs that walks of exactly 2^k edges lead on to. So there are as many rounds as the longest
+    chain has binary digits; each is settled, so a lost executor costs one round. A tag on a cycle
+    reaches itself. ``starts`` (target) limits the work to tags in use.
     """
-    edges = settle(edges.select("target", "implicate").distinct())
-    frontier = edges
+    walk = settle(edges.select("target", "implicate").distinct())
+    known = walk
     if starts is not None:
-        frontier = settle(edges.join(starts.select("target").distinct(), "target", "left_semi"))
-    step = edges.select(F.col("target").alias("implicate"), F.col("implicate").alias("next"))
-    known = frontier
-    while True:  # ends: pairs are finite, and a round keeps only new ones
-        reached = frontier.join(step, "implicate").select("target", F.col("next").alias("implicate")).distinct()
-        frontier = settle(reached.join(known, ["target", "implicate"], "left_anti"))
-        if frontier.isEmpty():
+        known = settle(walk.join(starts.select("target").distinct(), "target", "left_semi"))
+    while True:  # ends: pairs are finite, and a round that adds none is the last
+        step = walk.select(F.col("target").alias("implicate"), F.col("implicate").alias("next"))
+        on = lambda pairs: pairs.join(step, "implicate").select("target", F.col("next").alias("implicate")).distinct()
+        new = settle(on(known).join(known, ["target", "implicate"], "left_anti"))
+        if new.isEmpty():
             return known
-        known = known.unionByName(frontier)
+        known = known.unionByName(new)
+        walk = settle(on(walk))
 
 
 def expand_content_tags(content_tag: DataFrame, closure: DataFrame) -> DataFrame:
-    """Add to every item the tags its tags imply."""
-    implied = content_tag.join(closure, content_tag["tag_id"] == closure["target"]).select(
-        "content_id", F.col("implicate").alias("tag_id")
-    )
-    return content_tag.select("content_id", "tag_id").unionByName(implied).distinct()
+    """Add to every item the tags its tags imply, also where most items have one tag."""
+    implies = closure.select(F.col("target").alias("tag_id"), "implicate")
+    pairs = content_tag.select("content_id", "tag_id")
+    implied = split_join(pairs, implies, "tag_id", ["content_id"]).select("content_id", F.col("implicate").alias("tag_id"))
+    return pairs.unionByName(implied).distinct()
 
 
 def tags_from_metadata(tasks: DataFrame) -> DataFrame:

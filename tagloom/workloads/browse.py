@@ -112,6 +112,45 @@ def page_beyond_end(i: Inputs):
     return browse.paginate(rows, browse.sort_order("date"), 10**9, 100).drop("addition_date")
 
 
+PAGES = """p as (select content_id, addition_date, row_number() over (order by addition_date desc, content_id) as p from f_content),
+    g as (select *, cast((p - 1) // 24 + 1 as int) as page from p)"""
+
+
+def dated(i: Inputs):
+    return i.f_content.select("content_id", "addition_date")
+
+
+@query(
+    "page_index",
+    f"""with {PAGES} select page, count(*) as rows, arg_min(content_id, p) as first_id, arg_max(content_id, p) as last_id,
+          arg_min(addition_date, p) as first_date, arg_max(addition_date, p) as last_date from g group by page""",
+)
+def page_index(i: Inputs):
+    return browse.page_index(dated(i)).select(
+        "page", "rows", F.col("first.content_id").alias("first_id"), F.col("last.content_id").alias("last_id"),
+        F.col("first.addition_date").alias("first_date"), F.col("last.addition_date").alias("last_date"),
+    )
+
+
+@query(
+    "page_from_index",
+    f"""with {PAGES}, n as (select max(page) as n from g)
+        select content_id, page, n as pages, page > 1 as has_previous, page < n as has_next from g cross join n where page = least(500, n)""",
+)
+def page_from_index(i: Inputs):
+    rows = dated(i)
+    return browse.indexed_page(rows, browse.page_index(rows), page=500).drop("addition_date")
+
+
+@query(
+    "item_albums",
+    """select o.content_id, o.album_id, o.ord, coalesce(nullif(album_name, ''), t.title, 'untitled') as name
+       from f_album_order o join f_album a on a.album_id = o.album_id left join f_tag t on t.tag_id = a.set_tag_id""",
+)
+def item_albums(i: Inputs):
+    return browse.item_albums(i.f_album_order, i.f_album, i.f_tag)
+
+
 @query(
     "content_detail",
     f"""with t as (select content_id, count(*) as tag_count

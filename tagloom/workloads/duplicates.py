@@ -204,13 +204,13 @@ def merge_origins(i: Inputs):
 
 @query(
     "merge_albums",
-    f"""with {MAP}, a as (select content_id // 40 as album_id, content_id, ord from f_album_order where content_id % 20 <> 3),
+    f"""with {MAP}, a as (select content_id // 40 as album_id, content_id, ord from f_album_order),
         own as (select * from a where content_id not in (select source_id from m)),
         moved as (select album_id, m.target_id as content_id, min(ord) as ord from a join m on m.source_id = content_id group by all)
         select * from own union all select * from moved where not exists (select 1 from own where own.album_id = moved.album_id and own.content_id = moved.content_id)""",
 )
 def merge_albums(i: Inputs):
-    items = i.f_album_order.filter("content_id % 20 <> 3").withColumn("album_id", F.floor(F.col("content_id") / 40))
+    items = i.f_album_order.withColumn("album_id", F.floor(F.col("content_id") / 40))
     return merge.merge_albums(items, resolved(i))
 
 

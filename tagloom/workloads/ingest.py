@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tagloom import rules
 from tagloom.fixtures import Inputs
 from tagloom.functions import hashing
-from tagloom.operators import ingest, reports
+from tagloom.operators import ingest, reports, tags
+from tagloom.session import settle
 from tagloom.workloads.registry import query
 from tagloom.workloads.scalars import case, size_sql
+from tagloom.workloads.tags import closure_cte
 
 
 @query(
@@ -312,7 +314,7 @@ def ingest_batch(i: Inputs):
     return whole_batch(i)["task_status"]
 
 
-def whole_batch(i: Inputs):
+def batch_catalog(i: Inputs):
     known = known_content(i)
     content = known.select(
         "content_id", "source_hash", F.lit("video").alias("content_type"),
@@ -323,8 +325,11 @@ def whole_batch(i: Inputs):
         for name, mark in (("derpibooru", "d"), ("twitter", "t"))
     ]
     origin = known.select("content_id", F.inline(F.array(*origins))).withColumn("alternate", F.col("name") == "derpibooru")
-    catalog = {"content": content, "content_redirect": known_redirect(i), "content_origin": origin}
-    return ingest.ingest_batch(batch_tasks(i), catalog, F.lit("2026-03-04").cast("timestamp_ntz"))
+    return {"content": content, "content_redirect": known_redirect(i), "content_origin": origin}
+
+
+def whole_batch(i: Inputs):
+    return ingest.ingest_batch(batch_tasks(i), batch_catalog(i), F.lit("2026-03-04").cast("timestamp_ntz"))
 
 
 ORIGINS = f"""{BATCH}, b as (select file_id, case when file_id % 4 < 2 then 'derpibooru' else '' end as site,
@@ -379,6 +384,88 @@ def ingest_content(i: Inputs):
     return whole_batch(i)["content"].select("content_id", "title", hashing.hex_text("source_hash").alias("source_hash"))
 
 
+def landed(i: Inputs):
+    """The tasks of the batch that are done, with the sizes of their files."""
+    files = i.f_file.select(F.col("file_id").alias("task_id"), "size", "source_hash", "name")
+    return whole_batch(i)["landed"].join(files, "task_id")
+
+
+LANDED = "l as (select file_id, source_hash, size, name from rt where rewriting or file_id in (select file_id from f))"
+
+
+@query(
+    "ingest_results",
+    f"""{BATCH}, {LANDED} select file_id as task_id, size as source_file_size, 2 * size + size % 97 as result_file_size from l""",
+)
+def ingest_results(i: Inputs):
+    """Two renditions of every file that became an item."""
+    done = landed(i)
+    two = F.explode(F.array(F.col("size") * 2, F.col("size") % 97)).alias("file_size")
+    renditions = done.dropDuplicates(["content_id"]).select("content_id", two)
+    results = ingest.task_results(done.withColumnRenamed("size", "source_file_size"), renditions)["task_result"]
+    return results.drop("content_id")
+
+
+FILE_STYLES = "case file_id % 4 when 0 then 'red' when 1 then 'Soft_Glow' when 2 then 'BLUE' else 'soft glow' end"
+
+
+@query(
+    "ingest_tags",
+    # Artists bring a creator of the same title; known styles bring what they imply.
+    f"""{BATCH.replace("with ", "with recursive ", 1)}, {LANDED}, {closure_cte('f_tag_edge')},
+        w as (select file_id, trim(replace(lower({FILE_STYLES}), '_', ' ')) as style, split_part(name, '/', 1) as maker from l),
+        s as (select file_id, t.tag_id, w.style from w left join f_tag t on t.title = w.style and t.category = 'style'),
+        x as (select file_id, style as title, 'style' as category from s
+          union select file_id, title, category from s join closure on target = tag_id join f_tag t on t.tag_id = implicate
+          union select file_id, trim(replace(lower(maker), '_', ' ')), unnest(['artist', 'creator']) from w)
+        select distinct coalesce(kc.content_id, 0) as content_id, case when kc.content_id is null then l.file_id else 0 end as task_id, title, category
+        from x join l on l.file_id = x.file_id left join kc on kc.source_hash = l.source_hash""",
+)
+def ingest_tags(i: Inputs):
+    """New tags of items by item where they were rewritten, by task where they are new."""
+    done = settle(landed(i))
+    style = F.expr(FILE_STYLES.replace("file_id", "task_id"))
+    given = done.select(
+        "content_id", F.create_map(F.lit("style"), F.array(style), F.lit("artist"), F.array(F.split_part("name", F.lit("/"), F.lit(1)))).alias("tags")
+    )
+    seq = F.struct("content_id", "category", "name")
+    wanted = tags.tags_from_metadata(given).withColumn("seq", seq)
+    now = tags.attach_tags(wanted, i.f_content_tag.limit(0), i.f_tag, i.f_alias, i.f_tag_edge)
+    new = known_content(i).select("content_id", F.lit(True).alias("old"))
+    return (
+        now["added"].join(now["tag"], "tag_id").join(done.groupBy("content_id").agg(F.min("task_id").alias("task_id")), "content_id")
+        .join(new, "content_id", "left").select(
+            F.when(F.col("old"), F.col("content_id")).otherwise(0).alias("content_id"),
+            F.when(F.col("old"), 0).otherwise(F.col("task_id")).alias("task_id"), "title", "category",
+        )
+    )
+
+
+@query(
+    "ingest_launched",
+    f"""{BATCH}, adm as (select j.*, case when file_id % 4 < 2 then 'derpibooru' else '' end as site,
+            case when file_id % 5 = 0 then '' else 'd' || cast(file_id % 50 as varchar) end as oid, kc.content_id as here
+          from j left join kc on kc.source_hash = j.source_hash where mime_type <> 'video/quicktime' and size > 0 and duplicate_of is null),
+        al as (select file_id as id, source_hash, true as active from adm
+          union all select -file_id, source_hash, file_id % 2 = 1 from f_file where file_id % 13 = 0),
+        mn as (select source_hash, min(id) as a, min(id) filter (where active) as b from al group by source_hash),
+        st as (select adm.*, (not rewrite and a < file_id) or (rewrite and coalesce(b < file_id, false)) as refused from adm join mn using (source_hash)),
+        la as (select *, site <> '' and oid <> '' and min(file_id) over (partition by site, oid) < file_id as later from st where not refused)
+        select j.file_id as task_id, case when la.file_id is null then 2 when later then 4
+            when (la.rewrite and here is not null) or (la.source_hash not in (select source_hash from kc) and la.source_hash not in (select source_hash from kr)) then 1 else 4 end as status
+        from j left join la on la.file_id = j.file_id""",
+)
+def ingest_launched(i: Inputs):
+    """The batch beside tasks there are already, with several tasks for one site id."""
+    n = F.col("task_id")
+    tasks = batch_tasks(i).withColumn("origin_id", F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("d"), (n % 50).cast("string"))))
+    earlier = i.f_file.filter("file_id % 13 = 0").select(
+        (-F.col("file_id")).alias("task_id"), "source_hash", F.when(F.col("file_id") % 2 == 0, 1).otherwise(0).alias("status"),
+        F.lit(False).alias("rewrite"),
+    )
+    return ingest.ingest_batch(tasks, batch_catalog(i), F.lit("2026-03-04").cast("timestamp_ntz"), earlier)["task_status"]
+
+
 @query(
     "backfill",
     """select content_id, strftime(addition_date, '%Y-%m-%d') || '-' || lower(hex(source_hash)) as slug from f_content""",

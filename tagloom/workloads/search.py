@@ -112,7 +112,33 @@ def saved_searches(i):
         3: ~any_of(T("economy"), T("standard")),
         4: T("red") & T("no such tag"),
     }
-    return search.match_saved_searches(*parts(i), searches)
+    return search.match_expressions(*parts(i), searches)
+
+
+# A search per nation: one of two types, and not a third; some name no tag, some only say what is not wanted.
+CLAUSES = """
+    with p as (select cast(n_nationkey as bigint) as search_id, n_nationkey % 12 = 5 as open, n_nationkey % 10 = 3 as odd,
+        lower(a.p_type) as a, lower(b.p_type) as b, replace(lower(c.p_type), ' ', '_') as c
+      from nation join part a on a.p_partkey = n_nationkey + 1 join part b on b.p_partkey = n_nationkey * 2 + 1 join part c on c.p_partkey = n_nationkey + 2)
+    select search_id, 1 as clause_no, a as alias, open as negated from p
+    union all select search_id, 1, case when odd then 'no such tag' else b end, false from p where not open
+    union all select search_id, 2, c, true from p
+    union all select search_id, 2, 'safe', search_id % 2 = 0 from p"""
+
+
+@query(
+    "saved_search_table",
+    f"""with l as materialized (select l.*, tag_id from ({CLAUSES}) l left join f_alias on title = alias),
+          known as (select search_id from l group by search_id having count(*) = count(tag_id)),
+          c as (select content_id, search_id, clause_no, bool_or((ct.tag_id is not null) <> negated) as met
+            from f_content cross join (select * from l where search_id in (select search_id from known)) l
+            left join f_content_tag ct using (content_id, tag_id) group by all)
+        select content_id, search_id from c group by all having bool_and(met)""",
+)
+def saved_search_table(i):
+    clauses = i.spark.sql(CLAUSES.replace("nation join", "{nation} join").replace("join part", "join {part}"), nation=i.nation, part=i.part)
+    content, content_tag, alias = parts(i)
+    return search.match_saved_searches(content, content_tag, alias, clauses)
 
 
 WISH = "case event_id % 5 when 0 then 'bypass' when 1 then 'basic' when 2 then 'safe' when 3 then 'aesthetic' else 'bogus' end"

@@ -79,6 +79,58 @@ def register_albums(i: Inputs):
     return sets.register_albums(requests, i.f_origin, i.f_content_tag, i.f_tag, i.f_album)["summary"]
 
 
+# Each customer's orders, as an album of the customer's name, of the title of a set tag, or of a title of its own.
+ASKED = """select 'derpibooru' as origin_name, case when o_custkey % 4 = 1 then c_name when o_custkey % 3 = 0 then 'set ' || cast(o_custkey as string)
+      else 'request ' || cast(o_custkey as string) end as album_title, o_orderkey as ord, origin_id
+    from orders join customer on c_custkey = o_custkey join f_origin on content_id = o_orderkey"""
+
+APPLIED = f"""asked as materialized ({ASKED}),
+    pr as (select album_name as album_title, min(album_id) as album_id from f_album where album_name <> '' group by album_name),
+    ti as (select distinct album_title from asked),
+    gi as materialized (select album_title, album_id, false as made from ti join pr using (album_title)
+      union all select album_title, (select max(album_id) from f_album) + row_number() over (order by album_title), true from ti
+        where album_title not in (select album_title from pr)),
+    kn as (select name, origin_id, max(content_id) as content_id from f_origin group by all),
+    it as materialized (select album_id, kn.content_id, ord from asked join kn on kn.name = origin_name and kn.origin_id = asked.origin_id join gi using (album_title))"""
+
+
+def applied(i: Inputs):
+    asked = ASKED
+    for name in ("orders", "customer", "f_origin"):
+        asked = asked.replace(f"from {name}", f"from {{{name}}}").replace(f"join {name}", f"join {{{name}}}")
+    asked = i.spark.sql(asked, orders=i.orders, customer=i.customer, f_origin=i.f_origin)
+    return sets.apply_albums(asked, i.f_origin, i.f_content_tag, i.f_tag, i.f_album, i.f_album_order, i.f_album_creator)
+
+
+@query(
+    "applied_albums",
+    f"""with {APPLIED}, sm as (select title, min(tag_id) as tag_id from f_tag where category in ('set', 'comic') group by title)
+        select a.album_id, coalesce(set_tag_id, tag_id) as set_tag_id, album_name, is_nsfw from f_album a
+          left join gi on gi.album_id = a.album_id and not made left join sm on sm.title = gi.album_title
+        union all select album_id, tag_id, album_title, false from gi left join sm on sm.title = album_title where made""",
+)
+def applied_albums(i: Inputs):
+    return applied(i)["album"]
+
+
+@query(
+    "applied_order",
+    f"""with {APPLIED} select album_id, content_id, ord from f_album_order where album_id not in (select album_id from gi)
+        union all select album_id, content_id, ord from it""",
+)
+def applied_order(i: Inputs):
+    return applied(i)["album_order"]
+
+
+@query(
+    "applied_creators",
+    f"""with {APPLIED}, cr as materialized (select distinct album_id, tag_id from it join f_content_tag using (content_id) join f_tag using (tag_id) where category = 'creator')
+        select album_id, tag_id from f_album_creator where album_id not in (select album_id from cr) union all select album_id, tag_id from cr""",
+)
+def applied_creators(i: Inputs):
+    return applied(i)["album_creator"]
+
+
 @query(
     "album_names",
     """select a.album_id, coalesce(nullif(album_name, ''), t.title, 'untitled') as name

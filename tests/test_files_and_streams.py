@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import reports
@@ -165,16 +166,28 @@ def plain(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-def test_stream_equals_batches_by_hand_through_replays_and_compaction(spark, inputs, rows, tmp_path, monkeypatch):
-    monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
+@pytest.fixture
+def narrow(spark):
+    """Many small jobs: two partitions are enough, and compiling takes longer than running."""
+    quick = {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k, None) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stream_equals_batches_by_hand_through_replays_and_compaction(spark, inputs, rows, tmp_path, monkeypatch, narrow):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
     uploaded = settle(tagged(inputs))
-    cut = lambda n: uploaded.filter(F.floor(F.col("task_id") / 50) == n)
+    cut = lambda n: uploaded.filter(F.floor(F.col("task_id") / 100) == n)
     base = empty_base(inputs) | vocabulary(rows)
-    now, task, results, errors = by_hand([cut(n) for n in range(4)], base)
+    now, task, results, errors = by_hand([cut(n) for n in range(2)], base)
     assert len(errors) > 10 and task.filter("status = 4").count() > 3 and now["content_tag"].count() > 300
 
-    store = Store(spark, str(tmp_path / "out"), 16)
-    for n in range(4):
+    store = Store(spark, str(tmp_path / "out"), 4)
+    for n in range(2):
         cut(n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(uploaded.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run = streams.ingest(stream, store, base, str(tmp_path / "chk"), DATE)
@@ -198,9 +211,9 @@ def test_stream_equals_batches_by_hand_through_replays_and_compaction(spark, inp
         assert store.read("task_status").count() == uploaded.count()
 
     check()
-    streams.write_batch(cut(3), 3, store, DATE)  # as after a failure
+    streams.write_batch(cut(1), 1, store, DATE)  # as after a failure
     check()
-    assert store.compact("content", 4, most=1) and store.compact("content_tag", 4, most=1)
+    assert store.compact("content", 2, most=1) and store.compact("content_tag", 2, most=1)
     assert all(len(at) <= 2 for at in store.folders("content").values())
     check()
 
@@ -228,7 +241,7 @@ def test_a_batch_reads_only_buckets_it_asks_for(spark, inputs, tmp_path):
         assert store.read("content").count() == content.count() - few.count()
 
 
-def test_stream_applies_rewrites(spark, inputs, tmp_path):
+def test_stream_applies_rewrites(spark, inputs, tmp_path, narrow):
     pick = (F.col("task_id") % 30 == 5) & (F.col("mime_type") != "video/quicktime") & (F.col("size") > 0)
     first = uploads(inputs).filter(pick).withColumns({"origin_name": F.lit("derpibooru"), "origin_id": F.lit("")})
     again = first.withColumns(

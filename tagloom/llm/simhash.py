@@ -20,6 +20,7 @@ RADIUS = 3
 CHUNK = 1 << 16  # shingles whose bits are counted at a time
 PRINTS = 1 << 12  # fingerprints whose variants are dealt out at a time
 SHARD = 1 << 20  # variants of a group
+TASK = 1 << 13  # fingerprints of a task
 HEAVY = 1000  # a fingerprint with more than this part of all documents is joined by broadcast
 
 
@@ -139,7 +140,9 @@ def links(prints: DataFrame, n: int) -> DataFrame:
     at some SHARD variants; no fingerprint or variant is frequent, so the groups are even.
     """
     shard_bits = max(0, ((n + 1) * (len(FLIPS) + BITS) // 2 // SHARD).bit_length())
-    sent = prints.mapInArrow(_sent(shard_bits), "shard long, points binary, flips binary")
+    # A fingerprint is a few bytes and makes hundreds of variants: as many tasks as these need, not those.
+    dealt = prints.repartition(max(1, -(-n // TASK)))
+    sent = dealt.mapInArrow(_sent(shard_bits), "shard long, points binary, flips binary")
     met = sent.groupBy("shard").applyInArrow(_met, "u long, v long")
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 

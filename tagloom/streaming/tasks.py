@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom import rules
 from tagloom.functions.origins import normalise_origin_id
@@ -35,6 +39,36 @@ def status_log(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(latest.alias("status"))
 
 
+def live_statuses(events: DataFrame, delay: str) -> DataFrame:
+    """Changes of the latest status per task from a stream of transitions (task_id, status, changed_at, seq).
+
+    What is kept of a task is one row; that of a finished task (done or discarded) goes once the
+    watermark is past its last change, so state follows the tasks under way and not all there
+    ever were. For update mode; the last row of a task holds what :func:`status_log` gives.
+    """
+    finished = (rules.DONE, rules.DISCARDED)
+
+    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        had = state.get if state.exists else None  # (changed_at in microseconds, seq, status)
+        best = had
+        for batch in batches:
+            at = batch["changed_at"].astype("datetime64[us]").astype("int64")
+            best = max([*zip(at.tolist(), batch["seq"].tolist(), batch["status"].tolist()), *([best] if best else [])])
+        state.update(best)
+        if best[2] in finished:
+            state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        if best != had:
+            yield pd.DataFrame({"task_id": [key[0]], "status": [best[2]]})
+
+    slim = events.select("task_id", "status", F.col("changed_at").cast("timestamp").alias("changed_at"), "seq")
+    return slim.withWatermark("changed_at", delay).groupBy("task_id").applyInPandasWithState(
+        advance, "task_id long, status int", "at long, seq long, status int", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def process_batch(
     tasks: DataFrame, batch_id: int, store: Store, date: str, renditions: DataFrame | None = None
 ) -> dict[str, DataFrame]:

@@ -169,7 +169,7 @@ def plain(df, *columns):
 @pytest.fixture
 def narrow(spark):
     """Many small jobs: two partitions are enough, and compiling takes longer than running."""
-    quick = {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    quick = {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in quick}
     for k, v in quick.items():
         spark.conf.set(k, v)
@@ -281,6 +281,53 @@ def test_stream_dedupe(spark, inputs, tmp_path):
     assert kept.count() == uploads(inputs).select("source_hash").distinct().count()
 
 
+def test_stream_dedupe_of_site_ids(spark, rows, tmp_path):
+    """Different files of one (site, id) are one task; files without an id, or of another site, are not."""
+    made = rows(
+        "task_id long, source_hash string, origin_name string, origin_id string", (1, "a", "s", "7"), (2, "b", "s", "7"), (3, "c", "t", "7"),
+        (4, "d", "s", ""), (5, "e", "s", ""), (6, "f", "", "7"), (7, "g", None, None), (8, "a", "u", "9"),
+    ).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    for n in range(2):
+        made.filter(F.col("task_id") % 2 == 1 - n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = (
+        streams.dedupe(stream, "1 day").writeStream.format("memory").queryName("sites").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "chk")).start()
+    )
+    run.awaitTermination(300)
+    run.stop()
+    assert sorted(r.task_id for r in spark.table("sites").collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_live_statuses_let_finished_tasks_go(spark, rows, tmp_path):
+    day = lambda d: F.lit(f"2024-01-{d:02}").cast("timestamp")
+    schema = "task_id long, status int, seq long"
+    parts = [
+        (1, [(t, 0, 1) for t in range(20)]), (2, [(t, 3, 2) for t in range(20)] + [(5, 0, 1)]), (3, [(t, 1 if t % 2 else 4, 3) for t in range(14)]),
+        (20, [(99, 0, 1)]), (21, [(98, 0, 1)]), (22, [(15, 2, 9)]),
+    ]
+    events = [rows(schema, *data).withColumn("changed_at", day(d)) for d, data in parts]
+    for e in events:
+        e.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    run = (
+        streams.live_statuses(stream, "2 days").writeStream.outputMode("update").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "chk"))
+        .foreachBatch(lambda df, n: out.append((n, [tuple(r) for r in df.collect()]))).start()
+    )
+    run.awaitTermination(300)
+    run.stop()
+    assert run.exception() is None
+    last = {t: s for _, changed in sorted(out, key=lambda x: x[0]) for t, s in changed}
+    whole = events[0]
+    for e in events[1:]:
+        whole = whole.unionByName(e)
+    assert last == {r.task_id: r.status for r in streams.status_log(whole).collect()}
+    kept = [p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators]
+    assert max(kept) >= 20 and kept[-1] == 20 - 14 + 2
+
+
 def test_status_log(spark, inputs, tmp_path):
     log = inputs.events.select(
         (F.col("event_id") % 100).alias("task_id"), (F.col("event_id") % 5).alias("status"),

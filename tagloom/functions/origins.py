@@ -9,6 +9,14 @@ from tagloom import rules
 from tagloom.functions.common import ColumnOrName, col, first_match, lookup
 
 
+# Site -> (prefix of file names, address with {} for the id). Callers may add sites of this form.
+SITES = dict(rules.SIMPLE_SITES)
+
+
+def _site_prefixes() -> dict[str, str]:
+    return {name: prefix for name, (prefix, _) in SITES.items()} | rules.COMPOSITE_SITES
+
+
 def _pattern_id(url: Column, pattern: str, groups: int) -> Column:
     """``user#post[#photo]`` from the groups of a pattern, null where it is not found."""
     parts = [F.regexp_extract(url, pattern, n) for n in range(1, groups + 1)]
@@ -21,7 +29,7 @@ def parse_origin_url(site: ColumnOrName, url: ColumnOrName) -> Column:
     site, url = col(site), col(url)
     bare = F.split_part(url, F.lit("?"), F.lit(1))
     steps = []
-    for name, (_, template) in rules.SIMPLE_SITES.items():
+    for name, (_, template) in SITES.items():
         base = template.split("{}")[0]
         if name == "twibooru":
             rest = F.substr(bare, F.lit(len(base) + 1))
@@ -40,7 +48,7 @@ def parse_origin_url(site: ColumnOrName, url: ColumnOrName) -> Column:
 def normalise_origin_id(site: ColumnOrName, value: ColumnOrName) -> Column:
     """An id as given, or the id in an https address of a known site; '' if it has none."""
     site, value = col(site), col(value)
-    is_address = value.startswith("https://") & site.isin(*rules.SITE_PREFIX)
+    is_address = value.startswith("https://") & site.isin(*_site_prefixes())
     return F.when(is_address, F.coalesce(parse_origin_url(site, value), F.lit(""))).otherwise(value)
 
 
@@ -52,7 +60,7 @@ def origin_url(site: ColumnOrName, origin_id: ColumnOrName) -> Column:
     first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
     steps = [
         (site == name, F.concat(F.lit(before), origin_id, F.lit(after)))
-        for name, (_, template) in rules.SIMPLE_SITES.items()
+        for name, (_, template) in SITES.items()
         for before, after in [template.split("{}")]
     ]
     post = F.concat(F.lit("https://x.com/"), first, F.lit("/status/"), second)
@@ -75,7 +83,7 @@ def origin_url(site: ColumnOrName, origin_id: ColumnOrName) -> Column:
 
 
 def site_prefix(site: ColumnOrName) -> Column:
-    return lookup(col(site), rules.SITE_PREFIX)
+    return lookup(col(site), _site_prefixes())
 
 
 def file_safe_id(origin_id: ColumnOrName) -> Column:

@@ -11,7 +11,7 @@ from tagloom import rules
 from tagloom.functions import origins
 from tagloom.functions.hashing import far_similarity
 from tagloom.operators.representations import image_base, preview_pick, srcset_entries
-from tagloom.operators.search import preset_expr, preset_filter, require_known, tag_search
+from tagloom.operators.search import PRESETS, preset_expr, preset_filter, require_known, tag_search
 from tagloom.plans.hotkeys import split_join
 from tagloom.plans.positions import first_k, number_rows
 from tagloom.plans.tagexpr import ANYTHING, TagExpr
@@ -197,7 +197,7 @@ def content_listing(
 
     Search and preset are one expression, so the bridge is read once for both.
     """
-    if preset not in rules.PRESETS:
+    if preset not in PRESETS:
         preset = "safe"
     columns = ["content_id", "title", "content_type", "slug", "addition_date", "is_hidden"]
     rows = content.select(*columns)
@@ -246,10 +246,11 @@ def content_detail(
     """One row per item: number of tags, has_image, video count, and images at 1024.
 
     The lists behind it are rows, so an item may have any number of each:
-    ``tags_by_category``, ``video_choices``, ``origin_links``, ``srcset_entries`` and the
-    album items joined on content_id. Every aggregate here is combined on the map side.
+    ``tags_by_category``, ``video_choices``, ``origin_links``, ``srcset_entries`` and ``item_albums``.
+    Every aggregate here is combined on the map side; over tables of ``write_bucketed`` nothing
+    is exchanged.
     """
-    known = content_tag.join(tag.select("tag_id"), "tag_id", "left_semi")
+    known = split_join(content_tag.select("content_id", "tag_id"), tag.select("tag_id"), "tag_id", ["content_id"], "left_semi")
     tags = known.groupBy("content_id").agg(F.count(F.lit(1)).alias("tag_count"))
     kinds = representation.groupBy("content_id").agg(
         F.bool_or(F.col("repr_type") == rules.IMAGE).alias("has_image"),

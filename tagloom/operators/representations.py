@@ -180,13 +180,17 @@ def storage_paths(
     return rows.select("content_id", "filepath", path.alias("stored_path"))
 
 
+# Longest side of a rung -> (format, quality, effort). Callers may add rungs.
+LADDER = dict(rules.LADDER)
+
+
 def _rung(size: int, fmt: Column, width: Column, height: Column) -> Column:
     """What one ladder rung does to an image: shrink it, keep it, or nothing (null)."""
     side = F.greatest(width, height)
-    smaller = [s for s in rules.LADDER if s < size]
+    smaller = [s for s in LADDER if s < size]
     larger = side > size
     similar = ~larger & (side > max(smaller)) if smaller else ~larger
-    out_format, quality, effort = rules.LADDER[size]
+    out_format, quality, effort = LADDER[size]
     keeps_source = similar & (
         (fmt == "JPEG") | ((fmt == "WEBP") & ~F.coalesce(F.col("is_lossless"), F.lit(False)))
     )
@@ -221,7 +225,7 @@ def image_ladder(files: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("effort"),
         width.alias("out_width"), height.alias("out_height"), F.lit(True).alias("keeps_source"),
     )
-    rungs = [_rung(size, fmt, width, height) for size in rules.LADDER]
+    rungs = [_rung(size, fmt, width, height) for size in LADDER]
     rungs.append(F.when(fmt == "SVG", original))
     rows = files.select("file_id", F.explode(F.array_compact(F.array(*rungs))).alias("r")).select(
         "file_id", "r.*"

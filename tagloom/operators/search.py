@@ -96,15 +96,23 @@ def tags_not(content, content_tag, alias, *names: str, **kw) -> DataFrame:
     return tag_search(content, content_tag, alias, all_of(*[~T(n) for n in names]), **kw)
 
 
+# Preset -> what it asks for besides not being hidden; "bypass" shows hidden items too. Callers may add presets.
+PRESETS = {
+    "bypass": ANYTHING,
+    "basic": ANYTHING,
+    "safe": T("safe"),
+    "aesthetic": T("safe") & ~any_of(*map(T, rules.UNAESTHETIC)),
+}
+OPEN_PRESETS = set(rules.OPEN_PRESETS)  # those that anybody may choose
+
+
 def preset_expr(name: str) -> TagExpr:
-    if name == "aesthetic":
-        return T("safe") & ~any_of(*map(T, rules.UNAESTHETIC))
-    return T("safe") if name == "safe" else ANYTHING
+    return PRESETS.get(name, ANYTHING)
 
 
 def preset_filter(content: DataFrame, content_tag: DataFrame, alias: DataFrame, name: str) -> DataFrame:
     """Apply a preset; one that names a tag the catalog lacks raises."""
-    if name not in rules.PRESETS:
+    if name not in PRESETS:
         name = "safe"
     visible = content if name == "bypass" else content.filter(~F.col("is_hidden"))
     return tag_search(visible, content_tag, alias, preset_expr(name), on_unknown="error")
@@ -184,7 +192,7 @@ def match_saved_searches(content: DataFrame, content_tag: DataFrame, alias: Data
 def allowed_filter(preset: ColumnOrName, is_member: ColumnOrName) -> Column:
     """The preset a viewer gets: members any, others the open ones, ``safe`` otherwise."""
     preset, is_member = col(preset), col(is_member)
-    allowed = (is_member & preset.isin(*rules.PRESETS)) | preset.isin(*rules.OPEN_PRESETS)
+    allowed = (is_member & preset.isin(*PRESETS)) | preset.isin(*sorted(OPEN_PRESETS))
     return F.when(allowed, preset).otherwise("safe")
 
 

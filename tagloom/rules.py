@@ -151,7 +151,6 @@ COMPOSITE_SITES = {"twitter": "tx-", "deviantart": "da-", "deviant-art": "da-",
 TWITTER_PATTERN = r"https?://(?:x|twitter)\.com/([^/]+)/status/(\d+)(?:/photo/(\d+))?"
 DEVIANTART_PATTERN = r"https?://(?:www\.)?deviantart\.com/([^/]+)/art/.*-(\d+)/?$"
 TELEGRAM_PATTERN = r"https://t\.me/([^/]+)/(\d+)$"
-SITE_PREFIX = {name: prefix for name, (prefix, _) in SIMPLE_SITES.items()} | COMPOSITE_SITES
 # Name stem of an item that has no main origin.
 ITEM_STEM = "mlid"
 

@@ -44,6 +44,18 @@ def write_catalog(
     writer.parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, by: str = "content_id", buckets: int = 64) -> None:
+    """Write rows as table ``name`` in ``buckets`` files by a hash of a column, each sorted by it.
+
+    Tables written alike are joined and grouped by that column as they lie, without an exchange. A
+    task writes one bucket whole, so there are as many files as buckets.
+    """
+    (
+        df.repartition(buckets, by).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by)
+        .option("path", path).saveAsTable(name)
+    )
+
+
 def backfill_derived(
     content: DataFrame, image_hash: DataFrame, representation: DataFrame, checksums: DataFrame | None = None
 ) -> dict[str, DataFrame]:

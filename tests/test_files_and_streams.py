@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import reports
+from tagloom.operators import browse, reports
 from tagloom.operators.ingest import ingest_batch
 from tagloom.operators.tags import attach_tags, tags_from_metadata
 from tagloom.schema import CATALOG
@@ -61,6 +61,25 @@ def test_catalog_round_trip(spark, inputs, tmp_path):
     assert days.count() == content.count() and "day" in days.columns
 
 
+def test_item_pages_of_bucketed_tables_exchange_nothing(spark, inputs, tmp_path):
+    tables = {n: getattr(inputs, f"f_{n}") for n in ("content", "content_tag", "representation")}
+    for name, df in tables.items():
+        catalog.write_bucketed(df, f"bucketed_{name}", str(tmp_path / name), buckets=4)
+    stored = {n: spark.table(f"bucketed_{n}") for n in tables}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        detail = lambda t: browse.content_detail(t["content"], t["content_tag"], inputs.f_tag, t["representation"])
+        made = detail(stored)
+        joins = made._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert "SortMergeJoin" in joins and "Exchange" not in joins
+        assert sorted(map(repr, made.collect())) == sorted(map(repr, detail(tables).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in tables:
+            spark.sql(f"drop table bucketed_{name}")
+
+
 def test_backfill_of_checksums(rows):
     content = rows("content_id long, slug string, addition_date timestamp_ntz, source_hash binary")
     hashes = rows("imagehash_id long, l_hash binary, a_hash binary, b_hash binary")

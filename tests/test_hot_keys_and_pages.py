@@ -175,3 +175,30 @@ def test_applied_albums(rows):
     assert now["album"] == [(4, None, "old", True), (5, 1, "kept", False), (6, 1, "", False), (7, None, "empty", False), (8, 10, "new", False)]
     assert now["album_order"] == [(4, 1, 1), (4, 2, 3), (5, 9, 1), (8, 1, 2)]
     assert now["album_creator"] == [(4, 7), (4, 8), (5, 2), (8, 7)]
+
+
+def test_callers_add_presets_sites_and_rungs(rows, monkeypatch):
+    from tagloom.functions import origins
+    from tagloom.operators import representations
+    from tagloom.plans.tagexpr import T
+
+    monkeypatch.setitem(search.PRESETS, "calm", T("calm") & ~T("loud"))
+    monkeypatch.setattr(search, "OPEN_PRESETS", {*search.OPEN_PRESETS, "calm"})
+    content = rows("content_id long, is_hidden boolean", (1, False), (2, False), (3, True), (4, False))
+    bridge = rows("content_id long, tag_id long", (1, 1), (2, 1), (2, 2), (3, 1))
+    alias = rows("title string, tag_id long", ("calm", 1), ("loud", 2))
+    assert [r.content_id for r in search.preset_filter(content, bridge, alias, "calm").collect()] == [1]
+    asked = rows("preset string, is_member boolean", ("calm", False), ("basic", False))
+    assert [r.p for r in asked.select(search.allowed_filter("preset", "is_member").alias("p")).collect()] == ["calm", "safe"]
+
+    monkeypatch.setitem(origins.SITES, "newsite", ("ns-", "https://new.example/art/{}"))
+    site = rows("site string, id string", ("newsite", "42"))
+    url = origins.origin_url("site", "id")
+    r = site.select(url.alias("u"), origins.parse_origin_url("site", url).alias("i"), origins.site_prefix("site").alias("p")).first()
+    assert (r.u, r.i, r.p) == ("https://new.example/art/42", "42", "ns-")
+    assert site.select(origins.normalise_origin_id("site", url).alias("i")).first().i == "42"
+
+    file = rows("file_id long, width int, height int, format string, is_lossless boolean", (1, 9000, 9000, "PNG", True))
+    before = {r.rung for r in representations.image_ladder(file).collect()}
+    monkeypatch.setitem(representations.LADDER, 8192, ("AVIF", 70, 4))
+    assert {r.rung for r in representations.image_ladder(file).collect()} == before | {8192}

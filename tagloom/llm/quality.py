@@ -98,7 +98,10 @@ def host_verdicts(ruled: DataFrame, watch_rate: float = 0.05, block_rate: float
     have it, all shrink strongly to the mean.
     """
     failed = base_failed(F.col("_rules")) | soft_failed(F.col("_rules"))
-    hosts = ruled.groupBy("_host").agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
+    # Counts are written, so the texts behind them are not measured again for the prior and the verdicts.
+    hosts = settle_table(
+        ruled.groupBy("_host").agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")), "hosts"
+    )
     rate = F.col("n_failed") / F.col("n_docs")
     # One row reaches the driver.
     seen = hosts.agg(
@@ -120,19 +123,20 @@ def beta_prior(mean: float | None, var: float | None, noise: float | None) -> tu
     return m * strength, (1 - m) * strength
 
 
-def judged(ruled: DataFrame) -> DataFrame:
+def judged(ruled: DataFrame, spread: str) -> DataFrame:
     """``ruled`` (with _host and _rules) and columns base_failed, verdict and kept.
 
     A document is kept if it passes the base rules, its host is not blocked, and, on a watched host,
     it passes the soft rules too. Hosts are joined by broadcast while there are few, and above that
-    by (host, salt), so that a host with a third of all documents is spread over tasks.
+    by (host, salt), so that a host with a third of all documents is spread over tasks; the salt is a
+    hash of column ``spread``, which tells the rows of a host apart.
     """
-    hosts = settle_table(host_verdicts(ruled), "hosts").select("_host", "verdict")
+    hosts = host_verdicts(ruled).select("_host", "verdict")
     if hosts.count() <= BROADCAST_HOSTS:
         joined = ruled.join(F.broadcast(hosts), "_host")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salt = F.pmod(F.xxhash64(F.struct("_rules")), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
         joined = ruled.withColumn("_salt", salt).join(hosts.withColumn("_salt", salts), ["_host", "_salt"]).drop("_salt")
     rules, verdict = F.col("_rules"), F.col("verdict")
     kept = ~base_failed(rules) & (verdict != "blocked") & ~((verdict == "watched") & soft_failed(rules))
@@ -149,11 +153,17 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.coalesce(docs[host].cast("string"), F.lit(NO_HOST)).alias("_host")
     )
     measured = with_rules(slim).select("doc_id", "_host", "_rules")
-    return judged(settle_table(measured, "rules")).drop("_host")
+    return judged(settle_table(measured, "rules"), "doc_id").drop("_host")
+
 
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns, whatever these are called.
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns. Texts are measured twice, not shuffled."""
-    columns = docs.columns
-    ruled = with_rules(docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(NO_HOST))), text)
-    return judged(ruled).filter("kept").select(*columns)
+    Texts are measured twice, once for their hosts and once for themselves, and not shuffled. Null texts
+    have no words and go; null hosts are one host; repeated rows are judged alike and stay as often as
+    they are there; an empty table gives no rows.
+    """
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row")
+    named = docs.select(row, F.coalesce(docs[host].cast("string"), F.lit(NO_HOST)).alias("_host"))
+    ruled = with_rules(named, f"_row.`{text}`")
+    return judged(ruled, f"_row.`{doc_id}`").filter("kept").select("_row.*")

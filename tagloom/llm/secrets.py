@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import map_columns, texts
+from tagloom.llm.common import map_columns, settle_table, texts
 
 KINDS = ["assign", "access", "hex", "guess"]
 
@@ -114,11 +114,27 @@ def scan(text: str, ranks: dict[str, int], least: float) -> list[tuple[str, int,
     return found
 
 
+STEPS = 8  # of a histogram of counts, for each factor of two
+
+
 def common_words(docs: DataFrame, top: int) -> dict[str, int]:
-    """Ranks, from 1, of the ``top`` most frequent words of a-z over all documents (ties by the word)."""
+    """Ranks, from 1, of the ``top`` most frequent words of a-z over all documents (ties by the word).
+
+    A histogram of the counts, of a few hundred rows at any size, says from which count on the
+    top words are; only words with such a count are sorted, so what reaches the driver is not
+    ``top`` words of every partition.
+    """
     words = texts(docs).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     counts = words.filter(F.length("word").between(3, MAX_WORD)).groupBy("word").count()
-    ranked = counts.orderBy(F.desc("count"), "word").limit(top).collect()
+    place = F.floor(F.log2("count") * STEPS).cast("int")
+    counts = settle_table(counts.withColumn("place", place), "words")
+    held = {r["place"]: r["n"] for r in counts.groupBy("place").agg(F.count("*").alias("n")).collect()}
+    seen, least = 0, 0
+    for least in sorted(held, reverse=True):
+        seen += held[least]
+        if seen >= top:
+            break
+    ranked = counts.filter(F.col("place") >= least).orderBy(F.desc("count"), "word").limit(top).collect()
     return {r["word"]: i for i, r in enumerate(ranked, 1)}
 
 

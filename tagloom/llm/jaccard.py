@@ -169,8 +169,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hash.
 
     Null and empty texts have an empty set and are alone; a null id stays null and counts as the
-    smallest; rows with one id are one document; an empty table gives none. Other columns are ignored.
+    smallest; rows with one id are told apart by their texts; an empty table gives none. Other
+    columns are ignored.
     """
+    null = lambda c: F.when(F.col(c) != FAR_FIRST, F.col(c)).alias(c)
+    return _components(docs, doc_id, text, n, percent).select(null("doc_id"), "n_shingles", null("component_id"))
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """What :func:`jaccard_components` gives, with FAR_FIRST in place of null ids."""
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     sketch = Sketch(estimated_words(slim, "text"))
     blocks = settle_table(blocks_of(slim, "text"), "blocks")
@@ -192,12 +199,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     light = sets.select("doc_id", "size", "key")
     alone = light.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = light.filter("size > 0").join(named, "key").select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != FAR_FIRST, F.col(c)).alias(c)
-    return alone.unionByName(rest).select(null("doc_id"), "n_shingles", null("component_id"))
+    return alone.unionByName(rest)
+
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` without those that have a near copy of smaller id (documents of empty text all stay).
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` without those that have a near copy of smaller id (documents of empty text all stay)."""
-    found = jaccard_components(docs, doc_id, text, **kw)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    A null id is the smallest: its rows stay, and their copies go. Of an id with several texts all rows
+    stay unless each has such a copy; repeated rows stay or go together; an empty table gives none.
+    Columns of ``docs`` are kept as they are.
+    """
+    found = _components(docs, doc_id, text, n, percent)
+    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_all"))
+    return docs.join(gone.filter("_all").select("_gone"), docs[doc_id].cast("long") == gone["_gone"], "left_anti")

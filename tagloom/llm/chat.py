@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, END = "[INST] ", " [/INST]", "</s>"
 
 
-def escape(text: Column) -> Column:
+def escape(text: Column | str) -> Column:
     """Breaks control strings: a backslash goes into each ([\\INST], <\\/s>), one before every backslash."""
     doubled = F.regexp_replace(text, r"\\", r"\\\\")
     broken = F.regexp_replace(doubled, r"\[(?=/?INST\])", r"[\\")
@@ -51,7 +51,9 @@ def windows(
     order = whole.orderBy(F.asc_nulls_first("turn"), "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = clean.select(
-        "*", F.row_number().over(order).cast("long").alias("at"), tokens(F.col("text")).cast("long").alias("size")
+        "*", F.row_number().over(order).cast("long").alias("at"),
+        # What is counted is what is written: role and text with their control strings escaped.
+        tokens(F.concat(escape("role"), escape("text"))).cast("long").alias("size"),
     )
     first_system = (F.col("at") == 1) & (F.col("role") == "system")
     summed = sized.select(

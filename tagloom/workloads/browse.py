@@ -256,21 +256,25 @@ def catalog_rows(i: Inputs):
 
 @query(
     "pick_representation",
-    """with c as (select q.*, c.content_type, case when content_type = 'image' then 10 else 20 end as kind
-                 from f_request q join f_content c on c.content_id = q.content_id),
+    # Some ask for a width and no height.
+    """with c as (select q.* replace (case when q.content_id % 8 <> 5 then target_height end as target_height), c.content_type,
+            case when content_type = 'image' then 10 else 20 end as kind from f_request q join f_content c on c.content_id = q.content_id),
         m as (select c.content_id as request_id, c.*, r.filepath, r.width, r.height, r.compatibility_level,
                 coalesce(kind = 10 and (r.width >= c.target_width or r.height >= c.target_height), false) as reach
-              from c join f_representation r on r.content_id = c.content_id and r.repr_type = kind and r.compatibility_level <= clevel),
+              from c join f_representation r on r.content_id = c.content_id and r.repr_type = kind and r.compatibility_level <= clevel
+                and not (kind = 10 and (target_width is null) <> (target_height is null))),
         b as (select *, row_number() over (partition by request_id order by case when reach then 0 else 1 end,
                 case when reach then width when kind = 10 then -width else 0 end,
                 case when reach then 0 else -compatibility_level end, filepath) as rn from m)
         select c.content_id as request_id, c.content_id, c.content_type, c.clevel, c.target_width, c.target_height,
-          case when b.filepath is null then 'missing' else 'found' end as status, b.filepath, b.width, b.height, b.compatibility_level
+          case when c.kind = 10 and (c.target_width is null) <> (c.target_height is null) then 'error' when b.filepath is null then 'missing' else 'found' end as status,
+          b.filepath, b.width, b.height, b.compatibility_level
         from c left join b on b.request_id = c.content_id and rn = 1""",
 )
 def pick_representation(i: Inputs):
     asked = i.f_request.join(i.f_content.select("content_id", "content_type"), "content_id").select(
-        F.col("content_id").alias("request_id"), "content_id", "content_type", "clevel", "target_width", "target_height"
+        F.col("content_id").alias("request_id"), "content_id", "content_type", "clevel", "target_width",
+        F.when(F.col("content_id") % 8 != 5, F.col("target_height")).alias("target_height"),
     )
     return reps.pick_representation(asked, i.f_representation)
 

@@ -157,12 +157,22 @@ def hash_list(i: Inputs):
     return duplicates.hash_list(i.f_imagehash, i.f_content, False, "URGENT")
 
 
+# Chains of up to twenty merges, and pairs that merge into each other with a chain leading into them.
+CHAINS = "select o_orderkey as source_id, case when o_orderkey % 32 = 31 then o_orderkey - 1 else o_orderkey + 1 end as target_id from orders where o_orderkey % 32 <> 20"
+
+
 @query(
     "merge_chains",
-    "select source_id, case when source_id % 10 = 1 then source_id + 2 else target_id end as target_id, 'ok' as status from f_merge",
+    f"""with recursive p as materialized ({CHAINS}),
+          w as (select source_id, target_id, 1 as steps from p
+            union all select w.source_id, p.target_id, steps + 1 from w join p on p.source_id = w.target_id where steps < 40),
+          e as (select source_id, target_id from w where target_id not in (select source_id from p))
+        select p.source_id, e.target_id, case when e.source_id is null then 'cycle' else 'ok' end as status from p left join e on e.source_id = p.source_id""",
 )
 def merge_chains(i: Inputs):
-    return merge.resolve_merge_chains(i.f_merge)
+    pairs = i.spark.sql(CHAINS.replace("from orders", "from {orders}"), orders=i.orders)
+    found = merge.resolve_merge_chains(pairs)
+    return found.withColumn("target_id", F.when(F.col("status") == "ok", F.col("target_id")))
 
 
 MAP = "m as (select source_id, case when source_id % 10 = 1 then source_id + 2 else target_id end as target_id from f_merge)"

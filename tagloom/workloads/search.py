@@ -68,9 +68,17 @@ def tag_expr(i):
     return item(search.tag_search(*parts(i), expr))
 
 
-@query("tag_unknown", f"select {ITEM} from f_content where content_id in ({having('safe')}) and 1 = 0")
+@query(
+    "tag_unknown",
+    f"""select 'known' as asked, {ITEM} from f_content where content_id in ({having('safe', 'red')})
+        union all select 'not an unknown one', {ITEM} from f_content where content_id in ({having('safe', 'red')}) and 1 = 0""",
+)
 def tag_unknown(i):
-    return item(search.tag_search(*parts(i), T("safe") | T("no such tag")))
+    """One name that is no tag empties a search, also where it is one of several or is not wanted."""
+    known = T("safe") | T("red")
+    searches = {"known": known, "or an unknown one": known | T("no such tag"), "not an unknown one": known & ~T("no such tag")}
+    found = [item(search.tag_search(*parts(i), e)).select(F.lit(n).alias("asked"), "content_id", "title", "content_type") for n, e in searches.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("preset_basic", f"select {ITEM} from f_content where not is_hidden")

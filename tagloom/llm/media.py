@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import map_columns, settle_table, texts
+from tagloom.session import ensure_checkpoint_dir
 
 WIDTH = 192  # samples in a row of an image
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 2 << 10, 64 << 10, 13  # a cut every 8 KB beyond the least, on average
 REMEMBERED = 50_000  # digests of chunks a task has sent already
+DICTIONARY, SAMPLED = 64 << 10, 2_000  # bytes of the compressor's dictionary, texts it is made from
 
 # The gear table: a fixed pseudo-random number for each byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], np.uint32)
@@ -86,11 +90,28 @@ def manifests(docs: DataFrame) -> DataFrame:
     return map_columns(texts(docs), make, "doc_id long, n_bytes long, media_key binary, digests array<binary>", rows=256)
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """(digest, chunk): every distinct chunk of all media once, compressed."""
+def dictionary(docs: DataFrame) -> bytes:
+    """What the compressor knows before it sees a chunk, from at most ``SAMPLED`` texts; empty if they are too few.
+
+    Which texts these are changes how small chunks get and nothing else. It belongs to the store: chunks
+    cannot be read without it.
+    """
+    sample = [c for r in texts(docs).select(F.left("text", F.lit(MIN_CHUNK)).alias("text")).limit(SAMPLED).collect() for c in next(chunked([r["text"]]))[1]]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _known(words: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def chunk_store(docs: DataFrame, words: bytes = b"") -> DataFrame:
+    """(digest, chunk): every distinct chunk of all media once, compressed with the dictionary ``words``."""
 
     def make():
-        sent, codec = set(), pa.Codec("zstd", compression_level=6)
+        sent, codec = set(), zstandard.ZstdCompressor(level=6, **_known(words))
 
         def apply(rows):
             new = {}
@@ -101,7 +122,7 @@ def chunk_store(docs: DataFrame) -> DataFrame:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
                         sent.add(digest)
-                        new[digest] = len(c).to_bytes(4, "little") + codec.compress(c, asbytes=True)
+                        new[digest] = codec.compress(c)
             return {"digest": pa.array(list(new), pa.binary()), "chunk": pa.array(list(new.values()), pa.binary())}
 
         return apply
@@ -110,6 +131,17 @@ def chunk_store(docs: DataFrame) -> DataFrame:
     return sent.groupBy("digest").agg(F.first("chunk").alias("chunk"))
 
 
+def write_store(store: DataFrame) -> str:
+    """The name of a table with the chunks, in a bucket per shuffle partition by their digest, so that joins on it move no chunk."""
+    spark = store.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    store.write.format("parquet").bucketBy(buckets, "digest").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    return name
+
+
 def restored(manifest: DataFrame, store: DataFrame) -> DataFrame:
     """(media_key, parts): the stored chunks of each distinct media, in order.
 
@@ -133,20 +165,19 @@ def feature(samples: bytes) -> str:
     return "".join(f"{b:02x}" for b in bands) + f":{int(x.sum(dtype=np.int64)) * 1000 // len(x)}"
 
 
-def features(media: DataFrame) -> DataFrame:
+def features(media: DataFrame, words: bytes = b"") -> DataFrame:
     """What is read back from stored media: (media_key, payload_bytes, payload_sha256, tail, media_bytes, media_sha256, feature).
 
     A chunk that does not have its digest, or a file that does not have its key, fails the job.
     """
 
     def make():
-        codec = pa.Codec("zstd")
+        codec = zstandard.ZstdDecompressor(**_known(words))
 
         def read(key: bytes, parts) -> bytes:
             out = []
             for p in parts:
-                size = int.from_bytes(p["chunk"][:4], "little")
-                out.append(codec.decompress(p["chunk"][4:], size, asbytes=True) if size else b"")
+                out.append(codec.decompress(p["chunk"]))
                 if hashlib.sha256(out[-1]).digest() != p["digest"]:
                     raise ValueError(f"chunk {p['at']} of media {key.hex()} is damaged")
             whole = b"".join(out)
@@ -180,11 +211,15 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail, media_bytes, media_sha256, feature): a row per row of ``docs``.
 
     Each text becomes a media file, which is cut where its content says (:func:`cuts`); equal chunks
-    of different documents are stored once; files are put together from the store, verified and
-    read. Texts are read twice, so that only distinct compressed chunks move. Equal texts have equal
+    of different documents are written once, to a table of their own (:func:`write_store`); files are
+    put together from what is read back of it, verified and read. The table's name is given up then,
+    its files stay. Texts are read twice, so that only distinct compressed chunks move. Equal texts have equal
     values. Null and empty texts are a row of spaces; null ids stay null; repeated rows come back
     as often; an empty table gives none; other columns are ignored.
     """
     manifest = settle_table(manifests(docs), "manifests")
-    seen = settle_table(features(restored(manifest, chunk_store(docs))), "features")
+    words, spark = dictionary(docs), docs.sparkSession
+    name = write_store(chunk_store(docs, words))
+    seen = settle_table(features(restored(manifest, spark.table(name)), words), "features")
+    spark.sql(f"DROP TABLE {name}")
     return manifest.select("doc_id", "n_bytes", "media_key").join(seen, "media_key").drop("media_key")

@@ -168,7 +168,9 @@ def match_saved_searches(content: DataFrame, content_tag: DataFrame, alias: Data
     )
     facts = settle(literals.join(clause, ["search_id", "clause_no"]).join(search, "search_id"))
 
-    touched = split_join(content_tag.select("content_id", "tag_id"), facts, "tag_id", ["content_id"])
+    # Pairs are dealt by item before literals multiply them; what is grouped below by more columns stays where it is.
+    pairs = split_join(content_tag.select("content_id", "tag_id"), facts.select("tag_id").distinct(), "tag_id", ["content_id"], "left_semi")
+    touched = split_join(pairs.repartition("content_id"), facts, "tag_id", ["content_id"])
     each = touched.groupBy("content_id", "search_id", "clause_no").agg(
         F.bool_or(~F.col("negated")).alias("has"), F.count_if("negated").alias("negated"),
         *[F.max(c).alias(c) for c in ("n_negated", "n_clauses", "n_open")],
@@ -183,9 +185,9 @@ def match_saved_searches(content: DataFrame, content_tag: DataFrame, alias: Data
     met = decided.filter("hit and not open").select("content_id", "search_id").join(items, "content_id", "left_semi")
     # Of open searches the result has nearly every item: one row each, from a list of the searches.
     every = search.filter("n_open = n_clauses").agg(F.collect_list("search_id").alias("s")).scalar()
-    open_ = items.select("content_id", F.explode(every).alias("search_id")).join(
-        decided.filter("open and not hit").select("content_id", "search_id"), ["content_id", "search_id"], "left_anti"
-    )
+    failed = decided.filter("open and not hit").groupBy("content_id").agg(F.collect_list("search_id").alias("_failed"))
+    kept = F.when(F.col("_failed").isNull(), every).otherwise(F.array_except(every, "_failed"))
+    open_ = items.join(failed, "content_id", "left").select("content_id", F.explode(kept).alias("search_id"))
     return met.unionByName(open_)
 
 

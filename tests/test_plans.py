@@ -56,3 +56,16 @@ def test_filters_and_columns_reach_the_scan(spark, inputs, tmp_path):
     scan = next(line for line in text.splitlines() if "ReadSchema: struct<content_id:bigint,is_hidden:boolean>" in line)
     assert re.search(r"PushedFilters: \[[^\]]*is_hidden", scan), scan
     assert re.search(r"ReadSchema: struct<content_id:bigint,is_hidden:boolean>", text)
+
+
+def test_saved_searches_shuffle_pairs_by_item_only(rows):
+    content = rows("content_id long", (1,), (2,), (3,))
+    bridge = rows("content_id long, tag_id long", (1, 5), (1, 6), (2, 6), (4, 5))
+    alias = rows("title string, tag_id long", ("a", 5), ("b", 6))
+    clauses = rows(
+        "search_id long, clause_no int, alias string, negated boolean",
+        (1, 1, "a", False), (1, 2, "b", False), (2, 1, "a", True), (3, 1, "a", True), (3, 2, "b", True), (4, 1, "no", True),
+    )
+    found = search.match_saved_searches(content, bridge, alias, clauses)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (3, 2), (3, 3)]
+    assert not re.findall(r"hashpartitioning\(content_id#\d+L, search_id", plan(found))

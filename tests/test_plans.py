@@ -69,3 +69,20 @@ def test_saved_searches_shuffle_pairs_by_item_only(rows):
     found = search.match_saved_searches(content, bridge, alias, clauses)
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (3, 2), (3, 3)]
     assert not re.findall(r"hashpartitioning\(content_id#\d+L, search_id", plan(found))
+
+
+def test_similar_items_leave_the_catalog_off_the_driver(inputs):
+    text = plan(browse.similar_content(inputs.f_imagehash, inputs.f_content))
+    assert "SortMergeJoin [similar_id" in text and "BroadcastHashJoin [similar_id" not in text
+
+
+def test_queries_keep_long_methods_compiled(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        for own, then in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(name, own)
+            QUERIES["origin_url"].run(spark, SF_DIR)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)

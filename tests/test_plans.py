@@ -86,3 +86,17 @@ def test_queries_keep_long_methods_compiled(spark):
             assert spark.conf.get(name) == then
     finally:
         spark.conf.set(name, before)
+
+
+def test_item_detail_reads_renditions_once(spark, inputs, tmp_path):
+    inputs.f_representation.write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    text = plan(browse.content_detail(inputs.f_content, inputs.f_content_tag, inputs.f_tag, stored))
+    assert len(re.findall(r"Location: InMemoryFileIndex[^\n]*/r\]", text)) == 1
+
+
+def test_tags_of_items_are_told_apart_by_number(inputs):
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(inputs.f_content_tag))
+    assert keys and all("title" not in k for k in keys)
+    named = inputs.f_tag_name.selectExpr("content_id", "cast(conv(substr(md5(category || ':' || title), 1, 15), 16, 10) as bigint)")
+    assert named.exceptAll(inputs.f_content_tag).isEmpty() and inputs.f_content_tag.exceptAll(named).isEmpty()

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.session import ensure_checkpoint_dir
+from tagloom.session import settle_table  # noqa: F401
 
 # Words are what stands between these characters, in every operator: bytes.split() cuts at the same six.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,18 +21,6 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def settle_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the folder the cluster shares, and read it back.
-
-    Its lineage ends there, so a lost executor costs the tasks it was running and no more.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -170,7 +170,7 @@ def match_saved_searches(content: DataFrame, content_tag: DataFrame, alias: Data
 
     # Pairs are dealt by item before literals multiply them; what is grouped below by more columns stays where it is.
     pairs = split_join(content_tag.select("content_id", "tag_id"), facts.select("tag_id").distinct(), "tag_id", ["content_id"], "left_semi")
-    touched = split_join(pairs.repartition("content_id"), facts, "tag_id", ["content_id"])
+    touched = split_join(pairs.repartition("content_id"), facts, "tag_id", ["content_id"], write=False)
     each = touched.groupBy("content_id", "search_id", "clause_no").agg(
         F.bool_or(~F.col("negated")).alias("has"), F.count_if("negated").alias("negated"),
         *[F.max(c).alias(c) for c in ("n_negated", "n_clauses", "n_open")],

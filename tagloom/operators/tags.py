@@ -67,9 +67,13 @@ def implication_closure(edges: DataFrame, starts: DataFrame | None = None) -> Da
 def expand_content_tags(content_tag: DataFrame, closure: DataFrame) -> DataFrame:
     """Add to every item the tags its tags imply, also where most items have one tag."""
     implies = closure.select(F.col("target").alias("tag_id"), "implicate")
-    pairs = content_tag.select("content_id", "tag_id")
-    implied = split_join(pairs, implies, "tag_id", ["content_id"]).select("content_id", F.col("implicate").alias("tag_id"))
-    return pairs.unionByName(implied).distinct()
+    # Tags that imply others imply themselves here, so the pairs are read once and need no union with what they imply.
+    itself = implies.select("tag_id").distinct().select("tag_id", F.col("tag_id").alias("implicate"))
+    met = split_join(
+        content_tag.select("content_id", "tag_id"), implies.unionByName(itself).withColumn("_met", F.lit(True)), "tag_id",
+        ["content_id"], "left",
+    )
+    return met.select("content_id", F.when(F.col("_met"), F.col("implicate")).otherwise(F.col("tag_id")).alias("tag_id")).distinct()
 
 
 def tags_from_metadata(tasks: DataFrame) -> DataFrame:
@@ -285,17 +289,24 @@ def attach_tags(
     (see :func:`apply_resolution`) and ``added``: the (content_id, tag_id) that
     ``content_tag`` lacks. Only the bridge rows of the items named are looked at.
     """
-    asked = wanted.groupBy("name", "category").agg(F.min("seq").alias("seq"))
+    now, found = _found_tags(wanted, tag, alias, implication)
+    added = found.join(content_tag.select("content_id", "tag_id"), ["content_id", "tag_id"], "left_anti")
+    return now | {"added": added}
+
+
+def _found_tags(
+    wanted: DataFrame, tag: DataFrame, alias: DataFrame, implication: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The vocabulary after resolution, and the distinct (content_id, tag_id) wanted and implied."""
+    # As many rows as names; settled, as the lookups below read them several times.
+    asked = settle(wanted.groupBy("name", "category").agg(F.min("seq").alias("seq")))
     result = resolve_tags(asked, tag, alias)
     now = apply_resolution(result, tag, alias, implication)
     ids = settle(tag_ids(result["resolved"], now["tag"]))
     named = ids.select(F.col("asked").alias("name"), F.col("asked_category").alias("category"), "tag_id")
     picked = wanted.join(named, ["name", "category"]).select("content_id", "tag_id")
     closure = implication_closure(now["tag_implication"], ids.select(F.col("tag_id").alias("target")).distinct())
-    added = expand_content_tags(picked, closure).join(
-        content_tag.select("content_id", "tag_id"), ["content_id", "tag_id"], "left_anti"
-    )
-    return now | {"added": added}
+    return now, expand_content_tags(picked, closure)
 
 
 def apply_predictions(
@@ -304,14 +315,15 @@ def apply_predictions(
 ) -> dict[str, DataFrame]:
     """Attach predicted tags at or above the threshold, with what they imply.
 
-    Returns the vocabulary after resolution and the new ``content_tag``.
+    Returns the vocabulary after resolution, ``added`` (see :func:`attach_tags`) and the new ``content_tag``.
     """
     kept = predictions.filter(F.col("score") >= threshold).select(
         "content_id", F.col("tag").alias("name"), F.lit("content").alias("category"), F.col("content_id").alias("seq")
     )
-    now = attach_tags(kept, content_tag, tag, alias, implication)
-    now["content_tag"] = content_tag.select("content_id", "tag_id").unionByName(now["added"])
-    return now
+    now, found = _found_tags(kept, tag, alias, implication)
+    bridge, on = content_tag.select("content_id", "tag_id"), ["content_id", "tag_id"]
+    # Found pairs are distinct, so a full join keeps each bridge row once and adds what it lacks.
+    return now | {"added": found.join(bridge, on, "left_anti"), "content_tag": bridge.join(found, on, "full")}
 
 
 def validate_tags(tag: DataFrame, alias: DataFrame, edges: DataFrame) -> DataFrame:

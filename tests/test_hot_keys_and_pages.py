@@ -202,3 +202,40 @@ def test_callers_add_presets_sites_and_rungs(rows, monkeypatch):
     before = {r.rung for r in representations.image_ladder(file).collect()}
     monkeypatch.setitem(representations.LADDER, 8192, ("AVIF", 70, 4))
     assert {r.rung for r in representations.image_ladder(file).collect()} == before | {8192}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_rows_of_hot_keys_are_not_shuffled(spark, how):
+    rows = hot_rows(spark, 6000).unionByName(spark.sql("select -1L as item, cast(null as bigint) as key"))
+    small = spark.range(0, 5000, 3).select((F.col("id") + 1).alias("key"), F.lit(1).alias("x"))
+    got, want = hotkeys.split_join(rows, small.hint("merge"), "key", ["item"], how, most=100), rows.join(small, "key", how)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "_salt" not in text
+
+
+def test_expansion_reads_the_bridge_once(spark, rows, tmp_path):
+    rows("content_id long, tag_id long", (1, 5), (1, 5), (1, None), (2, 6), (3, 9)).write.parquet(str(tmp_path / "bridge"))
+    bridge = spark.read.parquet(str(tmp_path / "bridge"))
+    closure = tags.implication_closure(rows("target long, implicate long", (5, 6), (6, 7), (8, 8)))
+    found = tags.expand_content_tags(bridge, closure)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ReadSchema: struct<content_id:bigint,tag_id:bigint>") == 1
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(
+        map(repr, [(1, 5), (1, 6), (1, 7), (1, None), (2, 6), (2, 7), (3, 9)])
+    )
+
+
+def test_predictions_read_the_bridge_once(spark, rows, tmp_path):
+    rows("content_id long, tag_id long", (1, 5), (1, 5), (1, None), (None, 6), (2, 6)).write.parquet(str(tmp_path / "bridge"))
+    bridge = spark.read.parquet(str(tmp_path / "bridge"))
+    found = tags.apply_predictions(
+        rows("content_id long, tag string, score double", (1, "a", 0.9), (1, "a", 0.8), (3, "a", 0.2), (None, "a", 0.5), (2, "b", 0.1), (4, "new", 0.5)),
+        bridge, rows("tag_id long, title string, category string", (5, "a", "content"), (6, "b", "content")),
+        rows("tag_id long, title string", (5, "a"), (6, "b")), rows("target long, implicate long", (5, 6)),
+    )["content_tag"]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ReadSchema: struct<content_id:bigint,tag_id:bigint>") == 1
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [
+        (1, 5), (1, 5), (1, None), (None, 6), (2, 6), (1, 6), (3, 5), (3, 6), (None, 5), (None, 6), (4, 7),
+    ]))

@@ -26,12 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def map_columns(
-    df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, rows: int = 512
+    df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, rows: int = 512,
+    arrow: bool = False,
 ) -> DataFrame:
     """Apply a Python function to slices of columns.
 
     ``make()`` is called once per task and gives the function, so that it can hold a bounded cache.
     Slices of ``rows`` rows keep the Python objects of one step few, whatever Spark's batch size is.
+    With ``arrow`` the function is given slices as they are, as record batches.
     """
     names = df.sparkSession.createDataFrame([], schema).schema.fieldNames()
 
@@ -39,7 +41,8 @@ def map_columns(
         apply = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                out = apply(batch.slice(at, rows).to_pydict())
+                part = batch.slice(at, rows)
+                out = apply(part if arrow else part.to_pydict())
                 if out and len(out[names[0]]):
                     yield pa.RecordBatch.from_arrays([as_arrow(out[n]) for n in names], names)
 

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tagloom.llm.common import map_columns, texts
@@ -138,12 +139,17 @@ def _joiner(model_path: str):
         whole[i] = b""
     for i, b in pieces.of_byte.items():
         whole[i] = bytes([b])
+    table = pa.array(whole, pa.large_binary())
 
-    def text(ids) -> str:
-        raw = b"".join(map(whole.__getitem__, ids or ()))
-        return raw.decode("utf-8", "replace").replace(SPACE_MARK, " ")[1:]
+    def texts_of(ids: pa.ListArray) -> list[str]:
+        joined = table.take(ids.flatten())  # the bytes of all lists, one after another
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False), dtype=np.int64)])[ends]
+        raw = memoryview(joined.buffers()[2] or b"")
+        return [str(raw[a:b], "utf-8", "replace").replace(SPACE_MARK, " ")[1:] for a, b in zip(at.tolist(), at[1:].tolist())]
 
-    return text
+    return texts_of
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -154,11 +160,14 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """
 
     def make():
-        text = _joiner(model_path)
-        kind = pa.list_(pa.int32())
-        return lambda rows: {
-            "doc_id": pa.array(rows["doc_id"], pa.int64()), "ids": pa.array(rows["ids"], kind),
-            "text": pa.array([text(x) for x in rows["ids"]], pa.string()),
-        }
-
-    return map_columns(encoded.select("doc_id", "ids"), make, "doc_id long, ids array<int>, text string", rows=256)
+        texts_of, kind = _joiner(model_path), pa.list_(pa.int32())
+
+        def apply(rows: pa.RecordBatch):
+            ids = rows["ids"].cast(kind)
+            return {"doc_id": rows["doc_id"].cast(pa.int64()), "ids": ids, "text": pa.array(texts_of(ids), pa.string())}
+
+        return apply
+
+    return map_columns(
+        encoded.select("doc_id", "ids"), make, "doc_id long, ids array<int>, text string", rows=256, arrow=True
+    )

@@ -1,5 +1,6 @@
 """Nulls, empty and odd texts, repeated rows, clashing columns and empty tables."""
 
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import jaccard, media, packing, pii, quality, secrets, sentencepiece, sharding, substrings
@@ -52,3 +53,12 @@ def test_guess_costs():
     cost = lambda v: secrets.guess_cost(v, ranks)
     assert cost("password") < cost("p4ssword") < cost("pxqzword") and cost("2024-01-31") < cost("7038-91-64")
     assert cost("qwertyui") < cost("qhzruxvi") and cost("abababab") < cost("abqjrkzw") and cost("") == 0
+
+
+def test_pieces_are_joined_from_slices_of_lists():
+    model = vocabulary("piece_bpe_32k.model")
+    pieces = sentencepiece.load(model)
+    written = ["", "a  b", "ⵣé\n x", "end"]
+    ids = [[i for c in pieces.chunks(t) for i in pieces.segment(c)] for t in written] + [None]
+    lists = pa.array([[5], *ids], pa.list_(pa.int32())).slice(1)
+    assert sentencepiece._joiner(model)(lists) == [*written, ""]

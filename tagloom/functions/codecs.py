@@ -58,10 +58,14 @@ def parse_fps(raw: ColumnOrName) -> Column:
     )
 
 
-def stream_fps(average: ColumnOrName, real: ColumnOrName) -> Column:
-    """The average rate, or the stream's base rate where no average is known."""
+def known_rate(average: ColumnOrName, real: ColumnOrName) -> Column:
+    """The average rate as written, or the stream's base rate where no average is known."""
     average = col(average)
-    return parse_fps(F.when(average == "0/0", col(real)).otherwise(average))
+    return F.when(average == "0/0", col(real)).otherwise(average)
+
+
+def stream_fps(average: ColumnOrName, real: ColumnOrName) -> Column:
+    return parse_fps(known_rate(average, real))
 
 
 def common_divisor(a: Column, b: Column) -> Column:

@@ -10,6 +10,13 @@ from tagloom.functions import codecs, sizes
 from tagloom.functions.common import lookup
 from tagloom.functions.levels import image_level, media_format_of_mime
 
+# What ``media_passport`` reads of a probe.
+PASSPORT_FIELDS = ("format.duration",) + tuple(
+    f"streams.{name}"
+    for name in (
+        "codec_type", "codec_name", "profile", "level", "width", "height", "pix_fmt", "avg_frame_rate", "r_frame_rate",
+    )
+)
 AIMED_KBPS = 2000  # target rate of the lowest VP9 rendition (fixed value)
 _LEVEL = {(codec, level): (longest, shortest, fps, kbps) for codec, level, longest, shortest, fps, _, kbps in rules.VIDEO_LEVELS}
 
@@ -30,7 +37,7 @@ def _streams(kind: str) -> Column:
 
 
 def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row of facts per probed file (file_id, mime_type, media_type, probe).
+    """One row of facts per probed file (file_id, mime_type, media_type, probe with ``PASSPORT_FIELDS`` at least).
 
     Animated image formats count as video when they have more than one frame. A video
     without a known or estimated duration, or without a usable frame rate, carries the
@@ -42,12 +49,13 @@ def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
         F.get(_streams("video"), F.lit(0)).alias("v"), F.get(_streams("audio"), F.lit(0)).alias("a"),
         F.size(_streams("audio")).alias("sounds"),
         F.col("probe.format.duration").try_cast("double").alias("duration"),
-    )
+    ).withColumn("raw_rate", codecs.known_rate("v.avg_frame_rate", "v.r_frame_rate"))
+    rate = codecs.parse_fps("raw_rate")
     base = picked.select(
         "file_id", "mime_type", "media_type", "sounds", "duration", "v.width", "v.height", "v.pix_fmt", "v.profile",
         F.col("v.level").alias("codec_level"), F.col("a.profile").alias("audio_profile"),
         media_format_of_mime("mime_type").alias("format"),
-        codecs.stream_fps("v.avg_frame_rate", "v.r_frame_rate").alias("rate"),
+        rate["value"].alias("rate"), rate["error"].alias("rate_error"),
         codecs.video_codec("v.codec_name").alias("video_codec"),
         codecs.audio_codec("a.codec_name").alias("audio_codec"),
         codecs.bit_depth("v.pix_fmt").alias("bit_depth"),
@@ -59,7 +67,7 @@ def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
     )
     level = F.when(
         F.col("is_video"),
-        codecs.media_level("video_codec", "audio_codec", "width", "height", "rate.value", "bit_depth"),
+        codecs.media_level("video_codec", "audio_codec", "width", "height", "rate", "bit_depth"),
     ).otherwise(image_level("width", "height", "format"))
     video_only = lambda c: F.when(F.col("is_video"), c)
     return rows.select(
@@ -68,7 +76,7 @@ def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
         .when(F.col("is_video"), "video").otherwise("image").alias("content_type"),
         "width", "height",
         F.least("width", "height").alias("min_size"), F.greatest("width", "height").alias("max_size"),
-        video_only(F.col("rate.value")).alias("fps"),
+        video_only(F.col("rate")).alias("fps"),
         video_only(F.col("video_codec")).alias("video_codec"),
         video_only(F.col("audio_codec")).alias("audio_codec"),
         video_only(codecs.container_fit("MP4", "video_codec", "audio_codec")).alias("mp4"),
@@ -84,7 +92,7 @@ def media_passport(probes: DataFrame, frames: DataFrame) -> DataFrame:
             codecs.codec_string("video_codec", "profile", "codec_level", "bit_depth", "audio_codec", "audio_profile")
         ).alias("codec_string"),
         level.alias("level"),
-        video_only(F.coalesce("loop.error", "rate.error")).alias("error"),
+        video_only(F.coalesce("loop.error", "rate_error")).alias("error"),
     )
 
 

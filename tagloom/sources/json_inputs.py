@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,33 @@ def parse_task_metadata(df: DataFrame, json_col: str) -> DataFrame:
     )
 
 
-def parse_probe(df: DataFrame, json_col: str) -> DataFrame:
-    """Add ``probe`` (format, streams) and ``error`` for a probe that is not valid JSON."""
-    parsed = df.withColumn("probe", _parsed(json_col, PROBE_JSON))
+def _pruned(schema: T.StructType, names: Collection[str]) -> T.StructType:
+    """The fields whose dotted path, or one above it, is named; arrays of structs count as their structs."""
+
+    def kept(struct: T.StructType, path: str) -> T.StructType:
+        fields = []
+        for f in struct.fields:
+            at, array = f"{path}{f.name}", isinstance(f.dataType, T.ArrayType)
+            inner = f.dataType.elementType if array else f.dataType
+            if at not in names and isinstance(inner, T.StructType):
+                inner = kept(inner, f"{at}.")
+                if inner.fields:
+                    fields.append(T.StructField(f.name, T.ArrayType(inner) if array else inner, f.nullable))
+            elif at in names:
+                fields.append(f)
+        return T.StructType(fields)
+
+    return kept(schema, "")
+
+
+def parse_probe(df: DataFrame, json_col: str, fields: Collection[str] | None = None) -> DataFrame:
+    """Add ``probe`` (format, streams) and ``error`` for a probe that is not valid JSON.
+
+    Where only some of its fields are read, ``fields`` names them (``format.duration``): the parser
+    passes over the others without making values of them, and does not say whether they suit their types.
+    """
+    schema = PROBE_JSON if fields is None else _pruned(PROBE_JSON, fields)
+    parsed = df.withColumn("probe", _parsed(json_col, schema))
     corrupt = F.col("probe._corrupt").isNotNull() | F.col(json_col).isNull()
     return parsed.select(
         *[c for c in df.columns if c != json_col],

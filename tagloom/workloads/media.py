@@ -42,12 +42,12 @@ def stored_probes(i: Inputs):
     )
 
 
-def parsed(i: Inputs):
-    return parse_probe(stored_probes(i), "body").drop("error")
+def parsed(i: Inputs, fields=None):
+    return parse_probe(stored_probes(i), "body", fields).drop("error")
 
 
 def passport(i: Inputs):
-    return media.media_passport(parsed(i), media.frame_stats(i.f_media_frame))
+    return media.media_passport(parsed(i, media.PASSPORT_FIELDS), media.frame_stats(i.f_media_frame))
 
 
 @query(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tagloom import rules
 from tagloom.functions import names, origins, tags as tag_fn, text
-from tagloom.operators import browse, duplicates, ingest, merge, reports, representations, search, sets, signatures, tags
+from tagloom.operators import browse, duplicates, ingest, media, merge, reports, representations, search, sets, signatures, tags
 from tagloom.plans.positions import number_rows
 from tagloom.plans.tagexpr import ANYTHING, T, all_of, any_of
+from tagloom.sources.json_inputs import parse_probe
 
 
 def got(df, *columns):
@@ -340,3 +341,25 @@ def test_ordinals_that_are_no_numbers(rows):
     assert got(made["summary"], "album_title", "status") == [
         ("bad", "ordinal is no number"), ("good", "success"), ("none", "no content given"),
     ]
+
+
+def test_passport_of_odd_probes_parsed_whole_or_in_part(rows):
+    stream = '{"index": %s, "codec_type": "%s", "codec_name": "h264", "width": 8, "height": 6, "pix_fmt": "yuv420p", "avg_frame_rate": "%s", "r_frame_rate": "30/1", "disposition": %s, "tags": %s}'
+    probe = lambda *streams, form='{"duration": "9", "bit_rate": "1"}': '{"format": %s, "streams": [%s]}' % (form, ", ".join(streams))
+    plain = stream % (0, "video", "25/1", "{}", "{}")
+    bodies = [
+        probe(plain), probe(plain, stream % (1, "audio", "0/0", "{}", "{}")), probe(),
+        probe(stream % ('"x"', "video", "25/1", "{}", "{}")), probe(stream % (0, "video", "0/0", "5", "[1, 2]")),
+        probe(stream % (0, "video", "a/b", '{"attached_pic": "no"}', '{"filename": {"a": 1}}')),
+        probe(stream % ("1e999", "video", "24", "null", '"t"')), probe(plain, form='{"duration": "9", "bit_rate": {"a": [1]}}'),
+        probe(plain, form="7"), probe("3", plain), probe("null", plain), probe(plain)[:-20], probe(plain) + "}", "[]", "", "null", "text", None,
+        '{"streams": {"codec_type": "video"}}', '{"other": 1}',
+    ]
+    files = rows("file_id long, mime_type string, media_type string, body string", *[(n, "video/mp4", "video", b) for n, b in enumerate(bodies)])
+    frames = media.frame_stats(rows("file_id long, frame_no int, duration_time double", (0, 0, 0.5), (0, 1, 0.25), (4, 0, 0.5)))
+    whole, part = (
+        media.media_passport(parse_probe(files, "body", fields), frames).orderBy("file_id").collect()
+        for fields in (None, media.PASSPORT_FIELDS)
+    )
+    assert part == whole and len(part) == len(bodies)
+    assert [r.fps for r in part[:5]] == [25.0, 25.0, None, 25.0, 30.0] and part[4].is_vfr is False and part[0].is_vfr is True

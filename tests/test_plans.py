@@ -100,3 +100,10 @@ def test_tags_of_items_are_told_apart_by_number(inputs):
     assert keys and all("title" not in k for k in keys)
     named = inputs.f_tag_name.selectExpr("content_id", "cast(conv(substr(md5(category || ':' || title), 1, 15), 16, 10) as bigint)")
     assert named.exceptAll(inputs.f_content_tag).isEmpty() and inputs.f_content_tag.exceptAll(named).isEmpty()
+
+
+def test_passports_parse_only_what_they_read(spark):
+    parsed = lambda name: re.findall(r"from_json\((.*?)columnNameOfCorruptRecord", plan(QUERIES[name].run(spark, SF_DIR)))
+    passport = parsed("media_passport")
+    assert passport and all("r_frame_rate" in p and "attached_pic" not in p and "bit_rate" not in p for p in passport)
+    assert any("attached_pic" in p for p in parsed("thumbnail_stream"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -14,7 +15,40 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import map_columns, settle_table, texts
 
 CACHED_WORDS = 600_000  # words whose ids a worker remembers; others are looked up again
+JOINED = 32  # words given to the encoder in one string
 POINTS = frozenset(b".,;:!?")
+# Steps before the merges that leave a word of small Latin letters as it is, and whole.
+LETTERS_KEPT = {"NFC", "Lowercase"}
+LETTERS_WHOLE = [
+    {
+        "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed", "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _merges_alone(tokenizer):
+    """The merges of ``tokenizer`` without the steps before them, and which ids end a word.
+
+    None where these steps are not known to leave a word of small Latin letters as it is.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    made = json.loads(tokenizer.to_str())
+    before, cut, model = ((made[k] or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    kept = all(n["type"] in LETTERS_KEPT or n == spaces for n in before.get("normalizers", [before]))
+    suffix = model.get("end_of_word_suffix")
+    if not (before and kept and suffix and cut.get("pretokenizers") == LETTERS_WHOLE) or model.get("dropout"):
+        return None
+    if any(t["content"].isalpha() for t in made["added_tokens"]) or made["truncation"] or made["padding"]:
+        return None
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+    alone = Tokenizer(tokenizer.model)
+    alone.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return alone, ends
 
 
 class WordIds:
@@ -31,13 +65,58 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.alone = _merges_alone(self.tokenizer)
+        # NUL between words is a token of its own where it has one id and leaves its neighbours' as they are.
+        word, nul, both = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "\0", "a \0 a"))
+        self.between = nul[0] if len(nul) == 1 and both == [*word, *nul, *word] else None
+
+    def _singly(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _together(self, words: list[bytes], tokenizer, joint: bytes, last) -> list[bytes]:
+        """Ids of every word. Most of a word's cost is that of a string of its own, so some share one.
+
+        ``last`` marks the ids that end a word; a joint's own id ends the word before it and is dropped.
+        """
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        found = tokenizer.encode_batch_fast([joint.join(g).decode() for g in groups], add_special_tokens=False)
+        width, dropped, out = int(self.kind[-1]), len(joint.split()), []
+        for group, e in zip(groups, found):
+            ids = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(last(ids)) + 1
+            starts = [0, *(ends * width).tolist()]
+            stops = ((ends - dropped) * width).tolist()
+            raw = ids.tobytes()
+            if dropped:
+                stops.append(len(raw))
+            else:
+                starts.pop()
+            # Where another text has an id of the joint, a word is not told from the next.
+            same = len(stops) == len(group)
+            out += [raw[a:b] for a, b in zip(starts, stops)] if same else self._singly(group)
+        return out
+
+    def _encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Pairs of words and their ids."""
+        letters = [w for w in words if w.isalpha() and w.islower()] if self.alone else []
+        rest = [w for w in words if not (w.isalpha() and w.islower())] if self.alone else words
+        found = []
+        if letters:
+            tokenizer, ends = self.alone
+            found += zip(letters, self._together(letters, tokenizer, b" ", ends.__getitem__))
+        odd = [w for w in rest if self.between is None or b"\0" in w]
+        found += zip(odd, self._singly(odd))
+        if self.between is not None:
+            rest = [w for w in rest if b"\0" not in w]
+            found += zip(rest, self._together(rest, self.tokenizer, b" \0 ", lambda ids: ids == self.between))
+        return found
 
     def _look_up(self, words: list[bytes]) -> None:
         pointed = {w: (w[:-1], w[-1:]) for w in words if len(w) > 1 and w[-1] in POINTS and w[-2:-1].isalnum()}
         parts = {x for two in pointed.values() for x in two}
         plain = list(parts.union(w for w in words if w not in pointed).difference(self.known))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(plain, found))
+        self.known.update(self._encode(plain))
         self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in pointed.items())
 
     def __call__(self, texts: list[str]) -> list[bytes]:

@@ -1,5 +1,6 @@
 """Nulls, empty and odd texts, repeated rows, clashing columns and empty tables."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -62,3 +63,39 @@ def test_pieces_are_joined_from_slices_of_lists():
     ids = [[i for c in pieces.chunks(t) for i in pieces.segment(c)] for t in written] + [None]
     lists = pa.array([[5], *ids], pa.list_(pa.int32())).slice(1)
     assert sentencepiece._joiner(model)(lists) == [*written, ""]
+
+
+def test_words_share_strings_and_keep_their_ids():
+    path = vocabulary("word_bpe_49k.json")
+    ids = packing.WordIds(path)
+    given, encoder = [], ids.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return encoder.encode_batch_fast(texts, **options)
+
+    ids.tokenizer = Counted()
+    some = [f"word{'abcdefghij'[n % 10]}{n:03d}" for n in range(640)]
+    odd = [
+        "plain", "letters", "it's", "'ll", "don't!!", "\0", "a\0b", "\0\0", "é", "é", "́x", "Σς", "İ", "İstanbul", "ǅ", "中文", "🙂🙂",
+        "x y", " ", "a‍b", "</w>", "Ā", "Ā</w>", "<|endoftext|>", "x<|startoftext|>y", "<|", "4096", "a1b2", "l'été", "ﬁn", "ſ", "x", "\x1c", "a\x85b", "q" * 300,
+    ]
+    texts = [*some, *odd, " ".join(odd), "\0 ".join(odd), "PLAIN <|endoftext|> Letters", "", " ", "a,b. c, é."]
+    found = ids(texts)
+    alone = [encoder.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, ids.kind).tolist() for x in found] == alone
+    assert len(given) < 200
+
+
+def test_other_vocabularies_are_encoded_as_they_are(tmp_path):
+    import json
+
+    made = json.loads(open(vocabulary("word_bpe_49k.json")).read())
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\p{L}{1,3}|\p{N}|[^\s\p{L}\p{N}]+"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    ids = packing.WordIds(str(path))
+    texts = ["letters in threes", "it's 42 \0 x"]
+    assert ids.alone is None
+    assert [np.frombuffer(x, ids.kind).tolist() for x in ids(texts)] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

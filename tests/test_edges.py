@@ -235,6 +235,68 @@ def test_items_of_many_images_and_tags(spark):
     assert browse.page_srcset(item, reps, 1024, 1024).count() == 5000
 
 
+def test_item_page_has_every_list(spark, rows):
+    content = rows("content_id long, slug string, title string, content_type string", (1, "s", "t", "video"), (2, "s2", None, "image"))
+    tag = rows(
+        "tag_id long, title string, category string",
+        (10, "safe", "rating"), (11, "Zed", "content"), (12, "apple", "content"), (13, "apple", "artist"), (14, "x", None), (15, None, "meta"),
+    )
+    held = rows("content_id long, tag_id long", *[(1, n) for n in (10, 11, 12, 13, 14, 15, 99)], (None, 10), (3, 10))
+    reps = rows(
+        "content_id long, repr_type int, width int, height int, filepath string, compatibility_level int, format string",
+        (1, 20, 640, 480, "b.mp4", 1, "mp4"), (1, 20, 640, 480, "a.mp4", 1, "mp4"), (1, 20, 1920, 1080, "c.mp4", 4, "mp4"),
+        (1, 20, 1280, 720, "d.mp4", 3, "mp4"), (1, 10, 2048, 1024, "two x.webp", 2, "webp"), (1, 10, 512, 1536, "tall.webp", 1, "webp"),
+        (1, 10, 100, 100, "small.webp", 0, "webp"), (2, 10, 100, 50, "only.webp", 0, "webp"),
+    )
+    origin = rows(
+        "content_id long, name string, origin_id string, alternate boolean",
+        (1, "twitter", "u#5", True), (1, "telegram", "chan#9", False), (1, "derpibooru", "7", False), (1, "twitter", "", False),
+    )
+    album = rows("album_id long, album_name string, set_tag_id long", (1, "Named", 12), (2, "", 12), (3, None, None), (4, "not held", None))
+    order = rows("album_id long, content_id long, ord long", (3, 1, 1), (2, 1, 7), (1, 1, 4), (9, 1, 1), (4, 3, 1))
+    shown = browse.content_detail(content, held, tag, reps, origin, order, album, level=3)
+    page, bare = sorted((r.asDict(recursive=True) for r in shown.collect()), key=lambda r: r["content_id"])
+    entry = lambda n, title: {"tag_id": n, "title": title}
+    assert page["tags"] == [
+        {"category": None, "tags": [entry(14, "x")]}, {"category": "artist", "tags": [entry(13, "apple")]},
+        {"category": "content", "tags": [entry(11, "Zed"), entry(12, "apple")]}, {"category": "meta", "tags": [entry(15, None)]},
+        {"category": "rating", "tags": [entry(10, "safe")]},
+    ]
+    assert (page["tag_count"], page["plain_tags"]) == (6, "x, apple, Zed, apple, safe")
+    assert [(v["filepath"], v["compatibility_level"], v["playable"]) for v in page["video_list"]] == [
+        ("c.mp4", 4, False), ("d.mp4", 3, True), ("a.mp4", 1, True), ("b.mp4", 1, True),
+    ]
+    assert (page["videos"], page["has_image"], page["srcset_n"], page["base_src"]) == (4, True, 2, "tall.webp")
+    assert page["srcset"] == "/media/tall.webp 1.5x, /media/two%20x.webp 2.0x"
+    assert [(o["name"], o["alternate"], o["url"]) for o in page["origins"]] == [
+        ("derpibooru", False, "https://derpibooru.org/images/7"), ("telegram", False, "https://t.me/chan/9"), ("twitter", False, None),
+        ("twitter", True, "https://x.com/u/status/5"),
+    ]
+    assert [(a["album_id"], a["ord"], a["name"]) for a in page["albums"]] == [(1, 4, "Named"), (2, 7, "apple"), (3, 1, "untitled")]
+    assert all(bare[c] == [] for c in ("tags", "video_list", "origins", "albums"))
+    assert (bare["plain_tags"], bare["srcset"], bare["base_src"], bare["tag_count"]) == ("", "", "only.webp", 0)
+
+
+def test_item_page_lists_are_whole(spark):
+    many = spark.range(1, 5001)
+    one = F.lit(1).cast("long").alias("content_id")
+    name = F.concat(F.col("id"), F.lit(".x"))
+    reps = many.select(
+        one, F.when(F.col("id") % 2 == 0, 10).otherwise(20).alias("repr_type"), (F.col("id") + 1024).cast("int").alias("width"),
+        F.lit(9).alias("height"), name.alias("filepath"), (F.col("id") % 5).cast("int").alias("compatibility_level"),
+    )
+    tag = many.select(F.col("id").alias("tag_id"), F.col("id").cast("string").alias("title"), F.concat(F.lit("c"), F.col("id") % 3).alias("category"))
+    origin = many.select(one, F.lit("derpibooru").alias("name"), F.col("id").cast("string").alias("origin_id"), F.lit(False).alias("alternate"))
+    album = many.select(F.col("id").alias("album_id"), name.alias("album_name"), F.lit(None).cast("long").alias("set_tag_id"))
+    order = album.select("album_id", one, F.lit(1).cast("long").alias("ord"))
+    item = spark.sql("select 1L as content_id, 's' as slug, 't' as title, 'image' as content_type")
+    shown = browse.content_detail(item, tag.select(one, "tag_id"), tag, reps, origin, order, album).first()
+    assert sorted(t.tag_id for group in shown.tags for t in group.tags) == list(range(1, 5001)) and len(shown.tags) == 3
+    assert len(shown.plain_tags.split(", ")) == shown.tag_count == 5000
+    assert len(shown.video_list) == len(shown.srcset.split(", ")) == shown.videos == shown.srcset_n == 2500
+    assert len({o.url for o in shown.origins}) == len({a.name for a in shown.albums}) == 5000
+
+
 def test_merge_cases(rows):
     pairs = rows("source_id long, target_id long", (1, 2), (2, 3), (4, 4), (5, 6), (6, 5), (7, 5), (8, 3), (9, 9), *[(100 + n, 101 + n) for n in range(40)])
     r = {a: (b, s) for a, b, s in got(merge.resolve_merge_chains(pairs), "source_id", "target_id", "status")}

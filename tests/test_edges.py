@@ -251,6 +251,7 @@ def test_item_page_has_every_list(spark, rows):
     origin = rows(
         "content_id long, name string, origin_id string, alternate boolean",
         (1, "twitter", "u#5", True), (1, "telegram", "chan#9", False), (1, "derpibooru", "7", False), (1, "twitter", "", False),
+        (1, "telegram", None, False),
     )
     album = rows("album_id long, album_name string, set_tag_id long", (1, "Named", 12), (2, "", 12), (3, None, None), (4, "not held", None))
     order = rows("album_id long, content_id long, ord long", (3, 1, 1), (2, 1, 7), (1, 1, 4), (9, 1, 1), (4, 3, 1))
@@ -269,8 +270,8 @@ def test_item_page_has_every_list(spark, rows):
     assert (page["videos"], page["has_image"], page["srcset_n"], page["base_src"]) == (4, True, 2, "tall.webp")
     assert page["srcset"] == "/media/tall.webp 1.5x, /media/two%20x.webp 2.0x"
     assert [(o["name"], o["alternate"], o["url"]) for o in page["origins"]] == [
-        ("derpibooru", False, "https://derpibooru.org/images/7"), ("telegram", False, "https://t.me/chan/9"), ("twitter", False, None),
-        ("twitter", True, "https://x.com/u/status/5"),
+        ("derpibooru", False, "https://derpibooru.org/images/7"), ("telegram", False, ""), ("telegram", False, "https://t.me/chan/9"),
+        ("twitter", False, None), ("twitter", True, "https://x.com/u/status/5"),
     ]
     assert [(a["album_id"], a["ord"], a["name"]) for a in page["albums"]] == [(1, 4, "Named"), (2, 7, "apple"), (3, 1, "untitled")]
     assert all(bare[c] == [] for c in ("tags", "video_list", "origins", "albums"))
